@@ -5,7 +5,10 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,22 @@ def words_of(text: Column) -> Column:
 def let(value: Column, then) -> Column:
     """`then(value)` with `value` computed once per row: a lambda's variable isn't expanded where it is used, a column expression is."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+@functools.cache
+def _ship(app: str) -> None:
+    """Sends this package to the application's Python workers, which may have no copy of it."""
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="hydrospark-")) / "hydrospark.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    SparkContext.getOrCreate().addPyFile(str(path))
+
+
+def python_workers(spark: SparkSession, rows: int = 512) -> None:
+    """Makes the package known to Python workers and lowers the rows per Arrow batch, where they are at Spark's default, so that workers hold few texts at once."""
+    _ship(spark.sparkContext.applicationId)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .quality_rules import line_frequency
 from .sharding import shard
+from .simhash import near_duplicates
+from .token_counts import token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +44,15 @@ FROM d
 """
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_docs(spark, sf_dir).select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -81,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
+    "op10_token_counts": op10_token_counts,
 }
 SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL}
