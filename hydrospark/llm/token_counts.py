@@ -24,14 +24,27 @@ def _model(path: str) -> tuple[sentencepiece.SentencePieceProcessor, bool]:
     return sp, not any(SPACE in x.lstrip(SPACE) for x in pieces)
 
 
-def _starts(sp: sentencepiece.SentencePieceProcessor, text: str, at: int) -> np.ndarray:
-    """Where the tokens of a chunk begin, counted in the whole text."""
-    pieces = sp.encode(text, return_type="proto").pieces
+def _starts(sp: sentencepiece.SentencePieceProcessor, data: bytes, at: int, end: int) -> np.ndarray:
+    """Where the tokens of a chunk begin, in bytes of the whole text."""
+    pieces = sp.encode(data[at:end].decode(), return_type="proto").pieces
     return np.fromiter((p.begin for p in pieces), np.int64) + at
 
 
+def _whole(data: bytes, at: int) -> int:
+    """The first character's beginning at or after a byte."""
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return min(at, len(data))
+
+
+def _word_begins(data: bytes, at: int) -> bool:
+    """Whether a space, or the sign that stands for it, follows another character here."""
+    mark = SPACE.encode()
+    return (data[at : at + 1] == b" " or data.startswith(mark, at)) and data[at - 1 : at] != b" " and data[max(0, at - 3) : at] != mark
+
+
 def count_long(text: str, path: str, chunk: int = 16_384, overlap: int = 256) -> int:
-    """The number of tokens of a text, encoded in chunks that overlap.
+    """The number of tokens of a text, encoded in chunks of `chunk` bytes that overlap.
 
     Neighbouring chunks are spliced where both have a token that begins with a space after another character. That place is
     a boundary in every encoding, and the tokens on its two sides don't depend on one another, because no piece of the vocabulary
@@ -41,23 +54,23 @@ def count_long(text: str, path: str, chunk: int = 16_384, overlap: int = 256) ->
     sp, proven = _model(path)
     if not proven:
         return len(sp.encode(text))
-    n, start, total = len(text), 0, 0
-    at, end = 0, min(len(text), chunk + overlap)
-    mine = _starts(sp, text[at:end], at)
+    data = text.encode()
+    n, start, total, at, end = len(data), 0, 0, 0, _whole(data, chunk + overlap)
+    mine = _starts(sp, data, at, end)
     while end < n:
         wide = overlap
         while True:
-            after = max(at, end - wide)
-            stop = min(n, after + chunk + wide)
-            other = _starts(sp, text[after:stop], after)
+            after = _whole(data, max(at, end - wide))
+            stop = _whole(data, after + chunk + wide)
+            other = _starts(sp, data, after, stop)
             both = np.intersect1d(mine[mine > after], other)
-            good = [p for p in both[::-1].tolist() if start < p < end and text[p] in (" ", SPACE) and text[p - 1] not in (" ", SPACE)]
+            good = [p for p in both[::-1].tolist() if start < p < end and _word_begins(data, p)]
             if good or end == n:
                 break
             wide *= 2
             if wide > end - at:  # all of this chunk overlaps: it has to be longer
-                end = min(n, at + 2 * (end - at))
-                mine = _starts(sp, text[at:end], at)
+                end = _whole(data, at + 2 * (end - at))
+                mine = _starts(sp, data, at, end)
         if not good:
             break
         total += int(np.searchsorted(mine, good[0]) - np.searchsorted(mine, start))
