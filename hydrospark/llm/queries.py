@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import canonical_turns, chat_digests, format_chat, pack_turns
+from .common import shared_dir
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .quality_rules import line_frequency
+from .rans import read_tokens, write_tokens
 from .sharding import shard
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -44,6 +48,33 @@ FROM d
 """
 
 
+def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/rans-{uuid.uuid4().hex}"
+    write_tokens(_docs(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return read_tokens(spark, path, with_ids=False).withColumnRenamed("id", "doc_id")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    records = canonical_turns(pack_turns(turns.unionByName(extra)))
+    return chat_digests(format_chat(records).select("conv_id", "turns", "formatted", "loss"))
+
+
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(14 + length(regexp_replace(role, '[\\#<:]', '..', 'g')) + length(regexp_replace(text, '[\\#<:]', '..', 'g'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir).select("doc_id", "text"))
 
@@ -92,9 +123,11 @@ FROM b
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
+    "op3_rans_tokens": op3_rans_tokens,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op10_token_counts": op10_token_counts,
 }
-SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL}
+SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_chat_format": OP6_SQL, "op8_mixing": OP8_SQL}
