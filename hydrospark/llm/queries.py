@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from .chat_format import canonical_turns, chat_digests, format_chat, pack_turns
 from .common import shared_dir
 from .exact_dedup import exact_dedup
+from .fm_index import remove_repeats
 from .mixing import mix_sources
 from .quality_rules import line_frequency
 from .rans import read_tokens, write_tokens
 from .sharding import shard
 from .simhash import near_duplicates
 from .token_counts import token_counts
+from .wfst import encode_pieces
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +56,25 @@ def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, with_ids=False).withColumnRenamed("id", "doc_id")
 
 
+def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_docs(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d),
+h AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM g),
+m AS (SELECT s, min(doc_id) AS first_id FROM h GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT DISTINCT h.doc_id, unnest(range(h.i, h.i + 13)) AS p FROM h JOIN m ON h.s = m.s AND m.first_id < h.doc_id),
+x AS (SELECT doc_id, list(p) AS gone, count(*) AS n_removed FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ')
+              ELSE array_to_string(list_filter(w, lambda y, i: NOT list_contains(gone, i)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN x ON d.doc_id = x.doc_id
+"""
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
@@ -79,6 +100,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_pieces(_docs(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" "))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -125,9 +152,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_rans_tokens": op3_rans_tokens,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_fm_index": op5_fm_index,
     "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
+    "op9_wfst": op9_wfst,
     "op10_token_counts": op10_token_counts,
 }
-SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_chat_format": OP6_SQL, "op8_mixing": OP8_SQL}
+SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op5_fm_index": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_mixing": OP8_SQL}
