@@ -8,15 +8,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cols, python_workers, q, scratch, small, text_of, words_of
+from .common import cols, python_workers, q, scratch, text_of, words_of
 
 #: Words of one index; a shard is closed at the next anchor once it holds so many.
 SHARD_WORDS = 1_000_000
 #: Windows of an anchor that more rows than this have are dealt out one by one.
 HOT_ANCHOR = 20_000
+#: Up to so many anchors that repeat (9 bytes each) are sent to all tasks; more are joined by a shuffle of the runs.
+SENT_ANCHORS = 4_000_000
 
 
 class WaveletTree:
@@ -132,11 +135,11 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, bodies: bool) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, bodies: bool, wanted: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
     """Rows (id, key, words: hashes of all words) to the runs of windows that have one anchor.
 
     A window's anchor is the least of the mixed hashes of its `gram`-word parts. Equal windows have equal anchors, so the rows of an
-    anchor hold all places where its windows can occur again.
+    anchor hold all places where its windows can occur again. `wanted`: the anchors to keep, sorted; all if none are given.
     """
     width = length - gram + 1
     for b in batches:
@@ -165,6 +168,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, bodies: b
         start = np.nonzero(new & fits)[0]
         run = np.cumsum(new) - 1
         count = np.bincount(run[fits], minlength=run[-1] + 1)[run[start]]
+        if wanted is not None:
+            keep = np.searchsorted(wanted.value, best[start].view(np.int64))
+            keep = wanted.value[np.minimum(keep, len(wanted.value) - 1)] == best[start].view(np.int64)
+            start, count = start[keep], count[keep]
         who = row[start]
         out = [pa.array(best[start].view(np.int64)), b.column(0).take(pa.array(who))]
         if bodies:
@@ -174,12 +181,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, bodies: b
         yield pa.RecordBatch.from_arrays(out, ["anchor", "id", "key", "start", "n", "body"][: len(out)])
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, gram: int = 6, broadcast_rows: int = BROADCAST_ROWS, hot: int = HOT_ANCHOR) -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, gram: int = 6, sent: int = SENT_ANCHORS, hot: int = HOT_ANCHOR) -> DataFrame:
     """(id, key: hash of the text, spots): where windows of `length` words begin that occur in a row with a smaller id; `spots` are (start, bits).
 
     1. Every run of windows with one anchor is found (see `_pieces`); anchors are counted with the least and largest id
        that has them, summed on the map side. An anchor of one id only can't repeat.
-    2. The runs of the other anchors go on with their words, as hashes. Equal runs are summed to one row with its least
+    2. The runs of the other anchors go on with their words, as hashes: tasks filter by the anchors themselves if there are at most
+       `sent` of them, else all runs meet them in a shuffled join. Equal runs are summed to one row with its least
        id, so any number of copies of a passage is one row from here on.
     3. Distinct runs are exchanged by anchor and cut to shards at anchors. Each shard gets an FM-index; its runs are streamed
        through it, and backward search gives every window's suffixes and so the least id that has it. Anchors that more than `hot`
@@ -195,8 +203,14 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     anchors = rows.mapInArrow(functools.partial(pieces, bodies=False), "anchor long, id long")
     anchors = anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("c")).filter("a < b")
     anchors = scratch(anchors.select("anchor", (F.col("c") > hot).alias("hot")), "fm-anchors")
-    runs = rows.mapInArrow(functools.partial(pieces, bodies=True), "anchor long, id long, key long, start int, n int, body binary")
-    runs = runs.join(small(anchors, broadcast_rows), "anchor")
+    wanted = None
+    if 0 < anchors.count() <= sent:
+        wanted = spark.sparkContext.broadcast(np.sort(anchors.select("anchor").toArrow().column(0).to_numpy()))
+    runs = rows.mapInArrow(functools.partial(pieces, bodies=True, wanted=wanted), "anchor long, id long, key long, start int, n int, body binary")
+    if wanted is None:
+        runs = runs.join(anchors, "anchor")
+    else:  # what is hot is at most a few rows for each `hot` rows of input, and fewer than `sent`
+        runs = runs.join(F.broadcast(anchors.filter("hot")), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     runs = runs.withColumn("j", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(F.lit(-1)))))
     one = F.expr(f"substring(body, 8 * j + 1, {8 * length})")
     runs = runs.withColumn("body", F.when(F.col("j") < 0, F.col("body")).otherwise(one))
