@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ _LOW = 1 << 31
 #: magic, version, lanes, bits, ids, checkpoints, words, crc32 of the ids, crc32 of the frequency table
 _HEADER = struct.Struct("<4sHHHxxIIIII")
 _MAGIC = b"RANS"
-_CACHE_MAX = 300_000
+_CACHE_MAX = 600_000
 
 
 class Encoder:
@@ -35,22 +37,30 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cut = re.compile(r" (?=[^\W_])").split
         self.known: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        first, *rest = self.cut(text)
-        parts = [first, *[" " + x for x in rest]]
-        if len(self.known) > _CACHE_MAX:
-            self.known.clear()
-        if new := list(set(parts).difference(self.known)):
-            for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[x] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, parts))
+    def _learn(self, new: list[str]) -> None:
+        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.known[x] = array("I", e.ids).tobytes()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; what is new in all of them is encoded in one call."""
+        split, new, known = [], set(), self.known
+        if len(known) > _CACHE_MAX:
+            known.clear()
+        for text in texts:
+            first, *rest = self.cut(text)
+            parts = [first, *map(" ".__add__, rest)]
+            new.update(parts)
+            split.append(parts)
+        if new := list(new.difference(known)):
+            self._learn(new)
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
 
 @functools.cache
@@ -165,7 +175,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end, at, part = _encoder(tokenizer).ids, struct.pack("<I", end_id), 0, TaskContext.get().partitionId()
         for b in batches:
-            ids = [ids_of(x.as_py()) + end for x in b.column(1)]
+            ids = [x + end for x in ids_of(b.column(1).to_pylist())]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             # two planes of bytes pack better than whole integers
             packed = [np.frombuffer(x, np.uint8).reshape(-1, 4).T.tobytes() for x in ids]
