@@ -1,4 +1,273 @@
-"""All registered queries of the monitoring engine and their SQL."""
+"""All registered queries of the monitoring engine and their SQL in DuckDB's dialect."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geo, narrative
+from .operators import history, places, reports, retrieval, scenes, scoring
+from .plans import monitor
+from .sources import tables as t
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+PIXELS = """pix AS (
+  SELECT 'wb-' || (l_suppkey % 4) AS body_id, strftime(date_trunc('quarter', l_shipdate), '%Y%m%d') AS date, l_partkey % 64 AS r, l_orderkey % 64 AS c,
+    l_discount AS b02, l_quantity / 50 AS b03, l_extendedprice / 105000 AS b04, (l_partkey % 97) / 97 AS b05, (l_orderkey % 89) / 89 AS b06, l_tax * 10 AS b08,
+    CASE WHEN l_partkey % 5 < 1 + year(l_shipdate) % 4 THEN 6 ELSE l_partkey % 12 END AS scl FROM lineitem),
+px AS (SELECT *, r < 52 AND c < 48 AS inside, CASE WHEN r < 52 AND c < 48 THEN 'z' || CAST(c // 16 AS INT) END AS zone_id, scl NOT IN (0, 1, 3, 8, 9, 10, 11) AS valid,
+  coalesce((b03 - b08) / nullif(b03 + b08, 0) > 0, false) AS wet FROM pix),
+m AS (SELECT *, valid AND inside AND wet AS water, b02 / nullif(b03, 0) AS tr, (1.0::DOUBLE / nullif(b04, 0) - 1.0::DOUBLE / nullif(b05, 0)) * b06 AS ch FROM px)"""
+OBS = PIXELS + """,
+gate AS (SELECT body_id, date FROM m GROUP BY ALL HAVING avg(CAST(valid AND inside AS DOUBLE)) >= 0.4),
+wide AS (SELECT body_id, zone_id, date, sum(CAST(water AS BIGINT)) * 100.0 AS extent, avg(CASE WHEN water THEN b04 END) AS turbidity,
+  avg(CASE WHEN water THEN tr END) AS transparency, avg(CASE WHEN water THEN ch END) AS chlorophyll
+  FROM m JOIN gate USING (body_id, date) WHERE zone_id IS NOT NULL GROUP BY ALL),
+obs AS (SELECT body_id, zone_id, date, indicator, CAST(value AS DOUBLE) AS value FROM (
+  SELECT body_id, zone_id, date, unnest(['extent', 'turbidity', 'transparency', 'chlorophyll']) AS indicator, unnest([extent, turbidity, transparency, chlorophyll]) AS value FROM wide) WHERE value IS NOT NULL),
+so AS (SELECT *, CASE WHEN substr(date, 5, 2) IN ('12', '01', '02') THEN 'DJF' WHEN substr(date, 5, 2) IN ('03', '04', '05') THEN 'MAM'
+  WHEN substr(date, 5, 2) IN ('06', '07', '08') THEN 'JJA' ELSE 'SON' END AS season FROM obs),
+bl AS (SELECT body_id, zone_id, indicator, coalesce(season, 'ALL') AS season, avg(value) AS mean, stddev_samp(value) AS std, count(*) AS samples
+  FROM so GROUP BY GROUPING SETS ((body_id, zone_id, indicator, season), (body_id, zone_id, indicator))),
+wb AS (SELECT so.*, coalesce(s.mean, a.mean) AS mean, CASE WHEN s.samples IS NULL THEN a.std ELSE s.std END AS std, coalesce(s.samples, a.samples) AS samples, s.samples IS NULL AS used_fallback
+  FROM so JOIN bl a ON a.season = 'ALL' AND a.body_id = so.body_id AND a.zone_id = so.zone_id AND a.indicator = so.indicator
+  LEFT JOIN bl s ON s.season = so.season AND s.body_id = so.body_id AND s.zone_id = so.zone_id AND s.indicator = so.indicator),
+cmp AS (SELECT *, CASE WHEN std IS NULL THEN NULL WHEN std <= 0 THEN CASE WHEN value = mean THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END ELSE (value - mean) / std END AS z,
+  CASE indicator WHEN 'extent' THEN 0.25 WHEN 'turbidity' THEN 0.4 WHEN 'chlorophyll' THEN 0.35 ELSE 0.0 END AS w FROM wb)"""
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query, and its SQL if there is any."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _r(c: str, places: int = 6):
+    return F.round(F.col(c), places).alias(c)
+
+
+@query("a22_scl_histogram", f"WITH {PIXELS} SELECT body_id, CAST(scl AS INT) AS scl, count(*) AS n FROM m GROUP BY body_id, scl")
+def a22(spark, d):
+    return t.pixels(spark, d).groupBy("body_id", "scl").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p4_scene_gates", f"""WITH {PIXELS}, g AS (
+  SELECT body_id, date, count(*) AS pixels, avg(CAST(valid AND inside AS DOUBLE)) AS f, coalesce(avg(CASE WHEN inside THEN CAST(valid AS DOUBLE) END), 0) AS a, sum(CAST(water AS BIGINT)) AS wp FROM m GROUP BY ALL)
+SELECT body_id, date, pixels, round(f, 6) AS valid_fraction, round(a, 6) AS aoi_fraction, CAST(wp AS BIGINT) AS water_pixels, CASE WHEN f < 0.4 THEN 'insufficient_data' ELSE 'ok' END AS status,
+  CASE WHEN f < 0.4 THEN printf('valid_fraction:%.3f', f) END AS reason, a >= 0.6 AS aoi_usable, CAST(wp * 100.0 AS DOUBLE) AS extent_m2, CAST(wp * 100.0 / 10000 AS DOUBLE) AS extent_ha FROM g""")
+def p4(spark, d):
+    g = scenes.scene_gates(t.pixels(spark, d))
+    return g.select(*(_r(c) if c in ("valid_fraction", "aoi_fraction") else c for c in g.columns))
+
+
+@query("a5_mask_agreement", f"""WITH {PIXELS}, g AS (SELECT body_id, date, avg(CASE WHEN valid THEN CAST((b08 < 0.4) = wet AS DOUBLE) END) AS s FROM m GROUP BY ALL)
+SELECT body_id, date, round(coalesce(s, 0), 6) AS agreement, round(coalesce(1 - s, 1), 6) AS disagreement, coalesce(s, 0) < 0.7 AS low_agreement, coalesce(1 - s, 1) > 0.25 AS low_confidence FROM g""")
+def a5(spark, d):
+    a = scenes.agreement(t.pixels(spark, d).withColumn("model", F.col("b08") < 0.4), "model")
+    return a.select("body_id", "date", _r("agreement"), _r("disagreement"), "low_agreement", "low_confidence")
+
+
+@query("c7_observations", f"WITH {OBS} SELECT body_id, zone_id, date, indicator, round(value, 4) AS value FROM obs")
+def c7(spark, d):
+    return scenes.zone_observations(t.pixels(spark, d)).select("body_id", "zone_id", "date", "indicator", _r("value", 4))
+
+
+@query("a7_baselines", f"WITH {OBS} SELECT body_id, zone_id, indicator, season, round(mean, 6) AS mean, round(std, 6) AS std, samples FROM bl")
+def a7(spark, d):
+    b = scoring.fit_baselines(scenes.zone_observations(t.pixels(spark, d)))
+    return b.select("body_id", "zone_id", "indicator", "season", _r("mean"), _r("std"), "samples")
+
+
+def _compared(spark, d):
+    o = scenes.zone_observations(t.pixels(spark, d))
+    return scoring.compare(scoring.with_baseline(o, scoring.fit_baselines(o)))
+
+
+@query("c6_trends", f"WITH {OBS} SELECT body_id, zone_id, date, indicator, round(value, 4) AS value, round(mean, 6) AS mean, round(std, 6) AS std, samples, used_fallback FROM wb")
+def c6(spark, d):
+    return _compared(spark, d).select("body_id", "zone_id", "date", "indicator", _r("value", 4), _r("mean"), _r("std"), "samples", "used_fallback")
+
+
+@query("f9_comparisons", f"""WITH {OBS} SELECT body_id, zone_id, date, indicator, CASE WHEN isfinite(z) THEN round(z, 5) END AS sigma, coalesce(abs(z) > 3, false) AS crossed, w > 0 AS fused,
+  CASE WHEN std IS NULL THEN 'baseline_std_missing' WHEN std <= 0 THEN 'zero_baseline_std' END AS reason FROM cmp""")
+def f9(spark, d):
+    return _compared(spark, d).select("body_id", "zone_id", "date", "indicator", _r("sigma", 5), "crossed", "fused", "reason")
+
+
+@query("a9_zone_scores", f"""WITH {OBS} SELECT body_id, zone_id, date, round(coalesce(sum(CASE WHEN w > 0 THEN w * least(abs(z), 6) END) / nullif(sum(CASE WHEN w > 0 AND z IS NOT NULL THEN w END), 0), 0), 5) AS fused_score,
+  coalesce(bool_or(abs(z) > 3 AND w > 0), false) AS flagged, CASE WHEN min(samples) < 8 THEN min(samples) / 8.0::DOUBLE ELSE 1.0 END AS confidence FROM cmp GROUP BY ALL""")
+def a9(spark, d):
+    return scoring.zone_scores(_compared(spark, d)).select("body_id", "zone_id", "date", _r("fused_score", 5), "flagged", "confidence")
+
+
+@query("a8_persistence", f"""WITH {OBS}, s AS (SELECT body_id, zone_id, date, coalesce(bool_or(abs(z) > 1.5 AND w > 0), false) AS flagged FROM cmp GROUP BY ALL)
+SELECT body_id, zone_id, round(avg(CAST(flagged AS DOUBLE)), 6) AS persistence FROM s GROUP BY ALL""")
+def a8(spark, d):
+    from .config import Settings
+
+    s = Settings(sigma=1.5)
+    o = scenes.zone_observations(t.pixels(spark, d))
+    return scoring.persistence(scoring.zone_scores(scoring.compare(scoring.with_baseline(o, scoring.fit_baselines(o)), s), s)).select("body_id", "zone_id", _r("persistence"))
+
+
+def _ranked(spark, d):
+    return monitor.priority(t.pixels(spark, d), t.points(spark, d, "supplier"), t.points(spark, d, "nation"))
+
+
+@query("c5_priority")
+def c5(spark, d):
+    return _ranked(spark, d).select("body_id", "zone_id", "date", "rank", _r("priority"), _r("severity_factor"), _r("persistence"), _r("proximity"), "severity", F.array_join("contributing", ",").alias("contributing"), "confidence")
+
+
+@query("c4_alerts")
+def c4(spark, d):
+    r = _ranked(spark, d)
+    ident = F.concat_ws("-", F.lit("al"), "body_id", "zone_id", "date", "dominant.indicator")
+    text = F.concat(F.initcap("dominant.severity"), F.lit(": "), F.col("dominant.indicator"), F.lit(" in "), F.col("zone_id"), F.lit(" on "), narrative.iso_date(F.col("date")), F.format_string(" (confidence %.2f)", "confidence"))
+    return r.select(ident.alias("alert_id"), F.concat_ws("-", F.lit("ev"), "body_id", "zone_id", "date").alias("evidence_id"), F.col("dominant.severity").alias("severity"), text.alias("text"))
+
+
+@query("c8_overview", f"""WITH {PIXELS}, g AS (SELECT body_id, date, avg(CAST(valid AND inside AS DOUBLE)) AS f FROM m GROUP BY ALL)
+SELECT body_id, count(*) AS dates, count(*) FILTER (f >= 0.4) AS ok_dates, max(date) FILTER (f >= 0.4) AS latest_ok, string_agg(date || ':' || CASE WHEN f < 0.4 THEN 'insufficient_data' ELSE 'ok' END, ',' ORDER BY date) AS statuses FROM g GROUP BY body_id""")
+def c8(spark, d):
+    g = scenes.scene_gates(t.pixels(spark, d))
+    ok = F.col("status") == "ok"
+    each = F.sort_array(F.collect_list(F.concat_ws(":", "date", "status")))
+    return g.groupBy("body_id").agg(F.count(F.lit(1)).alias("dates"), F.count_if(ok).alias("ok_dates"), F.max(F.when(ok, F.col("date"))).alias("latest_ok"), F.array_join(each, ",").alias("statuses"))
+
+
+@query("j9_compare_dates", f"""WITH {OBS}, e AS (SELECT body_id, min(date) AS a, max(date) AS b FROM obs GROUP BY ALL)
+SELECT body_id, zone_id, indicator, round(max(CASE WHEN date = b THEN value END) - max(CASE WHEN date = a THEN value END), 6) AS change FROM obs JOIN e USING (body_id) WHERE date IN (a, b) GROUP BY ALL""")
+def j9(spark, d):
+    o = scenes.zone_observations(t.pixels(spark, d))
+    e = o.groupBy("body_id").agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    at = lambda k: F.max(F.when(F.col("date") == F.col(k), F.col("value")))
+    return o.join(e, "body_id").filter("date IN (a, b)").groupBy("body_id", "zone_id", "indicator").agg(F.round(at("b") - at("a"), 6).alias("change"))
+
+
+HIST = """h AS (SELECT event_id AS analysis_id, 'u' || user_id AS body_id, CAST(ts AS DATE) AS day, value / 500 AS ndti, CASE event_type WHEN 'error' THEN 'HIGH' WHEN 'click' THEN 'WARNING' ELSE 'NORMAL' END AS status FROM events),
+hn AS (SELECT *, max(CAST(status = 'NORMAL' AS INT)) OVER (PARTITION BY body_id) = 1 AS has_normal FROM h),
+hk AS (SELECT *, row_number() OVER (PARTITION BY body_id ORDER BY day, analysis_id) AS n FROM hn WHERE status = 'NORMAL' OR NOT has_normal),
+hb AS (SELECT body_id, avg(ndti) AS mean, CASE WHEN count(*) <= 1 THEN 0.01 ELSE stddev_pop(ndti) END AS std, count(*) AS samples FROM hk WHERE n <= 5 GROUP BY body_id)"""
+
+
+@query("a16_history_baselines", f"WITH {HIST} SELECT body_id, round(mean, 6) AS mean, round(std, 6) AS std, samples FROM hb")
+def a16(spark, d):
+    return history.history_baselines(t.history(spark, d)).select("body_id", _r("mean"), _r("std"), "samples")
+
+
+@query("c13_score_history", f"""WITH {HIST}, s AS (SELECT h.*, CASE WHEN std > 0 THEN (ndti - mean) / std END AS d FROM h JOIN hb USING (body_id)),
+v AS (SELECT *, CASE WHEN d IS NULL THEN 0 ELSE CAST(greatest(0, least(100, trunc(abs(d) / 4 * 100))) AS INT) END AS score FROM s)
+SELECT analysis_id, body_id, CASE WHEN d > 3.2 THEN 'HIGH' WHEN d > 2.0 THEN 'WARNING' ELSE 'NORMAL' END AS anomaly_status, score AS anomaly_score,
+  CAST(greatest(0, least(100, trunc(0.5::DOUBLE * score + 30 + 30))) AS INT) AS priority FROM v""")
+def c13(spark, d):
+    return history.score_history(t.history(spark, d)).select("analysis_id", "body_id", "anomaly_status", "anomaly_score", "priority")
+
+
+@query("s13_upsert_history", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
+def s13(spark, d):
+    return history.last_wins(t.table(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("c11_adjudicate_reports")
+def c11(spark, d):
+    return reports.adjudicate(t.reports(spark, d)).select("report_id", "body_id", "user_id", "zone_id", "verdict", "credits")
+
+
+@query("a14_leaderboard")
+def a14(spark, d):
+    return reports.leaderboard(reports.adjudicate(t.reports(spark, d)))
+
+
+@query("w8_running_bumps", """SELECT event_id AS report_id, round(least(0.45, 0.15 * count(*) OVER (PARTITION BY event_id % 4, event_id // 4 % 3 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), 6)::DOUBLE AS bump FROM events""")
+def w8(spark, d):
+    return reports.running_bumps(t.reports(spark, d)).select("report_id", _r("bump"))
+
+
+@query("a13_zone_bumps", "SELECT 'wb-' || (event_id % 4) AS body_id, 'z' || (event_id // 4 % 3) AS zone_id, CAST(least(0.45, round(0.15 * count(*), 6)) AS DOUBLE) AS bump FROM events GROUP BY ALL")
+def a13(spark, d):
+    return reports.zone_bumps(t.reports(spark, d)).select("body_id", "zone_id", _r("bump"))
+
+
+PTS = "{0} AS (SELECT CAST({1} AS BIGINT) AS key, CAST({1} AS BIGINT) * 7919 % 36000 / 100.0::DOUBLE - 180 AS lon, CAST({1} AS BIGINT) * 104729 % 17000 / 100.0::DOUBLE - 85 AS lat FROM {2})"
+DIST = "2 * 6371000.0::DOUBLE * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+
+
+@query("j7_within_300km", f"WITH {PTS.format('a', 'c_custkey', 'customer')}, {PTS.format('b', 's_suppkey', 'supplier')} SELECT * FROM (SELECT a.key, b.key AS \"to\", round({DIST}, 3) AS metres FROM a, b) WHERE metres <= 300000")
+def j7(spark, d):
+    return places.within(t.points(spark, d, "customer"), t.points(spark, d, "supplier"), 300_000).select("key", "to", _r("metres", 3))
+
+
+@query("j6_nearest_three", f"""WITH {PTS.format('a', 'c_custkey', 'customer')}, {PTS.format('b', 's_suppkey', 'supplier')}, p AS (SELECT a.key, b.key AS "to", {DIST} AS metres FROM a, b)
+SELECT key, "to", round(metres, 3) AS metres, CAST(row_number() OVER (PARTITION BY key ORDER BY metres, "to") AS INT) AS rank FROM p WHERE metres <= 1000000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY metres, "to") <= 3""")
+def j6(spark, d):
+    n = places.nearest(places.within(t.points(spark, d, "customer"), t.points(spark, d, "supplier"), 1_000_000), 3)
+    return n.select("key", "to", _r("metres", 3), "rank")
+
+
+@query("j1_point_in_polygon", f"""WITH {PTS.format('a', 'c_custkey', 'customer')}
+SELECT key, CASE WHEN abs(lon) + abs(lat) < 60 AND NOT (lon > -10 AND lon < 10 AND lat > -10 AND lat < 10) THEN 'diamond' ELSE 'none' END AS zone FROM a""")
+def j1(spark, d):
+    ring = lambda *xy: F.array(*(F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in xy))
+    rings = F.array(ring((60, 0), (0, 60), (-60, 0), (0, -60)), ring((-10, -10), (10, -10), (10, 10), (-10, 10)))
+    return t.points(spark, d, "customer").select("key", F.when(geo.in_polygon(F.col("lon"), F.col("lat"), rings), "diamond").otherwise("none").alias("zone"))
+
+
+@query("f21_tiles", f"WITH {PTS.format('a', 'c_custkey', 'customer')} SELECT key, CAST(trunc((lon + 180) / 360 * 1024) AS INT) AS x, CAST(trunc((1 - asinh(tan(radians(lat))) / 3.141592653589793::DOUBLE) / 2 * 1024) AS INT) AS y FROM a")
+def f21(spark, d):
+    tile = geo.tile_of(F.col("lon"), F.col("lat"), 10)
+    return t.points(spark, d, "customer").select("key", tile["x"].alias("x"), tile["y"].alias("y"))
+
+
+@query("f25_tokens", "SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS INT) AS n FROM documents")
+def f25(spark, d):
+    return t.table(spark, d, "documents").select("doc_id", F.size(narrative.tokens(F.col("text"))).alias("n"))
+
+
+@query("f36_heading_chunks", r"""WITH c AS (SELECT doc_id, unnest(string_split(replace(replace(text, '. ', chr(10) || '# '), chr(10) || '#', chr(1) || '#'), chr(1))) AS chunk FROM documents)
+SELECT doc_id, count(*) AS chunks, CAST(sum(length(trim(chunk, ' '))) AS BIGINT) AS chars FROM c WHERE trim(chunk, ' ') <> '' GROUP BY doc_id""")
+def f36(spark, d):
+    c = t.table(spark, d, "documents").select("doc_id", F.explode(narrative.heading_chunks(F.replace("text", F.lit(". "), F.lit("\n# ")))).alias("chunk")).filter("chunk <> ''")
+    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.char_length("chunk")).cast("long").alias("chars"))
+
+
+@query("f18_numbers", r"""WITH n AS (SELECT doc_id, regexp_extract_all(text, '-?\d+(?:\.\d+)?') AS x FROM documents)
+SELECT doc_id, CAST(len(x) AS INT) AS numbers, list_max(list_transform(x, lambda y: CAST(y AS DOUBLE))) AS largest FROM n""")
+def f18(spark, d):
+    n = narrative.numbers_in_text(F.col("text"))
+    return t.table(spark, d, "documents").select("doc_id", F.size(n).alias("numbers"), F.array_max(n).alias("largest"))
+
+
+@query("o1_overlap_search", """WITH q AS (SELECT item_id AS question, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark),
+p AS (SELECT doc_id AS passage, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM documents),
+s AS (SELECT question, passage, count(*) / any_value(n)::DOUBLE AS score FROM p JOIN (SELECT question, len(t) AS n, unnest(t) AS token FROM q) USING (token) GROUP BY ALL)
+SELECT question, passage, round(score, 6) AS score, CAST(row_number() OVER w AS INT) AS rank FROM s WINDOW w AS (PARTITION BY question ORDER BY score DESC, passage) QUALIFY row_number() OVER w <= 3""")
+def o1(spark, d):
+    q = t.table(spark, d, "benchmark").select(F.col("item_id").alias("question"), "text")
+    return retrieval.overlap_search(t.table(spark, d, "documents").select(F.col("doc_id").alias("passage"), "text"), q).select("question", "passage", _r("score"), "rank")
+
+
+@query("o2_vector_search", """WITH q AS (SELECT vec_id AS question, embedding AS e FROM embeddings WHERE vec_id < 5),
+s AS (SELECT question, vec_id AS passage, list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings)
+SELECT question, passage, round(score, 5) AS score, CAST(row_number() OVER w AS INT) AS rank FROM s WHERE score > 0 WINDOW w AS (PARTITION BY question ORDER BY score DESC, passage) QUALIFY row_number() OVER w <= 3""")
+def o2(spark, d):
+    e = t.table(spark, d, "embeddings")
+    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("question"), F.col("embedding").alias("query"))  # the stated query set: five vectors
+    return retrieval.vector_search(e.select(F.col("vec_id").alias("passage"), F.col("embedding").alias("vector")), F.broadcast(q)).select("question", "passage", _r("score", 5), "rank")
+
+
+@query("w4_last_turns", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt, count(*) AS turns FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) GROUP BY conv_id")
+def w4(spark, d):
+    each = F.sort_array(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))))
+    c = t.table(spark, d, "conversations").groupBy("conv_id").agg(each.alias("a")).withColumn("a", F.slice("a", F.greatest(F.lit(1), F.size("a") - 5), F.lit(6)))
+    return c.select("conv_id", F.array_join(F.transform("a", lambda x: x["line"]), "\n").alias("prompt"), F.size("a").cast("long").alias("turns"))
