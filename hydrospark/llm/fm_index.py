@@ -219,8 +219,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         (F.col("start") + F.greatest("j", F.lit(0))).alias("start"), F.when(F.col("j") < 0, F.col("n")).otherwise(1).alias("n"), "body",
         F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), F.col("body")).alias("h2"),
     )
-    distinct = runs.groupBy("route", "h1", "h2", "body").agg(F.min("id").alias("first_id")).select("route", "body", "first_id", "h1", "h2")
-    shards = distinct.repartition("route").sortWithinPartitions("route")
+    distinct = runs.groupBy("route", "body").agg(F.min("id").alias("first_id"))
+    shards = distinct.repartition("route").sortWithinPartitions("route").select("route", "body", "first_id", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), F.col("body")).alias("h2"))
     found = scratch(shards.mapInArrow(functools.partial(_shards, length=length), "h1 long, h2 long, first_id long, flags long"), "fm-found")
     at = runs.select("id", "key", "start", "n", "h1", "h2").join(found, ["h1", "h2"])
     bits = F.when(F.col("id") > F.col("first_id"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("flags"))
