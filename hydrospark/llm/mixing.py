@@ -110,4 +110,4 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = lambda c: own.get(c, c)
     out = mix_sources(docs.withColumnsRenamed(own), at(id_col), at(text_col), at(source_col), **options).filter("copies > 0")
     out = out.withColumn("__mx_nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.withColumnsRenamed({v: k for k, v in own.items()}).select(*cols(docs)) if own else out.select(*cols(docs))
+    return out.drop("size", "source_size", "target", "copies").withColumnsRenamed({v: k for k, v in own.items()}).select(*cols(docs))
