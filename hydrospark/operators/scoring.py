@@ -9,7 +9,11 @@ from ..config import DEFAULTS, INDICATORS, WEIGHTS, Settings
 from ..functions.indices import falloff, finite, normalised_severity, season_of, severity_label, z_score
 
 ZONE = ["body_id", "zone_id", "date"]
-ORDINAL = F.array_position(F.array(*map(F.lit, INDICATORS)), F.col("indicator"))
+
+
+def ordinal() -> Column:
+    """An indicator's place in the fixed order."""
+    return F.array_position(F.array(*map(F.lit, INDICATORS)), F.col("indicator"))
 
 
 def fit_baselines(observations: DataFrame) -> DataFrame:
@@ -49,9 +53,9 @@ def zone_scores(comparisons: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     counts, hit = F.col("z").isNotNull() & (w > 0), F.col("crossed") & F.col("fused")
     out = comparisons.groupBy(*ZONE).agg(
         F.coalesce(F.try_divide(F.sum(F.when(counts, w * z)), F.sum(F.when(counts, w))), F.lit(0.0)).alias("fused_score"),
-        F.sort_array(F.collect_list(F.when(hit, F.struct(ORDINAL.alias("o"), F.col("indicator"))))).alias("hits"),
+        F.sort_array(F.collect_list(F.when(hit, F.struct(ordinal().alias("o"), F.col("indicator"))))).alias("hits"),
         F.max(F.when(hit, z)).alias("max_sigma"), F.min("samples").alias("least"),
-        F.max_by(F.struct(F.col("indicator"), F.abs("sigma").alias("sigma")), F.when(hit & F.col("sigma").isNotNull(), F.struct(F.abs("sigma"), -ORDINAL))).alias("top"),
+        F.max_by(F.struct(F.col("indicator"), F.abs("sigma").alias("sigma")), F.when(hit & F.col("sigma").isNotNull(), F.struct(F.abs("sigma"), -ordinal()))).alias("top"),
     )
     out = out.withColumn("contributing", F.transform("hits", lambda x: x["indicator"])).withColumn("flagged", F.size("hits") > 0)
     out = out.withColumn("severity", F.when(F.col("flagged"), severity_label(F.col("max_sigma"))))
