@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb
 
-from .common import python_workers, text_of
+from .common import cols, python_workers, text_of
 
 SPACE = "▁"
 _NORMAL, _USER, _BYTE = 1, 4, 6
-_CACHE_MAX = 300_000
+_CACHE_MAX = 200_000
 
 
 class Transducer:
@@ -30,8 +31,8 @@ class Transducer:
       is finite: the tropical shortest path.
 
     Composition is lazy: paths are relaxed from left to right, longest arc first, and a position from which no finite
-    path ends is left once. No piece goes on over the beginning of a word, so inputs are cut there and the paths of
-    recent words are kept.
+    path ends is left once. No piece goes on over the beginning of a word or holds characters of two classes (see `_classes`),
+    so inputs are cut there and the paths of recent parts are kept.
     """
 
     def __init__(self, path: str):
@@ -42,8 +43,10 @@ class Transducer:
         if m.trainer_spec.model_type != model_pb.TrainerSpec.BPE or n.precompiled_charsmap or n.remove_extra_whitespaces or not n.escape_whitespaces:
             raise ValueError("only BPE models without a character map are compiled")
         self.prefix = SPACE if n.add_dummy_prefix else ""
-        self.surface = [p.piece for p in m.pieces]
-        self.kind = [p.type for p in m.pieces]
+        # the inverse's outputs, one after the other as UTF-8: a byte, a piece with its spaces, or nothing
+        put = [bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.replace(SPACE, " ").encode() if p.type in (_NORMAL, _USER) else b"" for p in m.pieces]
+        self.output, self.size = np.frombuffer(b"".join(put), np.uint8), np.array([*map(len, put)], np.int64)
+        self.offset = np.cumsum(self.size) - self.size
         self.bytes_ = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == _BYTE}
         normal = [(p.piece, p.score, i) for i, p in enumerate(m.pieces) if p.type == _NORMAL]
         if any(SPACE in x.lstrip(SPACE) for x, _, _ in normal):
@@ -54,7 +57,7 @@ class Transducer:
         self.run_score = {len(x): s for x, s, _ in normal if not x.strip(SPACE)}
         ranked = sorted((x for x in normal if x[0] not in runs), key=lambda x: (len(x[0]) > 1, -x[1], x[2]))
         self.state = {x: k for k, (x, _, _) in enumerate(ranked)}
-        self.label = np.array([i for _, _, i in ranked], "<u4")
+        self.label = [i for _, _, i in ranked]
         self.single = sum(len(x) == 1 for x, _, _ in ranked)
         self.merge: dict[tuple[int, int], int] = {}
         for x, k in self.state.items():
@@ -69,10 +72,21 @@ class Transducer:
                     self.halves[k] = last
                 else:  # merging never gets there, so no path may use it
                     del self.state[x]
-        self.longest = max(map(len, self.state))
-        self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+        # how long a path's next arc can be, by the (up to) three characters that it begins with
+        self.reach: dict[str, int] = {}
+        for x in self.state:
+            for n_ in range(1, min(3, len(x)) + 1):
+                self.reach[x[:n_]] = max(self.reach.get(x[:n_], 1), len(x) if n_ == 3 else min(len(x), n_))
+        self.known = re.compile("[" + "".join(re.escape(x) for x in self.state if len(x) == 1) + "]+")
+        self.words: dict[str, bytes] = {}  # of two generations: the older one goes when the younger is full
+        self.older: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}  # by a << 20 | b
+        one = lambda some: f"[{''.join(map(re.escape, some))}]+"
+        known = {x for x in self.state if len(x) == 1 and x != SPACE}
+        classes = _classes(self.state)
+        alone = known.difference(*classes)
+        kinds = [*map(one, classes), *([one(alone)] if alone else []), f"[^{SPACE}{''.join(map(re.escape, known))}]+"]
+        self.cut = re.compile(f"{SPACE}*(?:{'|'.join(kinds)})|{SPACE}+").findall
 
     def _last_merge(self, x: str) -> tuple[int, int] | None:
         parts = [self.state.get(c) for c in x]
@@ -107,9 +121,9 @@ class Transducer:
                     if a == old:
                         good = True
                         break
-        if len(self.pairs) > 4 * _CACHE_MAX:
+        if len(self.pairs) > 5 * _CACHE_MAX:
             self.pairs.clear()
-        self.pairs[first] = good
+        self.pairs[first[0] << 20 | first[1]] = good
         return good
 
     def _path(self, s: str) -> list[int]:
@@ -117,8 +131,8 @@ class Transducer:
         out: list[int] = []
         ends: list[int] = []
         dead: set[int] = set()
-        state, pairs, longest, n, at = self.state, self.pairs, self.longest, len(s), 0
-        upto = min(n, longest)
+        state, pairs, reach, n, at = self.state, self.pairs, self.reach, len(s), 0
+        upto = reach.get(s[:3]) or reach.get(s[:2], 1)
         while at < n:
             end, found = upto, None
             while end > at:
@@ -127,7 +141,7 @@ class Transducer:
                     if not out:
                         found = k
                         break
-                    good = pairs.get((out[-1], k))
+                    good = pairs.get(out[-1] << 20 | k)
                     if good or good is None and self._apart(out[-1], k):
                         found = k
                         break
@@ -141,7 +155,7 @@ class Transducer:
                 out.append(found)
                 ends.append(end)
                 at = end
-                upto = min(n, at + longest)
+                upto = at + (reach.get(s[at : at + 3]) or reach.get(s[at : at + 2], 1))
         return out
 
     def _run(self, n: int) -> list[int]:
@@ -158,16 +172,15 @@ class Transducer:
         rest = chunk.lstrip(SPACE)
         spaces = len(chunk) - len(rest)
         body, ids, at = (SPACE if spaces else "") + rest, [], 0
-        for known, part in _spans(body, self.state):
-            if known:
-                ids += self.label[self._path(part)].tolist()
-            else:
-                ids += [self.bytes_[b] for c in part for b in c.encode()]
-            at += len(part)
+        for part in self.known.finditer(body):
+            ids += [self.bytes_[b] for b in body[at : part.start()].encode()]
+            ids += map(self.label.__getitem__, self._path(part.group()))
+            at = part.end()
+        ids += [self.bytes_[b] for b in body[at:].encode()]
         if spaces > 1:
             alone = ids[0] == self.runs[1]
             ids = self._run(spaces if alone else spaces - 1) + ids[alone:]
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; an empty text has none."""
@@ -175,35 +188,33 @@ class Transducer:
             return b""
         parts, words = self.cut(self.prefix + text.replace(" ", SPACE)), self.words
         if len(words) > _CACHE_MAX:
-            words.clear()
+            self.older, self.words = words, {}
+            words = self.words
+        older = self.older
         for x in set(parts).difference(words):
-            words[x] = self._word(x)
+            words[x] = older.get(x) or self._word(x)
         return b"".join(map(words.__getitem__, parts))
 
     def decode(self, ids: bytes) -> str:
         """The inverse transducer: pieces to text, bytes joined to characters, signs for spaces to spaces, the first one dropped."""
-        kind, surface, out, held = self.kind, self.surface, [], bytearray()
-        for i in np.frombuffer(ids, "<u4").tolist():
-            if kind[i] == _BYTE:
-                held.append(int(surface[i][3:5], 16))
-                continue
-            if held:
-                out.append(held.decode(errors="replace"))
-                held.clear()
-            if kind[i] in (_NORMAL, _USER):
-                out.append(surface[i])
-        out.append(held.decode(errors="replace"))
-        text = "".join(out).replace(SPACE, " ")
+        at = np.frombuffer(ids, "<u4")
+        size, start = self.size[at], self.offset[at]
+        ends = np.cumsum(size)
+        if not len(at) or not ends[-1]:
+            return ""
+        text = self.output[np.arange(ends[-1]) + np.repeat(start - ends + size, size)].tobytes().decode(errors="replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-def _spans(s: str, known) -> Iterator[tuple[bool, str]]:
-    """Runs of characters that are pieces, and of those that aren't."""
-    at = 0
-    for i in range(1, len(s) + 1):
-        if i == len(s) or (s[i] in known) != (s[at] in known):
-            yield s[at] in known, s[at:i]
-            at = i
+def _classes(pieces: Iterable[str]) -> list[set[str]]:
+    """Characters in classes such that every piece, the sign for a space aside, has those of one class only; classes of one character are left out."""
+    of: dict[str, set[str]] = {}
+    for x in pieces:
+        both = set(x) - {SPACE}
+        if len(both) > 1:
+            both = both.union(*(of.get(c, ()) for c in both))
+            of |= dict.fromkeys(both, both)
+    return list({id(c): c for c in of.values()}.values())
 
 
 @functools.cache
@@ -213,13 +224,14 @@ def transducer(path: str) -> Transducer:
 
 
 def encode_column(text: Column, model: str) -> Column:
-    """The ids of a text as binary (little-endian unsigned 32-bit integers); null counts as empty."""
+    """Of a text (null counts as empty) its ids as binary (little-endian unsigned 32-bit integers) and the text that these ids give back."""
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids binary, decoded string")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         t = transducer(model)
         for texts in batches:
-            yield texts.fillna("").map(t.encode)
+            ids = texts.fillna("").map(t.encode)
+            yield pd.DataFrame({"ids": ids, "decoded": ids.map(t.decode)})
 
     return encode(text)
 
@@ -243,5 +255,7 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text") -> DataFr
     space, which comes back as a space. Columns that bear an output's name are replaced; an empty table stays empty.
     """
     python_workers(docs.sparkSession)
-    out = docs.withColumn("ids", encode_column(text_of(text_col), model))
-    return out.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "decoded": decode_column(F.col("ids"), model)})
+    out = docs.withColumn("__wfst", encode_column(text_of(text_col), model))
+    own = ("ids", "n_tokens", "decoded")
+    n_tokens = (F.octet_length("__wfst.ids") / 4).cast("long").alias("n_tokens")
+    return out.select(*cols(docs, *own), "__wfst.ids", n_tokens, "__wfst.decoded")
