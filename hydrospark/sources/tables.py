@@ -20,6 +20,16 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("inside", (F.col("row") < 52) & (F.col("col") < 48)).withColumn("zone_id", F.when(F.col("inside"), F.concat(F.lit("z"), (F.col("col") / 16).cast("int").cast("string"))))
 
 
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of scene folders from events: body, date, file name, size, time."""
+    names = F.array(*map(F.lit, ("B02.tif", "band2.tif", "B03.tif", "B04.tif", "B08.tif", "SCL.tif", "notes.txt")))
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").filter(i % 11 < F.col("user_id") % 9).select(
+        F.concat(F.lit("wb-"), (F.col("user_id") % 4).cast("string")).alias("body_id"), F.date_format("ts", "yyyyMMdd").alias("date"),
+        F.get(names, (i * 31 % 7).cast("int")).alias("file"), (i * 100).alias("size"), i.alias("mtime"),
+    )
+
+
 def points(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """(key, lon, lat) from customer, supplier or nation."""
     key = {"customer": "c_custkey", "supplier": "s_suppkey", "nation": "n_nationkey"}[name]
