@@ -232,3 +232,14 @@ def test_pipeline(spark, docs):
     texts = {hashlib.sha256(np.array(sp.encode(r[1] or ""), "<u4").tobytes()).hexdigest() for r in ROWS}
     got = rows.collect()
     assert got and all(hashlib.sha256(r.ids).hexdigest() in texts for r in got)
+
+
+def test_wfst_random_texts(monkeypatch):
+    monkeypatch.setattr(wfst, "_CACHE_MAX", 50)  # both generations of kept words are used
+    sp, t, r = sentencepiece.SentencePieceProcessor(model_file=PIECES), wfst.Transducer(PIECES), random.Random(9)
+    some = ["the", "ing", "Été", "  ", " ", "\n", "\t", ".", "...", "don't", "###", "1999", "привет", "你好", "😀", "é", "ç%", "<s>", "▁", "=>", "});", "\x00", "_a_"]
+    for _ in range(3000):
+        text = "".join(r.choice(some) for _ in range(r.randint(0, 12)))
+        ids = t.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(text), text
+        assert t.decode(ids) == text.replace("▁", " "), text
