@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -26,14 +27,25 @@ _LOW = 1 << 31
 #: magic, version, lanes, bits, ids, checkpoints, words, crc32 of the ids, crc32 of the frequency table
 _HEADER = struct.Struct("<4sHHHxxIIIII")
 _MAGIC = b"RANS"
-_CACHE_MAX = 600_000
+#: Units in one of an encoder's two generations.
+_CACHE_MAX = 400_000
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~"
+#: Each of these is one unit of byte-level pre-tokenizing, as the character that follows shows: letters, digits or ASCII marks after at most one space, or a line end.
+_UNIT = rf" ?[{_LETTER}]++(?=[\x00-@\[-`{{-\x7f]|\Z)| ?[0-9]++(?=[\x00-/:-\x7f]|\Z)|(?!') ?[{_MARK}]++(?=[A-Za-z0-9\s]|\Z)|\n(?=\S)"
+
+
+def _byte_signs() -> dict[int, int]:
+    """Byte-level BPE writes visible Latin-1 characters as themselves and the other bytes, in order, as characters from 256 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or b >= 161 and b != 173)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
 
 
 class Encoder:
-    """A tokenizers file with the ids of recent words kept.
+    """A byte-level BPE tokenizers file with the ids of recent units kept, in two generations; the older one goes when the younger is full.
 
-    Byte-level BPE begins a new unit at a single space before a letter or digit, so texts are cut there and equal
-    parts encoded once.
+    Texts are cut at units of pre-tokenizing that their characters prove, and the file's merges are applied to each new one
+    without pre-tokenizing it. What is no such unit goes, up to the next single space before a letter or digit, where a new
+    unit always begins, through the whole tokenizer; so does a special token.
     """
 
     def __init__(self, path: str):
@@ -41,26 +53,49 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut = re.compile(r" (?=[^\W_])").split
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[x] = array("I", e.ids).tobytes()
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind["pre_tokenizer"] or {}
+        if kind["normalizer"] or kind["model"].get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError("only byte-level BPE files without a normalizer are read")
+        special = kind["added_tokens"]
+        if any(x[k] for x in special for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("a special token takes in what is beside it")
+        longest_first = sorted((x["content"] for x in special), key=len, reverse=True)
+        self.at_special = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if special else lambda text: [text]
+        self.merged, self.signs = self.tokenizer.model.tokenize, _byte_signs()
+        self.cut = re.compile(rf"{_UNIT}|(?s:.+?)(?= [^\W_]|\Z)").findall
+        self.is_unit = re.compile(_UNIT).fullmatch
+        self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _parts(self, text: str) -> list[str]:
+        """Units, other parts and special tokens in order; the tokenizer takes the stretches between special tokens one by one."""
+        first, *rest = self.at_special(text)
+        parts = self.cut(first)
+        for special, stretch in zip(rest[::2], rest[1::2]):
+            parts += [special, *self.cut(stretch)]
+        return parts
+
+    def _learn(self, new: set[str]) -> None:
+        units, older, merged, signs, other = self.units, self.older, self.merged, self.signs, []
+        for x in new:
+            if x in older:
+                units[x] = older[x]
+            elif self.is_unit(x):
+                ids = [t.id for t in merged(x.encode().decode("latin-1").translate(signs))]
+                units[x] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                other.append(x)
+        for x, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            units[x] = array("I", e.ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; what is new in all of them is encoded in one call."""
-        split, new, known = [], set(), self.known
-        if len(known) > _CACHE_MAX:
-            known.clear()
-        for text in texts:
-            first, *rest = self.cut(text)
-            parts = [first, *map(" ".__add__, rest)]
-            new.update(parts)
-            split.append(parts)
-        if new := list(new.difference(known)):
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        """The ids of each text as little-endian unsigned 32-bit integers; what is new in all of them is encoded once."""
+        if len(self.units) > _CACHE_MAX:
+            self.older, self.units = self.units, {}
+        split = [self._parts(x) for x in texts]
+        self._learn(set().union(*split).difference(self.units))
+        return [b"".join(map(self.units.__getitem__, x)) for x in split]
 
 
 @functools.cache
