@@ -30,9 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes `df` in the shared folder and reads it again, so a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Cuts the lineage: writes `df` in the shared folder and reads it again, so a lost executor costs no recomputation.
+
+    Once the table is written nothing needs the shuffle files behind it, and Spark is told to remove them then.
+    """
+    path, conf, key = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
