@@ -243,3 +243,12 @@ def test_wfst_random_texts(monkeypatch):
         ids = t.encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == sp.encode(text), text
         assert t.decode(ids) == text.replace("▁", " "), text
+
+
+def test_byte_level_units():
+    """Texts cut at units get the ids that the library gives the whole text."""
+    rng, encoder = random.Random(5), rans.Encoder(BYTES)
+    signs = ["<|endoftext|>", "'ll", " '", "\r\n", *"ab'sd tre  \n\n\t.,!9²é日ß́ _|<>×ſ"]
+    texts = ["", " ", "\n", "'s ''s !'s", "a  b\n\n c", *("".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(5000))]
+    whole = [np.array(e.ids, "<u4").tobytes() for e in tokenizers.Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)]
+    assert encoder.ids(texts) == whole
