@@ -12,7 +12,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hydrospark.llm import chat_format, exact_dedup, fm_index, mixing, quality_rules, rans, sharding, simhash, token_counts, wfst
+from hydrospark.llm import chat_format, exact_dedup, fm_index, mixing, quality_rules, rans, sharding, shingle_dedup, simhash, token_counts, wfst
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, id string, `a.b` string"
@@ -182,6 +182,52 @@ def test_simhash(docs, none):
     assert kept.columns == docs.columns and kept.count() == len(set(group.values()))
 
 
+def five_word_components(texts):
+    """The component of each text by brute force: shared five-word shingles over all of both, 0.8 or more; and how many pairs link."""
+    def parts(text):
+        w = plain((text or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    sets, group, links = [parts(t) for t in texts], list(range(len(texts))), []
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                links.append((i, j))
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return group, links
+
+
+def near_texts():
+    r = random.Random(21)
+    out = []
+    for n in (60, 120, 300):
+        for edits in (1, 2, 3, 5, 8, 13):
+            base = [f"w{r.randint(0, 10**9)}" for _ in range(n)]
+            out.append(" ".join(base))
+            for _ in range(6):
+                copy = list(base)
+                for k in r.sample(range(n), min(edits, n // 20)):
+                    copy[k] = f"x{r.randint(0, 10**9)}"
+                out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("side", [400, 2])
+def test_near_dedup_stage(spark, docs, monkeypatch, side):
+    monkeypatch.setattr(shingle_dedup, "_SIDE", side)
+    texts = near_texts()
+    group, links = five_word_components(texts)
+    assert len(links) > 100 and len(set(group)) > 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert kept == set(group)
+    texts = [r[1] for r in ROWS]
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns and got.count() == len(set(five_word_components(texts)[0]))
+    assert side < 400 or corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
 def test_mixing(docs, none):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(ROWS) and mixing.mix_sources(none).count() == 0
