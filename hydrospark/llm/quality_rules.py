@@ -14,10 +14,14 @@ SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
 
 
+def normal(text: Column) -> Column:
+    """A-Z lower-cased, runs of white space one space, ends trimmed."""
+    return F.trim(F.regexp_replace(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), GAP, " "))
+
+
 def line_key(line: Column) -> Column:
-    """The hash of a normalised line: A-Z lower-cased, runs of white space one space, ends trimmed. No word: null."""
-    plain = F.trim(F.regexp_replace(F.translate(line, string.ascii_uppercase, string.ascii_lowercase), GAP, " "))
-    return F.when(plain != "", F.xxhash64(plain))
+    """The hash of a normalised line. No word: null."""
+    return F.when(normal(line) != "", F.xxhash64(normal(line)))
 
 
 def repeat_words(grams: Column) -> Column:
@@ -57,8 +61,8 @@ def line_frequency(
     host (`host_col`) the distinct documents with that line are counted. A line found in more than `max_docs`
     documents of a host is removed from all documents of that host, and a document that is left with fewer than `min_words`
     words or less than `min_kept_share` of them is rejected. So that an article that was copied thousands of times
-    isn't taken for boilerplate, copies and near copies count as one document: what identifies a document here is the
-    least hash of its 3-word windows, which such copies nearly always share.
+    isn't taken for boilerplate, copies count as one document: what identifies a document here is the hash of its whole
+    normalised text. Texts that differ in any word are different documents, however long the passages that they share.
 
     Lines are exploded as hashes, never as texts. Counts are summed on the map side (a line in a third of all documents
     is a few rows per task), and frequent lines find their documents by a shuffled join of hashes, whose hot keys
@@ -77,7 +81,7 @@ def line_frequency(
     words = words_of(text)
     lines = F.filter(F.split(text, "\n", -1), has_word)
     in_row = F.transform(lines, lambda x: F.struct(line_key(x).alias("h"), F.size(words_of(x)).alias("n")))
-    self = F.coalesce(F.array_min(three_word_windows(words)), F.xxhash64(text))
+    self = F.xxhash64(normal(text))
     marked = base.select(*_K, _SRC, self.alias(_SELF), in_row.alias("lines"))
     seen = marked.select(*_K, _SRC, _SELF, F.explode("lines").alias("x")).select(*_K, _SRC, _SELF, "x.h", "x.n")
     seen = scratch(seen.groupBy(*_K, _SRC, _SELF, "h").agg(F.sum("n").cast("int").alias("n"), F.count(F.lit(1)).cast("int").alias("lines")), "qr-lines")

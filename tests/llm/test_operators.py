@@ -81,6 +81,19 @@ def test_quality_rules_removes_frequent_lines(spark):
     assert got[101].kept and got[101].text.endswith("shared line here")
 
 
+def test_quality_rules_counts_documents_that_share_a_passage(spark):
+    """Each of 30 documents has 60 words of its own; of 300 shared words most hold the least hash of all windows."""
+    r = random.Random(11)
+    prose = lambda n: " ".join(f"w{r.randint(0, 10**9)}" for _ in range(n))
+    for _ in range(3):
+        passage = prose(300)
+        data = [(i, f"{prose(60)}\n{passage}", "h") for i in range(30)]
+        data += [(100 + i, "copied " + passage[:200] + "\n" + passage[200:700], "h") for i in range(30)]  # one text thirty times
+        got = {x.doc_id: x for x in quality_rules.line_frequency(spark.createDataFrame(data, "doc_id long, text string, source string"), min_kept_share=0.1).collect()}
+        assert all(got[i].n_frequent_lines == 1 and got[i].n_kept_words == 60 and got[i].kept for i in range(30))
+        assert all(got[100 + i].n_frequent_lines == 0 and got[100 + i].kept for i in range(30))
+
+
 def test_exact_dedup(docs, none):
     got = exact_dedup.exact_dedup(docs).collect()
     assert len(got) == len(ROWS) and exact_dedup.exact_dedup(none).count() == 0
