@@ -33,10 +33,39 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_frequency(_docs(spark, sf_dir), rewrite=False)
+    out = line_frequency(_docs(spark, sf_dir).select("doc_id", "text", "source"), copies_once=True, rewrite=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_lines", "n_kept_words")
 
 
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         string_split(coalesce(text, ''), chr(10)) AS raw, list_transform(raw, lambda x: trim(regexp_replace(x, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ')) AS clean
+  FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
+r AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT g.doc_id, unnest([i, i + 1, i + 2]) AS p FROM g JOIN (SELECT doc_id, s FROM g GROUP BY ALL HAVING count(*) > 1) USING (doc_id, s))
+  GROUP BY doc_id),
+l AS (
+  SELECT * FROM (SELECT doc_id, source, unnest(raw) AS line, unnest(clean) AS c, array_to_string(list_filter(list_transform(clean, lambda x: lower(x)), lambda x: x <> ''), chr(10)) AS article FROM d)
+  WHERE c <> ''),
+e AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
+f AS (SELECT source, lower(c) AS c FROM l GROUP BY ALL HAVING count(DISTINCT article) > 20),
+x AS (
+  SELECT l.doc_id, count(*) AS gone, sum(len(l.c) - len(replace(l.c, ' ', '')) + 1) AS lost
+  FROM l JOIN f ON l.source IS NOT DISTINCT FROM f.source AND lower(l.c) = f.c GROUP BY l.doc_id),
+b AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(gone, 0) AS n_frequent_lines, CAST(len(w) - coalesce(lost, 0) AS BIGINT) AS n_kept_words, lost
+  FROM d LEFT JOIN e USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (lost IS NOT NULL AND (n_kept_words < 50 OR n_kept_words < 0.3::DOUBLE * n_words)) AS kept, n_frequent_lines, n_kept_words
+FROM b
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -159,4 +188,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_wfst": op9_wfst,
     "op10_token_counts": op10_token_counts,
 }
-SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op5_fm_index": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_mixing": OP8_SQL}
+SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_fm_index": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_mixing": OP8_SQL}

@@ -59,9 +59,9 @@ def test_sharding(docs, none):
 def test_quality_rules(docs, none):
     got = quality_rules.line_frequency(docs, max_docs=2).collect()
     assert len(got) == len(ROWS) and quality_rules.line_frequency(none).count() == 0
-    full = {(r[0], r[1]) for r in ROWS}
-    for r in quality_rules.line_frequency(docs, rewrite=False).collect():
-        assert (r.doc_id, r.text) in full
+    both = docs.withColumn("text copy", F.col("text"))
+    assert "text" not in quality_rules.line_frequency(docs, rewrite=False).columns
+    for r in quality_rules.line_frequency(both, rewrite=False).withColumnRenamed("text copy", "text").collect():
         w, t = plain(r.text), r.text or ""
         grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         hit = {i + j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)} if len(w) < 1000 else None
@@ -89,9 +89,37 @@ def test_quality_rules_counts_documents_that_share_a_passage(spark):
         passage = prose(300)
         data = [(i, f"{prose(60)}\n{passage}", "h") for i in range(30)]
         data += [(100 + i, "copied " + passage[:200] + "\n" + passage[200:700], "h") for i in range(30)]  # one text thirty times
-        got = {x.doc_id: x for x in quality_rules.line_frequency(spark.createDataFrame(data, "doc_id long, text string, source string"), min_kept_share=0.1).collect()}
+        table = spark.createDataFrame(data, "doc_id long, text string, source string")
+        got = {x.doc_id: x for x in quality_rules.line_frequency(table, min_kept_share=0.1, copies_once=True).collect()}
         assert all(got[i].n_frequent_lines == 1 and got[i].n_kept_words == 60 and got[i].kept for i in range(30))
         assert all(got[100 + i].n_frequent_lines == 0 and got[100 + i].kept for i in range(30))
+        each = {x.doc_id: x for x in quality_rules.line_frequency(table, min_kept_share=0.1).collect()}
+        assert all(each[100 + i].n_frequent_lines == 2 and not each[100 + i].kept for i in range(30))  # copies count each for itself
+
+
+@pytest.mark.parametrize(("documents", "shared", "own"), [(40, 100, 60), (40, 200, 60), (60, 60, 60)])
+def test_quality_rules_finds_boilerplate_on_every_host(spark, documents, shared, own):
+    r = random.Random(documents + shared)
+    prose = lambda n: " ".join(f"w{r.randint(0, 10**9)}" for _ in range(n))
+    data = []
+    for host in range(40):
+        line = prose(shared)
+        data += [(1000 * host + i, f"{prose(own)}\n{line}", f"h{host}") for i in range(documents)]
+    got = quality_rules.line_frequency(spark.createDataFrame(data, "doc_id long, text string, source string"), copies_once=True, rewrite=False)
+    assert got.filter(f"n_frequent_lines = 1 AND n_kept_words = {own}").select("source").distinct().count() == 40 and got.filter("n_frequent_lines <> 1").count() == 0
+
+
+def test_repeated_windows(spark):
+    """Texts with few and with many repeated windows, against brute force."""
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abcdefghijkl"[:k]) for _ in range(n)) for k, n in ((12, 40), (12, 900), (3, 30), (12, 5000), (2, 400), (1, 5), (12, 2), (12, 3))]
+    w = quality_rules.three_word_windows(F.split("t", " "))
+    out = spark.createDataFrame([(x,) for x in texts], "t string").withColumn("g", w).withColumn("two", quality_rules.repeated(F.sort_array("g"))).select("t", quality_rules.repeat_words(F.col("g"), F.col("two")).alias("n"))
+    for t, n in out.collect():
+        words = t.split()
+        grams = list(zip(words, words[1:], words[2:]))
+        often = {g for g in grams if grams.count(g) > 1} if len(grams) < 1000 else {g for g, c in __import__("collections").Counter(grams).items() if c > 1}
+        assert n == len({i + j for i, g in enumerate(grams) if g in often for j in range(3)})
 
 
 def test_exact_dedup(docs, none):
