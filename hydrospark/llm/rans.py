@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import functools
 import json
 import os
@@ -9,7 +10,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,18 @@ _LOW = 1 << 31
 _HEADER = struct.Struct("<4sHHHxxIIIII")
 _MAGIC = b"RANS"
 #: Units in one of an encoder's two generations.
-_CACHE_MAX = 400_000
+_CACHE_MAX = 700_000
+#: Longer units, in characters, aren't kept, which bounds the bytes of what is.
+_LONG = 64
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~"
 #: Each of these is one unit of byte-level pre-tokenizing, as the character that follows shows: letters, digits or ASCII marks after at most one space, or a line end.
 _UNIT = rf" ?[{_LETTER}]++(?=[\x00-@\[-`{{-\x7f]|\Z)| ?[0-9]++(?=[\x00-/:-\x7f]|\Z)|(?!') ?[{_MARK}]++(?=[A-Za-z0-9\s]|\Z)|\n(?=\S)"
 
 
-def _byte_signs() -> dict[int, int]:
-    """Byte-level BPE writes visible Latin-1 characters as themselves and the other bytes, in order, as characters from 256 on."""
+def _byte_signs() -> str:
+    """The 256 signs of bytes: byte-level BPE writes visible Latin-1 characters as themselves and the other bytes, in order, as characters from 256 on."""
     hidden = [b for b in range(256) if not (33 <= b <= 126 or b >= 161 and b != 173)]
-    return {b: 256 + i for i, b in enumerate(hidden)}
+    return "".join(chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256))
 
 
 class Encoder:
@@ -65,8 +68,7 @@ class Encoder:
         self.merged, self.signs = self.tokenizer.model.tokenize, _byte_signs()
         self.cut = re.compile(rf"{_UNIT}|(?s:.+?)(?= [^\W_]|\Z)").findall
         self.is_unit = re.compile(_UNIT).fullmatch
-        self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.units = _Units(self._encoded, {})
 
     def _parts(self, text: str) -> list[str]:
         """Units, other parts and special tokens in order; the tokenizer takes the stretches between special tokens one by one."""
@@ -76,26 +78,31 @@ class Encoder:
             parts += [special, *self.cut(stretch)]
         return parts
 
-    def _learn(self, new: set[str]) -> None:
-        units, older, merged, signs, other = self.units, self.older, self.merged, self.signs, []
-        for x in new:
-            if x in older:
-                units[x] = older[x]
-            elif self.is_unit(x):
-                ids = [t.id for t in merged(x.encode().decode("latin-1").translate(signs))]
-                units[x] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                other.append(x)
-        for x, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            units[x] = array("I", e.ids).tobytes()
+    def _encoded(self, x: str) -> bytes:
+        if self.is_unit(x):
+            signs, _ = codecs.charmap_decode(x.encode(), "strict", self.signs)
+            return array("I", [t.id for t in self.merged(signs)]).tobytes()
+        return array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; what is new in all of them is encoded once."""
+        """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.units) > _CACHE_MAX:
-            self.older, self.units = self.units, {}
-        split = [self._parts(x) for x in texts]
-        self._learn(set().union(*split).difference(self.units))
-        return [b"".join(map(self.units.__getitem__, x)) for x in split]
+            self.units = _Units(self._encoded, self.units)
+        of = self.units.__getitem__
+        return [b"".join(map(of, self._parts(x))) for x in texts]
+
+
+class _Units(dict):
+    """Units and their ids; one that is new comes from the older generation or is encoded."""
+
+    def __init__(self, encoded: Callable[[str], bytes], older: dict[str, bytes]):
+        self.encoded, self.older = encoded, dict(older)
+
+    def __missing__(self, x: str) -> bytes:
+        ids = self.older.get(x) or self.encoded(x)
+        if len(x) <= _LONG:
+            self[x] = ids
+        return ids
 
 
 @functools.cache

@@ -162,6 +162,9 @@ def test_rans_tokens(spark, docs, none, tmp_path):
         start += r.n_tokens
     ids = [-1 if r.id is None else r.id for r in got]
     assert ids == sorted(ids)
+    whole, pack = tokenizers.Tokenizer.from_file(BYTES), lambda x: np.array([*x, 0], "<u4").tobytes()
+    own = lambda text: pack(whole.encode(text or "", add_special_tokens=False).ids)
+    assert sorted((i, r.ids) for i, r in zip(ids, got)) == sorted((-1 if r[0] is None else r[0], own(r[1])) for r in ROWS)
     rans.write_tokens(none, BYTES, f"{tmp_path}/b")
     assert rans.read_tokens(spark, f"{tmp_path}/b").count() == 0
 
