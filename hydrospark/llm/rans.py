@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from .common import python_workers, q, scratch, small, text_of
 
 #: Frequencies sum to 2**BITS; states stay in [2**31, 2**63) and give or take 32 bits at a time.
-BITS, LANES, BLOCK, EVERY = 18, 1024, 1 << 18, 128
+BITS, LANES, BLOCK, EVERY = 18, 4096, 1 << 20, 128
 _LOW = 1 << 31
 #: magic, version, lanes, bits, ids, checkpoints, words, crc32 of the ids, crc32 of the frequency table
 _HEADER = struct.Struct("<4sHHHxxIIIII")
@@ -204,7 +204,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
 
     Rows are exchanged once, by ranges of the id, and tokenised in that order; ids are written to the shared folder with the
     range's number and their place in it, counted, and encoded from there in blocks of whole documents with at least
-    2**18 ids. Only the counts by id, at most as many as the vocabulary has, come to the driver; they are the
+    2**20 ids. Only the counts by id, at most as many as the vocabulary has, come to the driver; they are the
     frequency table, made over all documents and sent to all tasks.
 
     Each document ends with `end_id`. Null text counts as empty; null ids come first; rows that repeat an id
