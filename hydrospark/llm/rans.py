@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from .common import python_workers, q, scratch, small, text_of
@@ -203,7 +204,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     """Tokenises all texts and writes them under `path`: blocks/ (Parquet, one block a row) and table/ (id, frequency).
 
     Rows are exchanged once, by ranges of the id, and tokenised in that order; ids are written to the shared folder with the
-    range's number and their place in it, counted, and encoded from there in blocks of whole documents with at least
+    range's number and their place in it, with each range's counts of ids, and encoded from there in blocks of whole documents with at least
     2**20 ids. Only the counts by id, at most as many as the vocabulary has, come to the driver; they are the
     frequency table, made over all documents and sent to all tasks.
 
@@ -215,31 +216,34 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     kind = docs.schema[id_col].dataType
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end, at, part = _encoder(tokenizer).ids, struct.pack("<I", end_id), 0, TaskContext.get().partitionId()
+        ids_of, end, at, part, total = _encoder(tokenizer).ids, struct.pack("<I", end_id), 0, TaskContext.get().partitionId(), np.zeros(0, np.int64)
+
+        def rows(docs: pa.Array, starts: np.ndarray, packed: list[bytes | None], seen: list, times: list) -> pa.RecordBatch:
+            values = np.full(len(docs), part, np.int32), docs, starts, packed, seen, times
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], [f.name for f in fields])
+
         for b in batches:
             ids = [x + end for x in ids_of(b.column(1).to_pylist())]
             n = np.array([len(x) // 4 for x in ids], np.int64)
+            total = _sum(total, np.bincount(np.frombuffer(b"".join(ids), "<u4")))
             # two planes of bytes pack better than whole integers
             packed = [np.frombuffer(x, np.uint8).reshape(-1, 4).T.tobytes() for x in ids]
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), b.column(0), pa.array(starts), pa.array(packed, pa.binary())], ["part", "id", "first", "ids"])
+            yield rows(b.column(0), starts, packed, [None] * len(n), [None] * len(n))
+        some = np.nonzero(total)[0]
+        yield rows(pa.nulls(1, types[1]), np.zeros(1, np.int64), [None], [some], [total[some]])
 
     fields = [T.StructField("part", T.IntegerType()), T.StructField("id", kind), T.StructField("first", T.LongType()), T.StructField("ids", T.BinaryType())]
+    fields += [T.StructField("seen", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.LongType()))]
+    types = [to_arrow_type(f.dataType) for f in fields]
     rows = docs.select(F.col(q(id_col)).alias("id"), text_of(text_col).alias("text"), F.xxhash64(q(text_col)).alias("h"))
     rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
     tokens = scratch(rows.mapInArrow(tokenise, T.StructType(fields)), "rans-ids")
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for b in batches:
-            n = np.bincount(np.concatenate([np.empty(0, np.uint32), *(_unpack(x) for x in b.column(0))]), minlength=len(total))
-            n[: len(total)] += total
-            total = n
-        some = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
-
-    counts = tokens.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = tokens.filter("seen IS NOT NULL").select(F.explode(F.arrays_zip("seen", "times")).alias("x"))
+    counts = counted.groupBy("x.seen").agg(F.sum("x.times").alias("n")).collect()
+    tokens = tokens.filter("seen IS NULL").select("part", "id", "first", "ids")
     table = np.zeros(1 + max((r[0] for r in counts), default=-1), np.int64)
     for token, n in counts:
         table[token] = n
@@ -268,13 +272,19 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
         if held:
             yield flush()
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kind_arrow = to_arrow_type(kind)
     out = T.StructType([fields[0], fields[2], T.StructField("docs", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("block", T.BinaryType())])
     tokens.mapInArrow(blocks, out).write.parquet(f"{path}/blocks")
 
 
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two arrays of counts, the shorter one filled up with zeros."""
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    out = long.astype(np.int64)
+    out[: len(short)] += short
+    return out
+
+
 def _unpack(ids: pa.BinaryScalar) -> np.ndarray:
     return np.frombuffer(np.frombuffer(ids.as_buffer(), np.uint8).reshape(4, -1).T.tobytes(), "<u4")
 
