@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .config import Settings
 from .functions import geo, narrative
-from .operators import history, places, reports, retrieval, scenes, scoring
+from .operators import evidence, history, places, reports, retrieval, scenes, scoring, zones
 from .plans import monitor
 from .sources import tables as t
+from .sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+DIST = "2 * 6371000.0::DOUBLE * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 PIXELS = """pix AS (
   SELECT 'wb-' || (l_suppkey % 4) AS body_id, strftime(date_trunc('quarter', l_shipdate), '%Y%m%d') AS date, l_partkey % 64 AS r, l_orderkey % 64 AS c,
     l_discount AS b02, l_quantity / 50 AS b03, l_extendedprice / 105000 AS b04, (l_partkey % 97) / 97 AS b05, (l_orderkey % 89) / 89 AS b06, l_tax * 10 AS b08,
@@ -40,13 +44,13 @@ cmp AS (SELECT *, CASE WHEN std IS NULL THEN NULL WHEN std <= 0 THEN CASE WHEN v
   CASE indicator WHEN 'extent' THEN 0.25 WHEN 'turbidity' THEN 0.4 WHEN 'chlorophyll' THEN 0.35 ELSE 0.0 END AS w FROM wb)"""
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | Callable[[], str] | None = None):
     """Registers a query, and its SQL if there is any."""
 
     def add(f):
         QUERIES[name] = f
         if sql:
-            SQL[name] = sql
+            SQL[name] = sql() if callable(sql) else sql
         return f
 
     return add
@@ -99,7 +103,7 @@ def c6(spark, d):
 
 
 @query("f9_comparisons", f"""WITH {OBS} SELECT body_id, zone_id, date, indicator, CASE WHEN isfinite(z) THEN round(z, 5) END AS sigma, coalesce(abs(z) > 3, false) AS crossed, w > 0 AS fused,
-  CASE WHEN std IS NULL THEN 'baseline_std_missing' WHEN std <= 0 THEN 'zero_baseline_std' END AS reason FROM cmp""")
+  CASE WHEN z IS NULL THEN 'baseline_std_missing' WHEN isinf(z) THEN 'zero_baseline_std' END AS reason FROM cmp""")
 def f9(spark, d):
     return _compared(spark, d).select("body_id", "zone_id", "date", "indicator", _r("sigma", 5), "crossed", "fused", "reason")
 
@@ -113,28 +117,80 @@ def a9(spark, d):
 @query("a8_persistence", f"""WITH {OBS}, s AS (SELECT body_id, zone_id, date, coalesce(bool_or(abs(z) > 1.5 AND w > 0), false) AS flagged FROM cmp GROUP BY ALL)
 SELECT body_id, zone_id, round(avg(CAST(flagged AS DOUBLE)), 6) AS persistence FROM s GROUP BY ALL""")
 def a8(spark, d):
-    from .config import Settings
-
     s = Settings(sigma=1.5)
     o = scenes.zone_observations(t.pixels(spark, d))
     return scoring.persistence(scoring.zone_scores(scoring.compare(scoring.with_baseline(o, scoring.fit_baselines(o)), s), s)).select("body_id", "zone_id", _r("persistence"))
 
 
-def _ranked(spark, d):
-    return monitor.priority(t.pixels(spark, d), t.points(spark, d, "supplier"), t.points(spark, d, "nation"))
+LOOSE = Settings(sigma=1.5)  # at 3 these tables flag hardly anything
+SCORES = OBS + """,
+ct AS (SELECT *, coalesce(abs(z) > 1.5, false) AS crossed, coalesce(abs(z) > 1.5, false) AND w > 0 AS hit, list_position(['extent', 'turbidity', 'transparency', 'chlorophyll'], indicator) AS o,
+  CASE WHEN z IS NULL THEN 'baseline_std_missing' WHEN isinf(z) THEN 'zero_baseline_std' END AS reason FROM cmp),
+rs AS (SELECT body_id, zone_id, date, string_agg(reason, ',' ORDER BY o) AS why FROM (SELECT body_id, zone_id, date, reason, min(o) AS o FROM ct WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+zs AS (SELECT body_id, zone_id, date, bool_or(hit) AS flagged, CASE WHEN bool_or(hit AND isinf(z)) THEN 6.0::DOUBLE ELSE max(CASE WHEN hit THEN abs(z) END) END AS max_sigma, string_agg(CASE WHEN hit THEN indicator END, ',' ORDER BY o) AS contributing,
+  CASE WHEN min(samples) < 8 THEN min(samples) / 8.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence, min(samples) < 8 AS few, bool_or(used_fallback) AS pooled,
+  coalesce(arg_max(indicator, (abs(z), -o)) FILTER (hit AND isfinite(z)), 'turbidity') AS dom, coalesce(max(abs(z)) FILTER (hit AND isfinite(z)), 0) AS dom_sigma FROM ct GROUP BY ALL),
+zr AS (SELECT zs.*, concat_ws(',', why, CASE WHEN few THEN 'baseline_sample_size' END, CASE WHEN pooled THEN 'season_pool_fallback' END) AS reasons FROM zs LEFT JOIN rs USING (body_id, zone_id, date))"""
+PLACES = """zn AS (SELECT 'wb-' || n AS body_id, 'z' || z AS zone_id, CAST(n * 37 + z * 3 AS DOUBLE) AS lon, CAST(n * 11 - 20 AS DOUBLE) AS lat FROM (SELECT DISTINCT s_suppkey % 4 AS n FROM supplier), range(3) r(z)),
+pt AS (SELECT kind, k * 7919 % 36000 / 100.0::DOUBLE - 180 AS lon, k * 104729 % 17000 / 100.0::DOUBLE - 85 AS lat, CASE WHEN k % 5 < 4 THEN 'wb-' || (k % 5) END AS owner
+  FROM (SELECT 'intake' AS kind, CAST(s_suppkey AS BIGINT) AS k FROM supplier UNION ALL SELECT 'settlement', CAST(n_nationkey AS BIGINT) FROM nation)),
+ds AS (SELECT a.body_id, a.zone_id, min(CASE WHEN kind = 'intake' THEN m END) AS intake_m, min(CASE WHEN kind = 'settlement' THEN m END) AS settlement_m
+  FROM (SELECT a.body_id, a.zone_id, kind, {0} AS m FROM zn a LEFT JOIN pt b ON b.owner IS NULL OR b.owner = a.body_id) a GROUP BY ALL)"""
+
+
+@functools.cache
+def _scored(spark, d):
+    """(comparisons, scores), each written once: several queries of a session start there."""
+    c = written(monitor.compared(monitor.observed(t.pixels(spark, d), LOOSE), LOOSE), "comparisons")
+    return c, written(scoring.zone_scores(c, LOOSE), "scores")
+
+
+@query("c5_priority", lambda: f"""WITH {SCORES}, {PLACES.format(DIST)}, ps AS (SELECT body_id, zone_id, avg(CAST(flagged AS DOUBLE)) AS persistence FROM zs GROUP BY ALL),
+x AS (SELECT z.*, least(1.0::DOUBLE, max_sigma / 6) AS severity_factor, persistence, 0.7::DOUBLE * coalesce(1 / (1 + intake_m / 5000), 0) + 0.3::DOUBLE * coalesce(1 / (1 + settlement_m / 5000), 0) AS proximity
+  FROM zr z JOIN ps USING (body_id, zone_id) LEFT JOIN ds USING (body_id, zone_id) WHERE flagged)
+SELECT body_id, zone_id, date, CAST(row_number() OVER (PARTITION BY body_id, date ORDER BY severity_factor * persistence * proximity DESC, zone_id) AS INT) AS rank, round(severity_factor * persistence * proximity, 9) AS priority,
+  round(severity_factor, 6) AS severity_factor, round(persistence, 6) AS persistence, round(proximity, 9) AS proximity, CASE WHEN max_sigma > 5 THEN 'severe' WHEN max_sigma > 4 THEN 'warning' ELSE 'watch' END AS severity,
+  contributing, confidence, reasons FROM x""")
+def c5(spark, d):
+    _, scores = _scored(spark, d)
+    r = monitor.priority(scores, t.zones(spark, d), t.points(spark, d, "supplier"), t.points(spark, d, "nation"), s=LOOSE)
+    return r.select("body_id", "zone_id", "date", "rank", _r("priority", 9), _r("severity_factor"), _r("persistence"), _r("proximity", 9), "severity", F.array_join("contributing", ",").alias("contributing"), "confidence", F.array_join("reasons", ",").alias("reasons"))
+
 
+CARDS = """cd AS (SELECT body_id, zone_id, date, count(*) AS n, max(CASE WHEN indicator = 'extent' THEN value END) AS extent_m2, max(CASE WHEN indicator = 'extent' THEN value - mean END) AS extent_change_m2,
+  CAST(1 + count(CASE WHEN indicator = 'extent' THEN 1 END) * 2 + 3 + count(*) * 4 + count(std) + 2 * count(CASE WHEN isfinite(z) THEN 1 END) AS INT) AS allowed FROM ct GROUP BY ALL)"""
 
-@query("c5_priority")
-def c5(spark, d):
-    return _ranked(spark, d).select("body_id", "zone_id", "date", "rank", _r("priority"), _r("severity_factor"), _r("persistence"), _r("proximity"), "severity", F.array_join("contributing", ",").alias("contributing"), "confidence")
+
+@query("c3_evidence", f"""WITH {SCORES}, {CARDS} SELECT 'ev-' || body_id || '-' || zone_id || '-' || date AS evidence_id, CAST(n AS INT) AS comparisons, extent_m2, round(extent_change_m2, 6) AS extent_change_m2, allowed,
+  coalesce(regexp_replace(contributing, '([a-z]+)', '\\1>1.5sigma', 'g'), '') AS crossed, confidence, reasons FROM zr JOIN cd USING (body_id, zone_id, date)""")
+def c3(spark, d):
+    c = evidence.evidence(*_scored(spark, d), LOOSE)
+    return c.select("evidence_id", F.size("comparisons").alias("comparisons"), "extent_m2", _r("extent_change_m2"), F.size(evidence.allowed_numbers()).alias("allowed"), F.array_join("thresholds_crossed", ",").alias("crossed"), "confidence", F.array_join("confidence_reasons", ",").alias("reasons"))
 
 
-@query("c4_alerts")
+@query("c4_alerts", f"""WITH {SCORES}, x AS (SELECT *, CASE WHEN dom_sigma > 5 THEN 'severe' WHEN dom_sigma > 4 THEN 'warning' ELSE 'watch' END AS sev FROM zr WHERE flagged)
+SELECT 'al-' || body_id || '-' || zone_id || '-' || date || '-' || dom AS alert_id, 'ev-' || body_id || '-' || zone_id || '-' || date AS evidence_id, sev AS severity,
+  upper(sev[1]) || sev[2:] || ' relative ' || dom || ' signal at ' || zone_id || ', Lake ' || body_id[4:] || ', on ' || date[1:4] || '-' || date[5:6] || '-' || date[7:8] || 'T00:00:00Z. Confidence ' || printf('%.2f', confidence) ||
+  '. Evidence ev-' || body_id || '-' || zone_id || '-' || date || '. Laboratory verification is required before any operational decision.' AS template, 'llm_disabled' AS narrative_source FROM x""")
 def c4(spark, d):
-    r = _ranked(spark, d)
-    ident = F.concat_ws("-", F.lit("al"), "body_id", "zone_id", "date", "dominant.indicator")
-    text = F.concat(F.initcap("dominant.severity"), F.lit(": "), F.col("dominant.indicator"), F.lit(" in "), F.col("zone_id"), F.lit(" on "), narrative.iso_date(F.col("date")), F.format_string(" (confidence %.2f)", "confidence"))
-    return r.select(ident.alias("alert_id"), F.concat_ws("-", F.lit("ev"), "body_id", "zone_id", "date").alias("evidence_id"), F.col("dominant.severity").alias("severity"), text.alias("text"))
+    a = evidence.alerts(evidence.evidence(*_scored(spark, d), LOOSE), t.bodies(spark, d))
+    return a.select("alert_id", "evidence_id", "severity", "template", "narrative_source")
+
+
+@query("c4_drafts", f"""WITH {SCORES}, x AS (SELECT body_id, zone_id, date, max(CASE WHEN indicator = 'extent' THEN mean END) AS m FROM ct JOIN zr USING (body_id, zone_id, date) WHERE flagged GROUP BY ALL)
+SELECT 'ev-' || body_id || '-' || zone_id || '-' || date AS evidence_id, CASE WHEN date[5:6] = '01' THEN 'llm_unreachable' WHEN m IS NULL OR date[5:6] = '04' THEN 'llm_rejected' ELSE 'llm' END AS source FROM x""")
+def c4_drafts(spark, d):
+    cards = evidence.evidence(*_scored(spark, d), LOOSE)
+    mean = F.get(F.filter("comparisons", lambda r: r["indicator"] == "extent"), F.lit(0))["mean"]
+    month = F.substring("date", 5, 2)
+    draft = F.when(month == "01", None).when((month == "04") | mean.isNull(), "reached 987654.25").otherwise(F.format_string("a mean of %.6f", mean))
+    return evidence.alerts(cards, t.bodies(spark, d), cards.select("evidence_id", draft.alias("draft")), enabled=True).select("evidence_id", F.col("narrative_source").alias("source"))
+
+
+@query("c2_anomalies", f"WITH {SCORES} SELECT severity, count(*) AS n FROM (SELECT CASE WHEN NOT flagged THEN 'none' WHEN dom_sigma > 5 THEN 'severe' WHEN dom_sigma > 4 THEN 'warning' ELSE 'watch' END AS severity FROM zr) GROUP BY ALL")
+def c2(spark, d):
+    _, scores = _scored(spark, d)
+    return scores.groupBy(F.when(F.col("flagged"), F.col("dominant.severity")).otherwise("none").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c8_overview", f"""WITH {PIXELS}, g AS (SELECT body_id, date, avg(CAST(valid AND inside AS DOUBLE)) AS f FROM m GROUP BY ALL)
@@ -179,28 +235,58 @@ def s13(spark, d):
     return history.last_wins(t.table(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
 
 
-@query("c11_adjudicate_reports")
+REPORTS = """rep AS (SELECT event_id AS report_id, 'wb-' || (event_id % 4) AS body_id, user_id, ts, event_id * 7919 % 36000 / 100.0::DOUBLE - 180 AS lon, event_id * 104729 % 17000 / 100.0::DOUBLE - 85 AS lat,
+  user_id || '-' || CAST(floor(value) AS BIGINT) AS image FROM events),
+loc AS (SELECT *, lon >= abs(lat) - 150 AND lon < 150 - abs(lat) AND NOT (lon >= -10 AND lon < 10 AND lat >= -10 AND lat < 10) AS inside, lat >= -60 AND lat < 60 AS belt FROM rep),
+lz AS (SELECT *, CASE WHEN NOT inside THEN 'outside_water_boundary' WHEN belt AND lon >= -150 AND lon < 150 THEN 'inside_zone' ELSE 'inside_boundary' END AS place,
+  CASE WHEN NOT inside OR NOT belt THEN NULL WHEN lon >= -150 AND lon < -20 THEN 'z0' WHEN lon >= -30 AND lon < 40 THEN 'z1' WHEN lon >= 30 AND lon < 150 THEN 'z2' END AS zone_id FROM loc),
+ad AS (SELECT *, inside AND row_number() OVER (PARTITION BY body_id, image, inside ORDER BY ts, report_id) = 1 AS good FROM lz)"""  # no two places of these tables are near one another, so only images repeat
+FLAGS = SCORES + f""", {REPORTS}, fl AS (SELECT body_id, zone_id FROM zs JOIN (SELECT body_id, max(date) AS date FROM zs GROUP BY ALL) USING (body_id, date) WHERE flagged),
+fr AS (SELECT ad.* FROM ad JOIN fl USING (body_id, zone_id) WHERE good)"""
+
+
+def _located(spark, d):
+    return zones.locate(t.reports(spark, d), t.boundaries(spark, d), t.zone_features(spark, d))
+
+
+def _accepted_while_flagged(spark, d):
+    _, scores = _scored(spark, d)
+    good = reports.accepted(reports.adjudicate(_located(spark, d)))
+    return zones.in_flagged_zone(good, scores, scores.select("body_id", "date").distinct()).filter("zone_flagged")
+
+
+@query("j13_locate_reports", f"WITH {REPORTS} SELECT report_id, body_id, place AS location, zone_id FROM lz")
+def j13(spark, d):
+    return _located(spark, d).select("report_id", "body_id", F.col("where").alias("location"), "zone_id")
+
+
+@query("c11_adjudicate_reports", f"""WITH {REPORTS} SELECT report_id, body_id, user_id, zone_id, CASE WHEN good THEN 'accepted' ELSE 'rejected' END AS status, CASE WHEN good OR NOT inside THEN place ELSE 'duplicate' END AS reason,
+  CASE WHEN good THEN 10 ELSE 0 END AS credits FROM ad""")
 def c11(spark, d):
-    return reports.adjudicate(t.reports(spark, d)).select("report_id", "body_id", "user_id", "zone_id", "verdict", "credits")
+    return reports.adjudicate(_located(spark, d)).drop("taken_at")
 
 
-@query("a14_leaderboard")
+@query("a14_leaderboard", f"WITH {REPORTS} SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(10 * count(*) AS BIGINT) AS credits FROM ad WHERE good GROUP BY user_id")
 def a14(spark, d):
-    return reports.leaderboard(reports.adjudicate(t.reports(spark, d)))
+    return reports.leaderboard(reports.adjudicate(_located(spark, d)))
+
 
+@query("a15_user_totals", f"WITH {REPORTS} SELECT user_id, CAST(10 * count(*) FILTER (good) AS BIGINT) AS credits FROM ad GROUP BY user_id")
+def a15(spark, d):
+    return reports.user_totals(t.table(spark, d, "events"), reports.adjudicate(_located(spark, d)))
 
-@query("w8_running_bumps", """SELECT event_id AS report_id, round(least(0.45, 0.15 * count(*) OVER (PARTITION BY event_id % 4, event_id // 4 % 3 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), 6)::DOUBLE AS bump FROM events""")
+
+@query("w8_running_bumps", f"WITH {FLAGS} SELECT report_id, round(least(0.45, 0.15 * count(*) OVER (PARTITION BY body_id, zone_id ORDER BY ts, report_id ROWS UNBOUNDED PRECEDING)), 6)::DOUBLE AS bump FROM fr")
 def w8(spark, d):
-    return reports.running_bumps(t.reports(spark, d)).select("report_id", _r("bump"))
+    return reports.running_bumps(_accepted_while_flagged(spark, d)).select("report_id", _r("bump"))
 
 
-@query("a13_zone_bumps", "SELECT 'wb-' || (event_id % 4) AS body_id, 'z' || (event_id // 4 % 3) AS zone_id, CAST(least(0.45, round(0.15 * count(*), 6)) AS DOUBLE) AS bump FROM events GROUP BY ALL")
+@query("a13_zone_bumps", f"WITH {FLAGS} SELECT body_id, zone_id, CAST(least(0.45, round(0.15 * count(*), 6)) AS DOUBLE) AS bump FROM fr GROUP BY ALL")
 def a13(spark, d):
-    return reports.zone_bumps(t.reports(spark, d)).select("body_id", "zone_id", _r("bump"))
+    return reports.zone_bumps(_accepted_while_flagged(spark, d)).select("body_id", "zone_id", _r("bump"))
 
 
 PTS = "{0} AS (SELECT CAST({1} AS BIGINT) AS key, CAST({1} AS BIGINT) * 7919 % 36000 / 100.0::DOUBLE - 180 AS lon, CAST({1} AS BIGINT) * 104729 % 17000 / 100.0::DOUBLE - 85 AS lat FROM {2})"
-DIST = "2 * 6371000.0::DOUBLE * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
 
 @query("j7_within_300km", f"WITH {PTS.format('a', 'c_custkey', 'customer')}, {PTS.format('b', 's_suppkey', 'supplier')} SELECT * FROM (SELECT a.key, b.key AS \"to\", round({DIST}, 3) AS metres FROM a, b) WHERE metres <= 300000")
@@ -235,7 +321,7 @@ def f25(spark, d):
 
 
 @query("f36_heading_chunks", r"""WITH c AS (SELECT doc_id, unnest(string_split(replace(replace(text, '. ', chr(10) || '# '), chr(10) || '#', chr(1) || '#'), chr(1))) AS chunk FROM documents)
-SELECT doc_id, count(*) AS chunks, CAST(sum(length(trim(chunk, ' '))) AS BIGINT) AS chars FROM c WHERE trim(chunk, ' ') <> '' GROUP BY doc_id""")
+SELECT doc_id, count(*) AS chunks, CAST(sum(length(regexp_replace(chunk, '^\s+|\s+$', '', 'g'))) AS BIGINT) AS chars FROM c WHERE regexp_replace(chunk, '^\s+|\s+$', '', 'g') <> '' GROUP BY doc_id""")
 def f36(spark, d):
     c = t.table(spark, d, "documents").select("doc_id", F.explode(narrative.heading_chunks(F.replace("text", F.lit(". "), F.lit("\n# ")))).alias("chunk")).filter("chunk <> ''")
     return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.char_length("chunk")).cast("long").alias("chars"))
@@ -257,17 +343,19 @@ def o1(spark, d):
     return retrieval.overlap_search(t.table(spark, d, "documents").select(F.col("doc_id").alias("passage"), "text"), q).select("question", "passage", _r("score"), "rank")
 
 
-@query("o2_vector_search", """WITH q AS (SELECT vec_id AS question, embedding AS e FROM embeddings WHERE vec_id < 5),
+@query("o2_vector_search", """WITH q AS (SELECT vec_id AS question, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT question, vec_id AS passage, list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings)
 SELECT question, passage, round(score, 5) AS score, CAST(row_number() OVER w AS INT) AS rank FROM s WHERE score > 0 WINDOW w AS (PARTITION BY question ORDER BY score DESC, passage) QUALIFY row_number() OVER w <= 3""")
 def o2(spark, d):
     e = t.table(spark, d, "embeddings")
-    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("question"), F.col("embedding").alias("query"))  # the stated query set: five vectors
-    return retrieval.vector_search(e.select(F.col("vec_id").alias("passage"), F.col("embedding").alias("vector")), F.broadcast(q)).select("question", "passage", _r("score", 5), "rank")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("query"))  # the stated query set
+    return retrieval.vector_search(e.select(F.col("vec_id").alias("passage"), F.col("embedding").alias("vector")), q).select("question", "passage", _r("score", 5), "rank")
 
 
 @query("w4_last_turns", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt, count(*) AS turns FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) GROUP BY conv_id")
 def w4(spark, d):
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    last = t.table(spark, d, "conversations").withColumn("n", F.row_number().over(w)).filter("n <= 6")  # cut before the exchange, too
     each = F.sort_array(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))))
-    c = t.table(spark, d, "conversations").groupBy("conv_id").agg(each.alias("a")).withColumn("a", F.slice("a", F.greatest(F.lit(1), F.size("a") - 5), F.lit(6)))
+    c = last.groupBy("conv_id").agg(each.alias("a"))
     return c.select("conv_id", F.array_join(F.transform("a", lambda x: x["line"]), "\n").alias("prompt"), F.size("a").cast("long").alias("turns"))

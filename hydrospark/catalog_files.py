@@ -82,7 +82,7 @@ def s9(spark, d):
 def s10(spark, d):
     o = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.lit("first").alias("run"), F.round("o_totalprice", 2).alias("value"))
     new = t.table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("key"), F.lit("second").alias("run"), F.round(F.col("o_totalprice") * 2, 2).alias("value"))
-    return sinks.upsert(o, new, ["key"])
+    return sinks.upsert(o, new.withColumn("value", F.col("value") - 1).unionByName(new), ["key"], ["value"])
 
 
 @query("s18_feature_collections", f"""WITH {PIX}, z AS (SELECT body_id, 'z' || CAST(c // 16 AS INT) AS zone_id, max(date) AS date, count(*) AS pixels FROM pix WHERE r < 52 AND c < 48 GROUP BY ALL)

@@ -49,6 +49,6 @@ def circle(lon: Column, lat: Column, radius_km: Column, points: int = 36) -> Col
     def at(i: Column) -> Column:
         a = F.radians(i * (360.0 / points))
         dlat = radius_km / 111.0
-        return F.struct(F.round(lon + dlat * F.cos(a) / F.cos(F.radians(lat)), 6).alias("lon"), F.round(lat + dlat * F.sin(a), 6).alias("lat"))
+        return F.struct(F.round(lon + dlat * F.cos(a) / F.greatest(F.lit(0.1), F.cos(F.radians(lat))), 6).alias("lon"), F.round(lat + dlat * F.sin(a), 6).alias("lat"))
 
     return F.transform(F.concat(F.sequence(F.lit(0), F.lit(points - 1)), F.array(F.lit(0))), at)

@@ -63,14 +63,14 @@ def season_of(day: Column) -> Column:
 
 
 def falloff(distance_m: Column, scale_m: float) -> Column:
-    return F.when(distance_m.isNull(), 0.0).otherwise(1.0 / (1.0 + distance_m / scale_m) if scale_m > 0 else F.lit(1.0))
+    return F.when(distance_m.isNull(), 0.0).otherwise(1.0 / (1.0 + distance_m / (scale_m if scale_m > 0 else 1.0)))
 
 
-def history_score(value: Column, mean: Column, std: Column) -> Column:
-    """(status, score, confidence, sigma) of the history path: the score has two sides, the status one."""
+def history_score(value: Column, mean: Column, std: Column, high: float = 3.2, warning: float = 2.0) -> Column:
+    """(status, score, confidence, sigma) of the history path: the score has two sides, the status one; its cuts are parameters."""
     d = (value - mean) / F.when(std > 0, std)
-    score = F.greatest(F.lit(0), F.least(F.lit(100), (F.abs(d) / 4 * 100).cast("int")))
-    status = F.when(d > 3.2, "HIGH").when(d > 2.0, "WARNING").otherwise("NORMAL")
+    score = F.least(F.lit(100.0), F.abs(d) / 4 * 100).cast("int")  # bounded before the cast, which would overflow
+    status = F.when(d > high, "HIGH").when(d > warning, "WARNING").otherwise("NORMAL")
     return F.struct(
         F.when(d.isNull(), "NORMAL").otherwise(status).alias("status"), F.coalesce(score, F.lit(0)).alias("score"),
         F.coalesce(F.bround(F.least(F.lit(1.0), F.abs(d) / 5), 2), F.lit(0.0)).alias("confidence"), F.bround(d, 2).alias("sigma"),
@@ -78,7 +78,7 @@ def history_score(value: Column, mean: Column, std: Column) -> Column:
 
 
 def history_priority(score: Column, days: Column, proximity: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(100), (0.5 * score + 10 * days + 20 * proximity).cast("int")))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 0.5 * score + 10 * days + 20 * proximity)).cast("int")
 
 
 def pixel_area(width: Column, height: Column, lat: Column, geographic: Column) -> Column:

@@ -35,4 +35,22 @@ def tokens(text: Column) -> Column:
 
 def heading_chunks(text: Column) -> Column:
     """Parts of a Markdown text, cut before each heading, trimmed; blank ones are kept for their place and dropped later."""
-    return F.transform(F.split(text, r"\n(?=#)"), lambda x: F.trim(x))
+    return F.transform(F.split(text, r"\n(?=#)"), stripped)
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
+def chunk_title(chunk: Column, path: Column) -> Column:
+    """The first level-one heading of a chunk, else the file's name without its ending."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    heading = stripped(F.regexp_extract(chunk, r"(?m)^# (.*)$", 1))
+    return F.when(heading != "", heading).otherwise(stem)
+
+
+def chunk_rows(text: Column, path: Column) -> Column:
+    """Heading chunks as (id, title, text), numbered with the blank ones counted, blank ones left out."""
+    placed = F.transform(heading_chunks(text), lambda x, i: F.struct(F.concat(path, F.lit("#"), i.cast("string")).alias("id"), chunk_title(x, path).alias("title"), x.alias("text")))
+    return F.filter(placed, lambda x: x["text"] != "")

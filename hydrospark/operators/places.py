@@ -2,27 +2,135 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 
+# Lakes with their centres and radii in km, and localities with the water body and district of each.
+KNOWN_LAKES = (
+    ("Hussain Sagar", 17.4239, 78.4738, 4.0), ("Chilika Lake", 19.72, 85.32, 25.0), ("Dal Lake", 34.11, 74.87, 6.0), ("Sardar Sarovar Dam", 21.831, 73.748, 15.0), ("Powai Lake", 19.125, 72.905, 2.5),
+    ("Vembanad Lake", 9.6, 76.4, 20.0), ("Loktak Lake", 24.55, 93.8, 10.0), ("Bhojtal (Upper Lake)", 23.25, 77.35, 7.0), ("Sambhar Salt Lake", 26.9, 75.2, 18.0), ("Lake Pichola", 24.575, 73.678, 3.5),
+    ("Nagarjuna Sagar", 16.57, 79.31, 12.0), ("Hirakud Reservoir", 21.57, 83.87, 20.0), ("Wular Lake", 34.33, 74.55, 10.0), ("Shivsagar Lake (Koyna)", 17.4, 73.75, 14.0), ("Gobind Sagar (Bhakra)", 31.41, 76.45, 15.0),
+    ("Pulicat Lake", 13.67, 80.2, 16.0), ("Futala Lake", 21.154, 79.0417, 1.2), ("Ambazari Lake", 21.128, 79.043, 1.5), ("Gorewada Lake", 21.1972, 79.0375, 2.5), ("Sonegaon Lake", 21.133, 79.066, 0.8), ("Gandhisagar Lake", 21.1444, 79.107, 0.6),
+)
+LOCALITIES = (
+    ("hussain_sagar", "Hussain Sagar", "Hussain Sagar", 17.4239, 78.4738, "Hyderabad, Telangana"), ("chilika_lake", "Chilika Lake", "Chilika Lake", 19.72, 85.32, "Puri/Ganjam, Odisha"),
+    ("dal_lake", "Dal Lake", "Dal Lake", 34.11, 74.87, "Srinagar, Jammu & Kashmir"), ("sardar_sarovar", "Sardar Sarovar Dam", "Sardar Sarovar Dam", 21.831, 73.748, "Narmada, Gujarat"),
+    ("powai_lake", "Powai Lake", "Powai Lake", 19.125, 72.905, "Mumbai, Maharashtra"), ("vembanad_lake", "Vembanad Lake", "Vembanad Lake", 9.6, 76.4, "Kottayam/Alappuzha, Kerala"),
+    ("loktak_lake", "Loktak Lake", "Loktak Lake", 24.55, 93.8, "Bishnupur, Manipur"), ("bhojtal_lake", "Bhojtal (Upper Lake)", "Bhojtal", 23.25, 77.35, "Bhopal, Madhya Pradesh"),
+    ("sambhar_lake", "Sambhar Salt Lake", "Sambhar Lake", 26.9, 75.2, "Jaipur, Rajasthan"), ("pichola_lake", "Lake Pichola", "Lake Pichola", 24.575, 73.678, "Udaipur, Rajasthan"),
+    ("nagarjuna_sagar", "Nagarjuna Sagar Reservoir", "Nagarjuna Sagar", 16.57, 79.31, "Nalgonda/Guntur, AP/TS"), ("hirakud_reservoir", "Hirakud Reservoir", "Hirakud Reservoir", 21.57, 83.87, "Sambalpur, Odisha"),
+    ("ambazari_lake", "Ambazari Lake", "Ambazari Lake", 21.1292, 79.0394, "Nagpur West, Maharashtra"), ("futala_lake", "Futala Lake", "Futala Lake", 21.1558, 79.0478, "Nagpur North, Maharashtra"),
+    ("gorewada_lake", "Gorewada Reservoir", "Gorewada Lake", 21.1891, 79.0321, "Nagpur NW, Maharashtra"),
+)
+# Words of the place-name rules.
+WATER_WORDS = ("lake", "dam", "sagar", "talao", "reservoir", "talav", "sarovar", "wetland", "canal", "ghat", "basin", "pond")
+ROAD_WORDS = ("road", "street", "marg", "lane", "path", "highway", "expressway", "bridge", "flyover")
+NO_NAMES = ("water", "yes", "stream", "river", "bay")
+
+
+def known_lakes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(KNOWN_LAKES), "name string, lat double, lon double, radius_km double")
+
+
+def localities(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(LOCALITIES), "id string, name string, water_body string, lat double, lon double, district string")
+
 
 def within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """All pairs (left.key, right.key, metres) at most `metres` apart.
 
-    A latitude band as high as the radius is the join's key: each right row goes to its own band and its two neighbours, so the join is an equi-join
-    and the exact distance a filter. Longitudes are compared before the distance where bands are narrow enough.
+    The globe is cut in bands of latitude as high as the radius, and each band in cells of longitude that are as wide as the radius
+    where the band and its neighbours are nearest a pole, so neighbours in both axes hold all partners; cells
+    meet across 180 degrees. The join is an equi-join on (band, cell), and the exact distance a filter.
     """
     step = metres / 111_000.0
-    band = F.floor(F.col("lat") / step)
-    a = left.select(F.col("key"), F.col("lon"), F.col("lat"), band.alias("band"))
-    b = right.select(F.col("key").alias("to"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    band = lambda lat: F.floor(lat / step)
+
+    def count(b: Column) -> Column:
+        far = F.least(F.lit(90.0), F.greatest(F.abs(b - 1), F.abs(b + 2)) * step)
+        return F.greatest(F.lit(1), F.floor(360.0 / step * F.cos(F.radians(far)))).cast("long")
+
+    cell = lambda lon, n: F.pmod(F.floor((lon + 180) / 360 * n), n)
+    a = left.select("key", "lon", "lat", band(F.col("lat")).alias("band")).withColumn("cell", cell(F.col("lon"), count(F.col("band"))))
+    b = right.select(F.col("key").alias("to"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    b = b.withColumn("band", F.explode(F.sequence(band(F.col("lat2")) - 1, band(F.col("lat2")) + 1))).withColumn("n", count(F.col("band")))
+    own = F.floor((F.col("lon2") + 180) / 360 * F.col("n"))
+    b = b.withColumn("cell", F.explode(F.array_distinct(F.array(*(F.pmod(own + i, F.col("n")) for i in (-1, 0, 1))))))
     d = haversine_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-    return a.join(b, "band").withColumn("metres", d).filter(F.col("metres") <= metres).select("key", "to", "metres")
+    return a.join(b, ["band", "cell"]).withColumn("metres", d).filter(F.col("metres") <= metres).select("key", "to", "metres")
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The `k` nearest of each key, ties by number."""
     w = Window.partitionBy("key").orderBy("metres", "to")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def nearest_known(points: DataFrame, lakes: DataFrame, ladder: tuple[float, ...] = (0.5, 15.0)) -> DataFrame:
+    """(key, name, km) of the nearest lake nearer than a step of the ladder and no farther than its own radius; the first step that has one decides."""
+    x = points.join(F.broadcast(lakes.select("name", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "radius_km")), F.lit(True))  # a fixed list
+    km = haversine_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"), 6_371.0)
+    step = F.coalesce(*(F.when(F.col("km") < s, F.lit(i)) for i, s in enumerate(ladder)))
+    x = x.select("key", "name", km.alias("km"), "radius_km").withColumn("step", step).filter((F.col("km") <= F.col("radius_km")) & F.col("step").isNotNull())
+    return x.groupBy("key").agg(F.min(F.struct("step", "km", "name")).alias("x")).select("key", "x.name", "x.km")
+
+
+def nearby(pairs: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
+    """(key, name, km, rank): of each key the nearest place of every name, kilometres to two places, `k` at most."""
+    x = pairs.join(names.select(F.col("key").alias("to"), "name"), "to").filter("name IS NOT NULL AND name <> ''").groupBy("key", "name").agg(F.min("metres").alias("metres"))
+    w = Window.partitionBy("key").orderBy("km", "name")
+    return x.select("key", "name", F.round(F.col("metres") / 1000, 2).alias("km")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def others(listed: DataFrame, k: int = 4) -> DataFrame:
+    """(position, other, name) of a list's first `k` other places, in list order, for every place of it.
+
+    Only the first k + 1 places can be among them, so these few rows meet the list, never the list itself.
+    """
+    first = F.broadcast(listed.orderBy("position").limit(k + 1).select(F.col("position").alias("other"), "name"))
+    x = listed.select("position").join(first, F.col("position") != F.col("other"))
+    w = Window.partitionBy("position").orderBy("other")
+    return x.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).drop("n")
+
+
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    return F.lower(text).rlike("|".join(words))
+
+
+def place_name() -> Column:
+    """A name for a place from (name, class, addresstype, address map, display_name).
+
+    A water tag that is a name, else a name with a water word, else a name that is no road's with its town, else the
+    locality with its town, else the first two parts of the display name; nothing: null.
+    """
+    filled = lambda *keys: F.coalesce(*(F.nullif(F.try_element_at("address", F.lit(k)), F.lit("")) for k in keys))
+    raw = F.nullif(F.regexp_replace(F.coalesce("name", F.lit("")), r"(?U)^\s+|\s+\z", ""), F.lit(""))
+    water = filled("water", "reservoir", "lake", "pond", "waterway")
+    locality, context = filled("suburb", "neighbourhood", "village", "town", "city", "municipality", "county"), filled("city", "state_district", "county", "state")
+    road = F.coalesce((F.col("class") == "highway") | F.col("addresstype").isin("road", "highway"), F.lit(False)) | _any(raw, ROAD_WORDS)
+    kept = F.filter(F.transform(F.split("display_name", ","), lambda p: F.trim(p)), lambda p: (p != "") & ~p.rlike(r"\A\d+\z") & (F.lower(p) != "india"))
+    both = lambda a: F.when(context.isNotNull() & ~F.contains(F.lower(a), F.lower(context)), F.concat_ws(", ", a, context)).otherwise(a)
+    town = F.when(context.isNotNull() & (F.lower(context) != F.lower(locality)), F.concat_ws(", ", locality, context)).otherwise(locality)
+    parts = F.nullif(F.array_join(F.slice(kept, 1, 2), ", "), F.lit(""))
+    return (
+        F.when(water.isNotNull() & ~F.lower(water).isin(*NO_NAMES), F.initcap(water)).when(raw.isNotNull() & _any(raw, WATER_WORDS), raw)
+        .when(raw.isNotNull() & ~road, both(raw)).when(locality.isNotNull(), town).otherwise(parts)
+    )
+
+
+ELEMENTS = "elements array<struct<type: string, id: long, tags: map<string, string>, geometry: array<struct<lat: double, lon: double>>, members: array<struct<type: string, role: string, geometry: array<struct<lat: double, lon: double>>>>>>"
+
+
+def water_polygons(replies: DataFrame, column: str = "reply") -> DataFrame:
+    """(reply_id, osm_id, ring, position) of map replies as JSON: closed rings of at least three vertices, of rings with equal first three vertices the first."""
+    e = replies.select("reply_id", F.posexplode(F.from_json(column, ELEMENTS)["elements"]).alias("at", "e"))
+    own = F.array(F.struct(F.lit(0).alias("m"), F.col("e.geometry").alias("g")))
+    outer = F.transform(F.coalesce("e.members", F.array()), lambda x, i: F.struct((i + 1).alias("m"), x["geometry"].alias("g")))
+    rings = F.when(F.col("e.type") == "way", own).when(F.col("e.type") == "relation", outer).otherwise(F.array().cast("array<struct<m: int, g: array<struct<lat: double, lon: double>>>>"))
+    r = e.select("reply_id", "at", F.col("e.id").alias("osm_id"), F.explode(rings).alias("r")).filter(F.size("r.g") >= 3).select("reply_id", "at", "osm_id", "r.m", F.col("r.g").alias("ring"))
+    closed = F.when(F.get("ring", F.lit(0)) == F.element_at("ring", -1), F.col("ring")).otherwise(F.concat("ring", F.slice("ring", 1, 1)))
+    r = r.withColumn("ring", closed).withColumn("start", F.slice("ring", 1, 3).cast("string"))
+    first = r.groupBy("reply_id", "start").agg(F.min_by(F.struct("osm_id", "ring", "at", "m"), F.struct("at", "m")).alias("x"))
+    return first.select("reply_id", "x.osm_id", "x.ring", F.concat_ws(".", F.col("x.at").cast("string"), F.col("x.m").cast("string")).alias("position"))

@@ -7,10 +7,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from ..sources.shared import ship, written
 
 
 def _metres(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
@@ -25,54 +26,101 @@ class Ledger:
     def __init__(self, s: Settings):
         self.s, self.hashes, self.by_hour = s, set(), defaultdict(list)
 
-    def submit(self, image_hash: str, lon: float, lat: float, at: float) -> str:
-        """accepted, or what it repeats; only accepted reports stand in the way of later ones."""
+    def submit(self, image_hash: str, lon: float, lat: float, at: float) -> bool:
+        """Whether the report is accepted; only accepted ones stand in the way of later ones."""
         hour = int(at // self.s.duplicate_s)
         near = (x for h in (hour - 1, hour, hour + 1) for x in self.by_hour[h])
         if image_hash in self.hashes:
-            return "same_image"
+            return False
         if any(abs(t - at) <= self.s.duplicate_s and _metres(x, y, lon, lat) <= self.s.duplicate_m for x, y, t in near):
-            return "same_place"
+            return False
         self.hashes.add(image_hash)
         self.by_hour[hour].append((lon, lat, at))
-        return "accepted"
+        return True
 
 
-def adjudicate(reports: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """(report_id, body_id, user_id, zone_id, taken_at, verdict, credits); reports of a body are judged in order of time, then id.
+def suspects(reports: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Adds suspect: another report of the body has the same image, or lies in the same or a neighbouring cell of time and latitude.
 
-    The verdict depends on all earlier accepted reports of the body, so a body's reports pass one task in order, in batches:
-    rows are exchanged by body, sorted, and only accepted hashes and places are held.
+    Cells are as large as the limits, so two reports that repeat one another always meet; what meets nothing needs no order.
     """
-    columns = ["report_id", "body_id", "user_id", "zone_id", "taken_at", "image_hash", "lon", "lat"]
+    step = s.duplicate_m / 111_000.0
+    hour, band = F.floor(F.unix_timestamp("taken_at") / s.duplicate_s), F.floor(F.col("lat") / step)
+    x = reports.withColumns({"hour": hour, "band": band})
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    cells = x.select("body_id", around("hour").alias("hour"), "band").select("body_id", "hour", around("band").alias("band")).groupBy("body_id", "hour", "band").count().filter("count > 1").drop("count")
+    images = x.groupBy("body_id", "image_hash").count().filter("count > 1").drop("count")
+    x = x.join(cells.withColumn("met", F.lit(True)), ["body_id", "hour", "band"], "left").join(images.withColumn("same", F.lit(True)), ["body_id", "image_hash"], "left")
+    return x.select(*reports.columns, F.coalesce("met", "same", F.lit(False)).alias("suspect"))
+
+
+def adjudicate(located: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """(report_id, body_id, user_id, zone_id, taken_at, status, reason, credits) of located reports (see zones.locate).
+
+    Outside the water is rejected first and stands in nobody's way. A report is rejected as duplicate if it repeats an accepted one before it,
+    in order of time, then id; else it is accepted, with its place as the reason. Only suspects depend on that order: they pass, by body
+    and sorted, through tasks that hold the accepted images and places.
+    """
+    columns = ["report_id", "body_id", "user_id", "zone_id", "taken_at", "where", "image_hash", "lon", "lat"]
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         body, ledger = None, Ledger(s)
         for b in batches:
-            verdicts = []
+            good = []
             for x in b.itertuples():
                 if x.body_id != body:
                     body, ledger = x.body_id, Ledger(s)
-                verdicts.append(ledger.submit(x.image_hash, x.lon, x.lat, x.taken_at.timestamp()))
-            out = b[columns[:5]].assign(verdict=verdicts)
-            yield out.assign(credits=[s.credits if v == "accepted" else 0 for v in verdicts])
+                good.append(ledger.submit(x.image_hash, x.lon, x.lat, x.taken_at.timestamp()))
+            yield b[columns[:6]].assign(accepted=good)
+
+    ship(located.sparkSession)
+    rows = written(suspects(located.filter("where <> 'outside_water_boundary'").select(*columns), s), "reports")
+    some = rows.filter("suspect").select(*columns).repartition("body_id").sortWithinPartitions("body_id", "taken_at", "report_id")
+    judged = some.mapInPandas(judge, "report_id long, body_id string, user_id long, zone_id string, taken_at timestamp, `where` string, accepted boolean")
+    judged = judged.unionByName(rows.filter("NOT suspect").select(*columns[:6], F.lit(True).alias("accepted")))
+    judged = judged.unionByName(located.filter("where = 'outside_water_boundary'").select(*columns[:6], F.lit(False).alias("accepted")))
+    reason = F.when(F.col("accepted") | (F.col("where") == "outside_water_boundary"), F.col("where")).otherwise("duplicate")
+    return judged.select(*columns[:5], F.when(F.col("accepted"), "accepted").otherwise("rejected").alias("status"), reason.alias("reason"), F.when(F.col("accepted"), s.credits).otherwise(0).alias("credits"))
+
 
-    rows = reports.select(*columns).repartition("body_id").sortWithinPartitions("body_id", "taken_at", "report_id")
-    return rows.mapInPandas(judge, "report_id long, body_id string, user_id long, zone_id string, taken_at timestamp, verdict string, credits int")
+def accepted(judged: DataFrame, body_id: str | None = None) -> DataFrame:
+    """The accepted reports, of one body if it is given."""
+    rows = judged.filter("status = 'accepted'")
+    return rows if body_id is None else rows.filter(F.col("body_id") == body_id)
 
 
-def running_bumps(accepted: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """The capped bump of a zone after each accepted report."""
-    w = Window.partitionBy("body_id", "zone_id").orderBy("taken_at", "report_id").rowsBetween(Window.unboundedPreceding, 0)
-    return accepted.withColumn("bump", F.least(F.lit(s.bump_max), s.bump * F.count(F.lit(1)).over(w)))
+def running_bumps(flagged: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """The capped bump of a zone after each accepted report that lies in it while it is flagged.
+
+    The cap is met after a few reports, so only a zone's first ones are ranked (cut before the exchange, too); all later ones have the cap.
+    """
+    most = math.ceil(s.bump_max / s.bump)
+    w = Window.partitionBy("body_id", "zone_id").orderBy("taken_at", "report_id")
+    first = flagged.select("body_id", "zone_id", "taken_at", "report_id").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).select("report_id", "n")
+    return flagged.join(first, "report_id", "left").withColumn("bump", F.least(F.lit(s.bump_max), s.bump * F.coalesce("n", F.lit(most)))).drop("n")
 
 
-def zone_bumps(accepted: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    return accepted.groupBy("body_id", "zone_id").agg(F.least(F.lit(s.bump_max), s.bump * F.count(F.lit(1))).alias("bump"))
+def zone_bumps(flagged: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Per zone the capped bump by its accepted reports that lie in it while it is flagged."""
+    return flagged.groupBy("body_id", "zone_id").agg(F.least(F.lit(s.bump_max), s.bump * F.count(F.lit(1))).alias("bump"))
 
 
 def leaderboard(judged: DataFrame, nobody: str = "demo") -> DataFrame:
-    """Credits by user, largest first; without any accepted report one row of zero."""
-    by = judged.filter("credits > 0").groupBy(F.col("user_id").cast("string").alias("user_id")).agg(F.sum("credits").alias("credits"))
+    """Credits of accepted reports by user, largest first; without any accepted report one row of zero."""
+    by = accepted(judged).groupBy(F.col("user_id").cast("string").alias("user_id")).agg(F.sum("credits").alias("credits"))
     none = by.sparkSession.range(1).select(F.lit(nobody).alias("user_id"), F.lit(0).cast("long").alias("credits"))
     return by.unionByName(none.join(by.limit(1).select(F.lit(1).alias("x")), how="left_anti", on=F.lit(True))).orderBy(F.desc("credits"), "user_id")
+
+
+def user_totals(users: DataFrame, judged: DataFrame) -> DataFrame:
+    """Each user's credits, 0 without an accepted report."""
+    by = accepted(judged).groupBy("user_id").agg(F.sum("credits").alias("credits"))
+    return users.select("user_id").distinct().join(by, "user_id", "left").select("user_id", F.coalesce("credits", F.lit(0).cast("long")).alias("credits"))
+
+
+def average_hash(grey: Column, content: Column) -> Column:
+    """Fingerprint of an 8 x 8 grey image (64 values): a bit per value above the mean, as hex; without such an array the content's SHA-256."""
+    mean = F.aggregate(grey, F.lit(0.0), lambda a, x: a + x) / 64
+    bits = F.transform(grey, lambda x: F.when(x >= mean, "1").otherwise("0"))
+    part = lambda i: F.lpad(F.lower(F.conv(F.array_join(F.slice(bits, i, 32), ""), 2, 16)), 8, "0")
+    return F.when(F.size(grey) == 64, F.concat(part(1), part(33))).otherwise(F.sha2(content, 256))

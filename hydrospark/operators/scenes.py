@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions.indices import chlorophyll, is_water, transparency, valid_pixel
+from ..functions.indices import chlorophyll, finite, is_water, transparency, valid_pixel
 
 SCENE = ("body_id", "date")
 
@@ -40,12 +40,12 @@ def agreement(pixels: DataFrame, model: str, s: Settings = DEFAULTS) -> DataFram
 
 
 def zone_observations(pixels: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """(body, zone, indicator, date, value) of all scenes that pass the grid gate; extent is there for a zone without water, too.
+    """(body, zone, indicator, date, value), means of finite values, of all scenes that pass the grid gate; extent is there for a zone without water, too.
 
     Gates and zone sums come from one pass: sums by (scene, zone), a few rows per scene, carry what the gate needs.
     """
     m = masked(pixels, s).withColumns({"transparency": transparency(F.col("b02"), F.col("b03")), "chlorophyll": chlorophyll(F.col("b04"), F.col("b05"), F.col("b06"))})
-    wet = lambda c: F.avg(F.when(F.col("water"), F.col(c)))
+    wet = lambda c: F.avg(F.when(F.col("water") & finite(F.col(c).cast("double")), F.col(c)))
     by = m.groupBy(*SCENE, "zone_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("valid") & F.col("inside")).cast("long")).alias("ok"), (F.sum(F.col("water").cast("long")) * s.pixel_area).alias("extent"),
         wet("b04").alias("turbidity"), wet("transparency").alias("transparency"), wet("chlorophyll").alias("chlorophyll"),

@@ -19,12 +19,14 @@ def rolling_baselines(history: DataFrame, days: int = 90) -> DataFrame:
 
     Days are summed first, on the map side, so the window runs over days and not over a body's rows; it then joins the rows again.
     """
-    by_day = history.groupBy("body_id", "day").agg(F.count("ndti").alias("n"), F.sum("ndti").alias("s"), F.sum(F.col("ndti") * F.col("ndti")).alias("ss"))
+    centre = history.groupBy("body_id").agg(F.coalesce(F.avg("ndti"), F.lit(0.0)).alias("centre"))  # sums of squares lose their digits far from 0
+    x = history.join(centre, "body_id").withColumn("x", F.col("ndti") - F.col("centre"))
+    by_day = x.groupBy("body_id", "day", "centre").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
     w = Window.partitionBy("body_id").orderBy(F.unix_date("day")).rangeBetween(-days, -1)
-    d = by_day.select("body_id", "day", *(F.sum(c).over(w).alias(c) for c in ("n", "s", "ss")))
+    d = by_day.select("body_id", "day", "centre", *(F.sum(c).over(w).alias(c) for c in ("n", "s", "ss")))
     spread = F.greatest(F.lit(0.0), F.try_divide(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1))
     std = F.when(F.col("n") > 1, F.sqrt(spread))
-    d = d.select("body_id", "day", F.try_divide("s", "n").alias("mean"), std.alias("std"), F.coalesce("n", F.lit(0)).alias("samples"))
+    d = d.select("body_id", "day", (F.col("centre") + F.try_divide("s", "n")).alias("mean"), std.alias("std"), F.coalesce("n", F.lit(0)).alias("samples"))
     return history.join(d, ["body_id", "day"])
 
 

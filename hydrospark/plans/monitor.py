@@ -1,48 +1,81 @@
-"""The monitoring plan: observations, baselines, a what-if on the latest scene, scores and ranking, for all bodies at once."""
+"""The monitoring plan: observations, baselines, scores, evidence and ranking, for all bodies and dates at once; what-ifs are separate steps."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import DEFAULTS, Settings
 from ..functions.geo import haversine_m
 from ..operators import scoring
 from ..operators.scenes import zone_observations
+from ..sources.shared import small, written
 
 
-def scored(observations: DataFrame) -> DataFrame:
-    return scoring.zone_scores(scoring.compare(scoring.with_baseline(observations, scoring.fit_baselines(observations))))
+def observed(pixels: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Zone observations, written once: a few rows per scene, from which all later steps start, so pixels are read once."""
+    return written(zone_observations(pixels, s), "observations")
 
 
-def latest(observations: DataFrame) -> DataFrame:
-    """The newest date of each body that has observations."""
-    return observations.groupBy("body_id").agg(F.max("date").alias("date"))
+def compared(observations: DataFrame, s: Settings = DEFAULTS, adjustments: DataFrame | None = None) -> DataFrame:
+    base = scoring.adjusted(scoring.fit_baselines(observations), adjustments)
+    return scoring.compare(scoring.with_baseline(observations, base), s)
 
 
-def what_if(pixels: DataFrame, observations: DataFrame, factor: float = 3.0) -> DataFrame:
-    """Observations of each body's latest scene with its red band multiplied."""
-    last = latest(observations)  # one row per body
-    return zone_observations(pixels.join(last, ["body_id", "date"], "left_semi").withColumn("b04", F.col("b04") * factor))
+def distances(zones: DataFrame, intakes: DataFrame, settlements: DataFrame) -> DataFrame:
+    """Metres from each zone's centre to the nearest intake and settlement of its body; a point without owner counts for all bodies; none: null.
 
+    Zones are the small side (some per body, size checked); points stay where they are and only their least distances move.
+    """
 
-def body_distances(intakes: DataFrame, settlements: DataFrame, zones: DataFrame) -> DataFrame:
-    """Metres from each zone's centre to the nearest intake and settlement."""
     def least(points: DataFrame, name: str) -> DataFrame:
-        p = points.select(F.col("lon").alias("plon"), F.col("lat").alias("plat"))
+        p = points.select(F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.coalesce("owner", F.lit("")).alias("owner"))
         d = haversine_m(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
-        return p.join(F.broadcast(zones)).groupBy("body_id", "zone_id").agg(F.min(d).alias(name))  # zones: one row per body and zone
-
-    return least(intakes, "intake_m").join(least(settlements, "settlement_m"), ["body_id", "zone_id"])
-
-
-def priority(pixels: DataFrame, intakes: DataFrame, settlements: DataFrame) -> DataFrame:
-    observations = zone_observations(pixels)
-    base = scoring.fit_baselines(observations)
-    past = scoring.zone_scores(scoring.compare(scoring.with_baseline(observations, base)))
-    now = scoring.zone_scores(scoring.compare(scoring.with_baseline(what_if(pixels, observations), base)))
-    z = observations.select("body_id", "zone_id").distinct()
-    n = F.substring("body_id", 4, 9).cast("int")
-    zones = z.withColumns({"lon": (n * 37 + F.substring("zone_id", 2, 1).cast("int") * 3).cast("double"), "lat": (n * 11 - 20).cast("double")})
-    # dates before the altered one, and the altered one in its own place
-    seen = past.join(now.select("body_id", "date").distinct(), ["body_id", "date"], "left_anti").unionByName(now)
-    return scoring.rank_zones(now, scoring.persistence(seen), body_distances(intakes, settlements, zones))
+        return p.join(small(zones), F.col("owner").isin("") | (F.col("owner") == F.col("body_id"))).groupBy("body_id", "zone_id").agg(F.min(d).alias(name))
+
+    key = ["body_id", "zone_id"]
+    return zones.select(*key).join(least(intakes, "intake_m"), key, "left").join(least(settlements, "settlement_m"), key, "left")
+
+
+def priority(scores: DataFrame, zones: DataFrame, intakes: DataFrame, settlements: DataFrame, bumps: DataFrame | None = None, s: Settings = DEFAULTS) -> DataFrame:
+    """Ranked flagged zones of every (body, date) of `scores`, with persistence over all its dates."""
+    return scoring.rank_zones(scores, scoring.persistence(scores), distances(zones, intakes, settlements), bumps, s)
+
+
+def intensified(pixels: DataFrame, dates: DataFrame, band: str = "b04", factor: float = 3.0) -> DataFrame:
+    """The pixels of some scenes with one band multiplied."""
+    return pixels.join(small(dates.select("body_id", "date")), ["body_id", "date"], "left_semi").withColumn(band, F.col(band) * factor)
+
+
+#: The band that drives each indicator of a plume; fixed values.
+DRIVING = {"turbidity": "b04", "transparency": "b02", "chlorophyll": "b05"}
+
+
+def pixel_of(lon: Column, lat: Column, a: float, e: float, c: float, f: float, height: int, width: int) -> Column:
+    """(row, col) of a place on a grid; outside: null."""
+    row, col = F.floor((lat - f) / e), F.floor((lon - c) / a)
+    return F.when(row.between(0, height - 1) & col.between(0, width - 1), F.struct(row.cast("int").alias("row"), col.cast("int").alias("col")))
+
+
+def radius_in_pixels(metres: float, width: float, lat: float) -> float:
+    """A radius in pixels; widths below 1 are degrees."""
+    import math
+
+    size = abs(width) * 111_320.0 * math.cos(math.radians(lat)) if abs(width) < 1 else abs(width)
+    return metres / size if size else 1.0
+
+
+def with_plume(pixels: DataFrame, indicator: str, row: float, col: float, radius: float, magnitude: float) -> DataFrame:
+    """Adds magnitude * clip(1 - distance / radius) to the band that drives the indicator; a radius of 0 or less changes nothing."""
+    if radius <= 0:
+        return pixels
+    d = F.sqrt((F.col("row") - row) ** 2 + (F.col("col") - col) ** 2)
+    band = DRIVING[indicator]
+    return pixels.withColumn(band, F.col(band) + magnitude * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - d / radius)))
+
+
+def plume_scores(pixels: DataFrame, baselines: DataFrame, indicator: str, row: float, col: float, radius: float, magnitude: float, s: Settings = DEFAULTS) -> DataFrame:
+    """Zone scores of altered scenes against baselines of the real ones; synthetic_plume joins the reasons."""
+    now = zone_observations(with_plume(pixels, indicator, row, col, radius, magnitude), s)
+    x = scoring.zone_scores(scoring.compare(scoring.with_baseline(now, baselines), s), s)
+    return x.withColumn("reasons", F.array_distinct(F.concat("reasons", F.array(F.lit("synthetic_plume")))))

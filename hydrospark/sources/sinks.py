@@ -12,12 +12,12 @@ STATUSES = ("NORMAL", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 CONTRACT = "body string, status string, confidence double, score double"
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """`old` with the rows of `new` in place of those with equal keys; of new rows that repeat a key, one is left.
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """`old` with the rows of `new` in place of those with equal keys; of new rows that repeat a key, the last by `order` is left.
 
     The result has to go to another folder than the one that `old` reads.
     """
-    fresh = new.dropDuplicates(keys)
+    fresh = new.groupBy(*keys).agg(F.max_by(F.struct(*new.columns), F.struct(*order)).alias("r")).select("r.*")
     return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
-from ..operators.scoring import compare, with_baseline
+from ..config import DEFAULTS, Settings
+from ..operators.reports import Ledger
+from ..operators.scenes import zone_observations
+from ..operators.scoring import compare, with_baseline, zone_scores
+from ..sources.shared import ship
 
 
 def score_stream(observations: DataFrame, baselines: DataFrame) -> DataFrame:
@@ -27,3 +36,40 @@ def running_leaderboard(reports: DataFrame) -> DataFrame:
 def fresh_images(reports: DataFrame, memory: str = "7 days") -> DataFrame:
     """First reports of each image; forgets hashes after `memory`, which bounds the state."""
     return reports.withWatermark("taken_at", memory).dropDuplicatesWithinWatermark(["body_id", "image_hash"])
+
+
+def score_new_scenes(pixels: DataFrame, baselines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Scores each batch of newly arrived scenes against static baselines and appends the scores under `path`; a batch that is repeated replaces itself.
+
+    A file of pixels holds whole scenes, so a batch's gates and means are complete.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        scores = zone_scores(compare(with_baseline(zone_observations(rows), baselines)))
+        scores.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return pixels.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def adjudicate_stream(reports: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """(body_id, report_id, accepted) of located reports as they come, keyed by body.
+
+    State: images of accepted reports for ever, since that rule has no time limit, and places of accepted reports as long as the time
+    limit reaches. Reports of a batch are judged in order of time, then id.
+    """
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        images, places = (list(x) for x in state.get) if state.exists else ([], [])
+        rows = pd.concat(batches).sort_values(["taken_at", "report_id"])
+        ledger = Ledger(s)
+        ledger.hashes.update(images)
+        for lon, lat, at in places:
+            ledger.by_hour[int(at // s.duplicate_s)].append((lon, lat, at))
+        good = [ledger.submit(x.image_hash, x.lon, x.lat, x.taken_at.timestamp()) for x in rows.itertuples()]
+        latest = max((t for p in ledger.by_hour.values() for _, _, t in p), default=0.0)
+        state.update((sorted(ledger.hashes), [p for ps in ledger.by_hour.values() for p in ps if latest - p[2] <= 2 * s.duplicate_s]))
+        yield pd.DataFrame({"body_id": key[0], "report_id": rows["report_id"].to_numpy(), "accepted": good})
+
+    ship(reports.sparkSession)
+    place = "array<struct<lon: double, lat: double, at: double>>"
+    return reports.groupBy("body_id").applyInPandasWithState(judge, "body_id string, report_id long, accepted boolean", f"images array<string>, places {place}", "append", "NoTimeout")

@@ -58,7 +58,7 @@ def test_products_replace_their_scene_only(spark, tmp_path):
 
 def test_upsert_and_ledger(spark, tmp_path):
     df = lambda *x: spark.createDataFrame(list(x), "k string, v int")
-    assert sorted(tuple(r) for r in sinks.upsert(df(("a", 1), ("b", 1)), df(("b", 2), ("c", 2)), ["k"]).collect()) == [("a", 1), ("b", 2), ("c", 2)]
+    assert sorted(tuple(r) for r in sinks.upsert(df(("a", 1), ("b", 1)), df(("b", 1), ("b", 2), ("c", 2)), ["k"], ["v"]).collect()) == [("a", 1), ("b", 2), ("c", 2)]
     for _ in range(2):
         sinks.append_ledger(df(("a", 1)), str(tmp_path / "l"))
     assert spark.read.parquet(str(tmp_path / "l")).count() == 2

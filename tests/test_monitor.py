@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from hydrospark import catalog
+from hydrospark import catalog, catalog_zones
 from hydrospark.functions import indices, narrative
 from hydrospark.operators import scoring
 
@@ -40,19 +40,20 @@ def test_scalars(spark):
     assert (r.flat, r.inf, r.none, r.nd, r.good, r.bad, r.season, r.numbers) == (0.0, float("inf"), None, None, True, False, "SON", [2024.0, -12.0, 1.5])
 
 
-@pytest.mark.parametrize("name", ["p4_scene_gates", "a9_zone_scores", "c13_score_history", "j6_nearest_three", "o1_overlap_search"])
+@pytest.mark.parametrize("name", sorted(catalog.SQL | catalog_zones.SQL))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("lineitem", "events", "customer", "supplier", "documents", "benchmark"):
+    for t in ("lineitem", "events", "orders", "customer", "supplier", "nation", "documents", "benchmark", "embeddings", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got, want = catalog.QUERIES[name](spark, SF).toPandas(), db.sql(catalog.SQL[name]).df()
+    got, want = (catalog.QUERIES | catalog_zones.QUERIES)[name](spark, SF).toPandas(), db.sql((catalog.SQL | catalog_zones.SQL)[name]).df()
     k = sorted(want.columns)
-    text = lambda d: d[k].astype(str).sort_values(k).reset_index(drop=True)
+    text = lambda d: d[k].astype(str).replace({"None": "nan", "<NA>": "nan", "NaN": "nan"}).sort_values(k).reset_index(drop=True)
     assert sorted(got.columns) == k and text(got).equals(text(want))
 
 
 def test_flagship_ranks_zones(spark):
     rows = catalog.QUERIES["c5_priority"](spark, SF).collect()
     assert rows and all(0 <= r.confidence <= 1 for r in rows)
-    for body in {r.body_id for r in rows}:
-        assert sorted(r["rank"] for r in rows if r.body_id == body) == list(range(1, 1 + sum(r.body_id == body for r in rows)))
+    for scene in {(r.body_id, r.date) for r in rows}:
+        of = [r for r in rows if (r.body_id, r.date) == scene]
+        assert sorted(r["rank"] for r in of) == list(range(1, 1 + len(of)))
