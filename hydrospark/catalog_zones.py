@@ -277,7 +277,7 @@ def o9(spark, d):
     return history.or_latest(asked, t.history(spark, d))
 
 
-@query("a17_masked_means", f"""WITH {PIXELS}, w AS (SELECT body_id, date, avg(CASE WHEN wet THEN 0.97::DOUBLE * ((b04 - b03) / nullif(b04 + b03, 0)) END) AS a FROM px GROUP BY ALL) SELECT body_id, date, CAST(round_even(coalesce(a, 0), 3) AS DOUBLE) AS ndti FROM w""")
+@query("a17_masked_means", f"""WITH {PIXELS}, w AS (SELECT body_id, date, avg(CASE WHEN wet THEN 0.97::DOUBLE * ((b04 - b03) / nullif(b04 + b03, 0)) END) AS a FROM px GROUP BY ALL) SELECT body_id, date, CAST(round_even(coalesce(a, 0), 3) AS DOUBLE) + 0.0::DOUBLE AS ndti FROM w""")
 def a17(spark, d):
     p = t.pixels(spark, d).withColumn("mask", indices.is_water(F.col("b03"), F.col("b08")))
     return history.masked_means(p, "mask", ndti=0.97 * indices.safe_difference(F.col("b04").cast("double"), F.col("b03").cast("double")))
