@@ -6,6 +6,7 @@ import functools
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark import SparkContext
@@ -25,8 +26,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`, or a local one of our own where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder all executors see: `spark.checkpoint.dir`; where that is unset a local one of our own, in local mode only (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    return path or _own_dir()
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
@@ -64,6 +68,19 @@ def cols(df: DataFrame, *without: str) -> list[Column]:
     return [F.col(q(c)) for c in df.columns if c.lower() not in gone]
 
 
+class Kept(dict):
+    """What `make` gives for parts of texts, made once for each. An older generation is asked first; parts of more than `longest` characters aren't kept, which bounds the bytes."""
+
+    def __init__(self, make: Callable[[str], bytes], older: dict[str, bytes] | None = None, longest: int = 64):
+        self.make, self.older, self.longest = make, dict(older or {}), longest
+
+    def __missing__(self, x: str) -> bytes:
+        out = self.older.get(x) or self.make(x)
+        if len(x) <= self.longest:
+            self[x] = out
+        return out
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; no word: an empty array."""
     return F.filter(F.split(text, GAP), lambda w: w != "")

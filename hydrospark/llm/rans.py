@@ -10,7 +10,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
-from .common import python_workers, q, scratch, small, text_of
+from .common import Kept, python_workers, q, scratch, small, text_of
 
 #: Frequencies sum to 2**BITS; states stay in [2**31, 2**63) and give or take 32 bits at a time.
 BITS, LANES, BLOCK, EVERY = 18, 4096, 1 << 20, 128
@@ -31,8 +31,6 @@ _HEADER = struct.Struct("<4sHHHxxIIIII")
 _MAGIC = b"RANS"
 #: Units in one of an encoder's two generations.
 _CACHE_MAX = 700_000
-#: Longer units, in characters, aren't kept, which bounds the bytes of what is.
-_LONG = 64
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~"
 #: Each of these is one unit of byte-level pre-tokenizing, as the character that follows shows: letters, digits or ASCII marks after at most one space, or a line end.
 _UNIT = rf" ?[{_LETTER}]++(?=[\x00-@\[-`{{-\x7f]|\Z)| ?[0-9]++(?=[\x00-/:-\x7f]|\Z)|(?!') ?[{_MARK}]++(?=[A-Za-z0-9\s]|\Z)|\n(?=\S)"
@@ -69,7 +67,7 @@ class Encoder:
         self.merged, self.signs = self.tokenizer.model.tokenize, _byte_signs()
         self.cut = re.compile(rf"{_UNIT}|(?s:.+?)(?= [^\W_]|\Z)").findall
         self.is_unit = re.compile(_UNIT).fullmatch
-        self.units = _Units(self._encoded, {})
+        self.units = Kept(self._encoded)
 
     def _parts(self, text: str) -> list[str]:
         """Units, other parts and special tokens in order; the tokenizer takes the stretches between special tokens one by one."""
@@ -88,24 +86,11 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.units) > _CACHE_MAX:
-            self.units = _Units(self._encoded, self.units)
+            self.units = Kept(self._encoded, self.units)
         of = self.units.__getitem__
         return [b"".join(map(of, self._parts(x))) for x in texts]
 
 
-class _Units(dict):
-    """Units and their ids; one that is new comes from the older generation or is encoded."""
-
-    def __init__(self, encoded: Callable[[str], bytes], older: dict[str, bytes]):
-        self.encoded, self.older = encoded, dict(older)
-
-    def __missing__(self, x: str) -> bytes:
-        ids = self.older.get(x) or self.encoded(x)
-        if len(x) <= _LONG:
-            self[x] = ids
-        return ids
-
-
 @functools.cache
 def _encoder(path: str) -> Encoder:
     return Encoder(path)

@@ -92,6 +92,10 @@ def bucket_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
+#: Buckets of more fingerprints are searched one by one.
+_DENSE = 64
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     """Of links, as many as connect what they connect."""
     root: dict[int, int] = {}
@@ -110,8 +114,41 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return left, right
 
 
+def _tree(prints: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
+    """A forest over one bucket: what a fingerprint links to leaves the rest, which only it and its links are compared with later.
+
+    Memory grows with the bucket; time with its fingerprints times what no family has taken in yet.
+    """
+    left, right, rest = [], [], np.unique(prints)
+    while len(rest):
+        reached, rest = [int(rest[0])], rest[1:]
+        while reached and len(rest):
+            x = reached.pop()
+            near = np.bitwise_count((rest ^ np.int64(x)).view(np.uint64)) <= bits
+            new = rest[near].tolist()
+            if new:
+                left += [x] * len(new)
+                right += new
+                reached += new
+                rest = rest[~near]
+    return left, right
+
+
 def _links(key: np.ndarray, prints: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
-    """Verified links in sorted buckets, thinned to a forest, so a dense bucket doesn't emit its pairs."""
+    """Verified links in sorted buckets, thinned to a forest; a bucket of more than _DENSE fingerprints is searched by itself, so its pairs never stand anywhere."""
+    place = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0] if len(key) else np.empty(0, np.int64)
+    size = np.diff(np.concatenate((place, [len(key)])))
+    left, right = [], []
+    for i in np.nonzero(size > _DENSE)[0]:
+        a, b = _tree(prints[place[i] : place[i] + size[i]], bits)
+        left += a
+        right += b
+    thin = np.repeat(size <= _DENSE, size)
+    a, b = _pairs(key[thin], prints[thin], bits)
+    return left + a, right + b
+
+
+def _pairs(key: np.ndarray, prints: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
     a, b, at = [], [], np.arange(len(key))
     for step in range(1, len(key)):
         at = at[at < len(key) - step]

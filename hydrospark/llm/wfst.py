@@ -13,26 +13,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb
 
-from .common import cols, python_workers, text_of
+from .common import Kept, cols, python_workers, text_of
 
 SPACE = "▁"
 _NORMAL, _USER, _BYTE = 1, 4, 6
-_CACHE_MAX = 200_000
+_CACHE_MAX = 300_000
+_END = ""
 
 
 class Transducer:
     """A BPE model file compiled to three machines: normaliser, pieces with byte fallback, and what may follow what.
 
-    * The normaliser maps a space to the sign for it and every other character to itself, after one such sign at the
-      beginning (as the model file says; models with a character map are refused).
-    * The piece machine has an arc for every piece, and for a character that is no piece one arc whose output is its UTF-8 bytes' pieces.
-    * The order machine has weight 0 for a pair of pieces that merging leaves apart when they meet, and infinity for others. A
-      sequence of pieces is what BPE gives exactly if all its pairs weigh 0, so of all paths of the composition with an input one
-      is finite: the tropical shortest path.
-
-    Composition is lazy: paths are relaxed from left to right, longest arc first, and a position from which no finite
-    path ends is left once. No piece goes on over the beginning of a word or holds characters of two classes (see `_classes`),
-    so inputs are cut there and the paths of recent parts are kept.
+    * The normaliser has one state with an arc for each character: a space to the sign for it, every other one to itself, after one
+      such sign at the beginning (as the model file says; models with a character map are refused).
+    * The piece machine is a trie: an arc per character, and from the end of a piece an arc back to the start that puts out
+      the piece. A character that no piece begins with has arcs of its own, whose outputs are its UTF-8 bytes' pieces.
+    * The order machine has a state per piece. Its arc from piece a to piece b weighs 0 if merging leaves the two apart where
+      they meet, else infinity; weights are worked out where a path first needs them. A sequence of pieces is what BPE gives
+      exactly if all its arcs weigh 0. (That merges can be undone pair by pair to tell this is known from published work on BPE in linear time.)
+
+    An input is composed with the three lazily: the lattice's arcs that leave a position are those of the trie, and they are
+    relaxed in the tropical semiring, where weights along a path add and the least sum stays. One finite path leads to each
+    position that can be reached, so a position is one state of the order machine, and the path to the end is the library's result. No
+    piece goes on over the beginning of a word or holds characters of two classes (see `_classes`), so inputs are
+    cut there and the paths of recent parts are kept.
     """
 
     def __init__(self, path: str):
@@ -72,14 +76,15 @@ class Transducer:
                     self.halves[k] = last
                 else:  # merging never gets there, so no path may use it
                     del self.state[x]
-        # how long a path's next arc can be, by the (up to) three characters that it begins with
-        self.reach: dict[str, int] = {}
-        for x in self.state:
-            for n_ in range(1, min(3, len(x)) + 1):
-                self.reach[x[:n_]] = max(self.reach.get(x[:n_], 1), len(x) if n_ == 3 else min(len(x), n_))
+        self.normal = {" ": SPACE}  # the normaliser's arcs that change a character
+        self.trie: dict = {}
+        for x, k in self.state.items():
+            node = self.trie
+            for c in x:
+                node = node.setdefault(c, {})
+            node[_END] = k
         self.known = re.compile("[" + "".join(re.escape(x) for x in self.state if len(x) == 1) + "]+")
-        self.words: dict[str, bytes] = {}  # of two generations: the older one goes when the younger is full
-        self.older: dict[str, bytes] = {}
+        self.words = Kept(self._word)
         self.pairs: dict[int, bool] = {}  # by a << 20 | b
         one = lambda some: f"[{''.join(map(re.escape, some))}]+"
         known = {x for x in self.state if len(x) == 1 and x != SPACE}
@@ -121,41 +126,50 @@ class Transducer:
                     if a == old:
                         good = True
                         break
-        if len(self.pairs) > 5 * _CACHE_MAX:
+        if len(self.pairs) > 1_000_000:
             self.pairs.clear()
         self.pairs[first[0] << 20 | first[1]] = good
         return good
 
+    def _arcs(self, s: str, at: int) -> list[tuple[int, int]]:
+        """The lattice's arcs that leave a position: (where it ends, piece), the longest last."""
+        node, arcs = self.trie, []
+        for c in s[at:]:
+            node = node.get(c)
+            if node is None:
+                break
+            at += 1
+            if _END in node:
+                arcs.append((at, node[_END]))
+        return arcs
+
     def _path(self, s: str) -> list[int]:
-        """The finite path of a string of known characters, as states."""
+        """The shortest path of the composition with a string of known characters, as states of the order machine.
+
+        Weights are 0 or infinity, so all finite sums are equal and the position farthest on is settled first. Each position
+        is settled once, by the one finite path to it; where no arc goes on, the search returns to the last one with arcs left.
+        """
+        n, pairs, settled = len(s), self.pairs, bytearray(len(s) + 1)
         out: list[int] = []
-        ends: list[int] = []
-        dead: set[int] = set()
-        state, pairs, reach, n, at = self.state, self.pairs, self.reach, len(s), 0
-        upto = reach.get(s[:3]) or reach.get(s[:2], 1)
-        while at < n:
-            end, found = upto, None
-            while end > at:
-                k = state.get(s[at:end])
-                if k is not None and end not in dead:
-                    if not out:
-                        found = k
-                        break
-                    good = pairs.get(out[-1] << 20 | k)
-                    if good or good is None and self._apart(out[-1], k):
-                        found = k
-                        break
-                end -= 1
-            if found is None:
-                dead.add(at)
+        waiting: list[list[tuple[int, int]]] = []
+        arcs = self._arcs(s, 0)
+        while n:
+            while not arcs:
                 out.pop()
-                upto = ends.pop() - 1
-                at = ends[-1] if ends else 0
-            else:
-                out.append(found)
-                ends.append(end)
-                at = end
-                upto = at + (reach.get(s[at : at + 3]) or reach.get(s[at : at + 2], 1))
+                arcs = waiting.pop()
+            end, k = arcs.pop()
+            if settled[end]:
+                continue
+            if out:
+                finite = pairs.get(out[-1] << 20 | k)
+                if not (self._apart(out[-1], k) if finite is None else finite):
+                    continue
+            settled[end] = 1
+            out.append(k)
+            if end == n:
+                break
+            waiting.append(arcs)
+            arcs = self._arcs(s, end)
         return out
 
     def _run(self, n: int) -> list[int]:
@@ -186,14 +200,11 @@ class Transducer:
         """The ids as little-endian unsigned 32-bit integers; an empty text has none."""
         if not text:
             return b""
-        parts, words = self.cut(self.prefix + text.replace(" ", SPACE)), self.words
-        if len(words) > _CACHE_MAX:
-            self.older, self.words = words, {}
-            words = self.words
-        older = self.older
-        for x in set(parts).difference(words):
-            words[x] = older.get(x) or self._word(x)
-        return b"".join(map(words.__getitem__, parts))
+        for symbol, output in self.normal.items():
+            text = text.replace(symbol, output)
+        if len(self.words) > _CACHE_MAX:
+            self.words = Kept(self._word, self.words)
+        return b"".join(map(self.words.__getitem__, self.cut(self.prefix + text)))
 
     def decode(self, ids: bytes) -> str:
         """The inverse transducer: pieces to text, bytes joined to characters, signs for spaces to spaces, the first one dropped."""

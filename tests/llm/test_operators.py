@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import tokenizers
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -207,6 +208,46 @@ def test_golay_keys_meet():
     assert len({w for k, w in zip(kb.tolist(), wb.tolist()) if (k, w) in have}) == len(a)
 
 
+def bits_of(text, width=4):
+    """The fingerprint by counting each bit of each shingle."""
+    w = [x.lower() for x in plain(text)]
+    grams = [b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return "%016x" % sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints_equal_brute_force(docs):
+    text = {(-1 if r.doc_id is None else r.doc_id, bits_of(r.text)) for r in docs.select("doc_id", "text").collect()}
+    assert {(-1 if r.doc_id is None else r.doc_id, r.fingerprint) for r in simhash.near_duplicates(docs).collect()} == text
+
+
+def test_dense_buckets():
+    """Forests of one bucket of many fingerprints connect what comparing all pairs connects."""
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 62, 12)
+    prints = np.unique(np.concatenate([base, *(x ^ np.bitwise_or.reduce(1 << r.integers(0, 62, (3, 150)), axis=0) for x in base)]))
+    key = np.repeat([1, 2], [len(prints) - 40, 40])
+    for part in (prints, prints[:50]):
+        a, b = simhash._links(np.ones(len(part), np.int64), part, 4)
+        root = {x: x for x in part.tolist()}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y in zip(a, b):
+            assert (x ^ y).bit_count() <= 4
+            root[find(x)] = find(y)
+        for i, x in enumerate(part.tolist()):
+            for y in part[i + 1 :].tolist():
+                if (x ^ y).bit_count() <= 4:
+                    assert find(x) == find(y)
+        assert len(a) < len(part)
+    both = simhash._links(key, prints, 4)
+    assert len(both[0]) < len(prints)
+
+
 def test_simhash(docs, none):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(ROWS) and simhash.near_duplicates(none).count() == 0
