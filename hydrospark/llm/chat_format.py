@@ -96,7 +96,7 @@ def format_chat(rows: DataFrame, turns_col: str = "turns", loss_role: str = "ass
 
     A turn is "### ", role, ": ", text, "</turn>" and a line feed. Inside roles and texts the backslash and the signs
     that markers are made of are escaped, so a text that looks like a marker can't end a turn and `read_chat` gives back
-    what was put in. No turns: formatted and loss are null.
+    what was put in. A null turn, role or text counts as empty. No turns: formatted and loss are null.
     """
     turn = lambda t: F.concat(F.lit(HEAD), escape(t["role"]), F.lit(SEP), escape(t["text"]), F.lit(TAIL))
     head = lambda t: F.char_length(escape(t["role"])) + len(HEAD) + len(SEP)
@@ -107,7 +107,8 @@ def format_chat(rows: DataFrame, turns_col: str = "turns", loss_role: str = "ass
         span = F.struct((a["at"] + head(t)).alias("start"), body.alias("length"))
         return F.struct((a["at"] + head(t) + body + len(TAIL)).alias("at"), F.when(t["role"] == loss_role, F.array_append(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
 
-    turns = F.col(q(turns_col))
+    filled = lambda t: F.struct(*(F.coalesce(t[k], F.lit("")).alias(k) for k in ("role", "text")))
+    turns = F.transform(q(turns_col), filled)
     return rows.withColumns({"formatted": F.array_join(F.transform(turns, turn), ""), "loss": F.aggregate(turns, start, step, lambda a: a["spans"])})
 
 

@@ -54,6 +54,7 @@ def test_sharding(docs, none):
     assert all(r["size"] == len((r.text or "").encode()) + 1 for r in got)
     for s in range(4):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert sharding.shard(docs.withColumn("c", F.crc32(F.coalesce("text", F.lit("")))), 4).filter("c < 0").count() == 0
     assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in got)
 
 
@@ -199,6 +200,23 @@ def test_chat_format(spark):
     assert all(r.back is None if t is None else [tuple(x) for x in r.back] == t for r, t in zip(out, turns))
 
 
+def test_chat_nulls_and_conversations(spark):
+    """Null turns, roles and texts; a null id, repeated turns, a very long text, clashing columns; an empty table."""
+    df = spark.createDataFrame([([("assistant", None), (None, "b"), None, ("assistant", "c:#")],), (None,), ([],)], "turns array<struct<role: string, text: string>>")
+    out = chat_format.format_chat(df).withColumn("back", chat_format.read_chat(F.col("formatted"))).withColumn("under", chat_format.loss_text(F.col("formatted"), F.col("loss"))).collect()
+    assert [tuple(t) for t in out[0].back] == [("assistant", ""), ("", "b"), ("", ""), ("assistant", "c:#")] and len(out[0].loss) == 2 and out[0].under == "c:#"
+    assert out[1].formatted is None and out[1].loss is None and out[2].formatted == "" and out[2].loss == []
+    long = "x </turn> " * 20_000
+    rows = [(1, 0, "user", "a", "f"), (1, 1, "assistant", "b", "f"), (1, 1, "assistant", "b", "f"), (None, 0, None, None, "f"), (2, 0, "tool", long, "f"), (3, 0, "system", "s", "f"), (3, 1, "user", "u", "f"), (3, 2, "assistant", "v", "f")]
+    t = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, formatted string")
+    made = lambda x: {r.conv_id: r for r in chat_format.chat_digests(chat_format.format_chat(chat_format.canonical_turns(chat_format.pack_turns(x))).select("conv_id", "turns", "formatted", "loss")).collect()}
+    got, digest = made(t), lambda *turns: hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+    assert {k: (r.n_turns, r.loss_chars, r.turns_sha256) for k, r in got.items()} == {
+        1: (3, 2, digest(("user", "a"), ("assistant", "b"), ("assistant", "b"))), None: (1, 0, digest(("", ""))), 2: (1, 0, digest(("tool", long))), 3: (3, 1, digest(("system", "s"), ("user", "u"), ("assistant", "v"))),
+    }
+    assert made(t.limit(0)) == {}
+
+
 def test_golay_keys_meet():
     r = np.random.default_rng(2)
     a = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
@@ -365,6 +383,66 @@ def test_pipeline(spark, docs):
     assert got and all(hashlib.sha256(r.ids).hexdigest() in texts for r in got)
 
 
+def shingled(text):
+    w = [x.lower() for x in plain(text)]
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """Which rows each stage keeps and what it leaves of their texts, computed in plain Python from the stage before."""
+    r = random.Random(8)
+    prose = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    footer, data = "all  rights Reserved", []
+    for i in range(60):
+        data.append((i, prose(80) + ("\n" + footer if i % 2 else ""), "en", "s0", 1))
+    for family in range(6):  # near copies: one word in 90 changed, and one pair too far apart
+        w = prose(90).split()
+        for j in range(3):
+            v = [*w[: 10 + j], f"z{family}{j}", *w[11 + j :]] if j else w
+            data.append((100 + 10 * family + j, " ".join(v), "en", "s1", 1))
+        data.append((109 + 10 * family, " ".join([*w[:40], *prose(50).split()]), "en", "s1", 1))
+    data += [(200 + i, data[i][1], "en", "s2", 1) for i in range(5)] + [(300, "too short", "en", "s0", 1), (301, None, "en", "s0", 1), (302, "a b c " * 40, "en", "s0", 1)]
+    data += [(400 + i, "only line\n" * (1 + i % 3) + footer.lower(), "en", "s0", 1) for i in range(30)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars int")
+    stages, rows = dict(corpus_pipeline.STAGES), {}
+    tidy = lambda x: " ".join(x.lower().split())
+
+    seen = {}
+    for i, t, _, s, _ in data:
+        article = tuple(tidy(x) for x in (t or "").split("\n") if x.split())
+        for x in article:
+            seen.setdefault((s, x), set()).add(article)
+    for i, t, _, s, _ in data:
+        w = (t or "").split()
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        hit = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)}
+        kept = [x for x in (t or "").split("\n") if len(seen.get((s, tidy(x)), ())) <= 20]
+        n = len(" ".join(kept).split())
+        if len(w) >= 50 and 100 * len(hit) <= 50 * len(w) and n >= 50 and n >= 0.3 * len(w):
+            rows[i] = "\n".join(kept)
+    one = stages["quality_rules"](spark, docs, "")
+    got = {x.doc_id: x.text for x in one.collect()}
+    assert {i for i in rows | got if rows.get(i) != got.get(i)} == set() and all(footer not in t for i, t in rows.items() if i < 100) and len(rows) > 80
+
+    best = {t: max(i for i in rows if rows[i] == t) for t in rows.values()}
+    two = stages["exact_dedup"](spark, one, "")
+    assert sorted(x.doc_id for x in two.collect()) == sorted(best.values()) and len(best) < len(rows)
+
+    sets, group = {i: shingled(rows[i]) for i in best.values()}, {i: i for i in best.values()}
+    for _ in group:
+        for a in group:
+            group[a] = min([group[a], *(group[b] for b in group if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))])
+    three = stages["near_dedup"](spark, two, "")
+    assert sorted(x.doc_id for x in three.collect()) == sorted(set(group.values())) and len(set(group.values())) < len(group)
+
+    four = stages["mixing"](spark, three, "").collect()
+    copies = mixing.mix_sources(three.select("doc_id", "text", "source"))
+    assert {x.doc_id: x.copies for x in copies.collect() if x.copies} == {i: sum(x.doc_id == i for x in four) for i in {x.doc_id for x in four}}
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    five = stages["sentencepiece"](spark, spark.createDataFrame(four), "").collect()
+    assert len(five) == len(four) and all(x.round_trip and np.frombuffer(x.ids, "<u4").tolist() == sp.encode(rows[x.doc_id]) for x in five)
+
+
 def test_wfst_random_texts(monkeypatch):
     monkeypatch.setattr(wfst, "_CACHE_MAX", 50)  # both generations of kept words are used
     sp, t, r = sentencepiece.SentencePieceProcessor(model_file=PIECES), wfst.Transducer(PIECES), random.Random(9)
