@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -138,9 +137,8 @@ ds AS (SELECT a.body_id, a.zone_id, min(CASE WHEN kind = 'intake' THEN m END) AS
   FROM (SELECT a.body_id, a.zone_id, kind, {0} AS m FROM zn a LEFT JOIN pt b ON b.owner IS NULL OR b.owner = a.body_id) a GROUP BY ALL)"""
 
 
-@functools.cache
 def _scored(spark, d):
-    """(comparisons, scores), each written once: several queries of a session start there."""
+    """(comparisons, scores), each written once, so that what is joined several times is computed once."""
     c = written(monitor.compared(monitor.observed(t.pixels(spark, d), LOOSE), LOOSE), "comparisons")
     return c, written(scoring.zone_scores(c, LOOSE), "scores")
 
