@@ -8,18 +8,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cols, python_workers, q, scratch, text_of, words_of
+from .common import cols, python_workers, q, scratch, text_of
 
 #: Words of one index; a shard is closed at the next anchor once it holds so many.
 SHARD_WORDS = 1_000_000
 #: Windows of an anchor that more rows than this have are dealt out one by one.
 HOT_ANCHOR = 20_000
-#: Up to so many anchors that repeat (9 bytes each) are sent to all tasks; more are joined by a shuffle of the runs.
-SENT_ANCHORS = 4_000_000
 
 
 class WaveletTree:
@@ -132,93 +130,153 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         yield flush()
 
 
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Words whose hashes are made at a time; longer words than LONG_WORD bytes are hashed one by one.
+_BLOCK, LONG_WORD = 1 << 16, 256
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, bodies: bool, wanted: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows (id, key, words: hashes of all words) to the runs of windows that have one anchor.
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX[1]
+    return h ^ (h >> np.uint64(29))
 
-    A window's anchor is the least of the mixed hashes of its `gram`-word parts. Equal windows have equal anchors, so the rows of an
-    anchor hold all places where its windows can occur again. `wanted`: the anchors to keep, sorted; all if none are given.
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): a 64-bit hash of every word of every text, and where each text's words begin.
+
+    Eight bytes of all words are mixed in at a time, so that the steps are as many as the longest word has parts, not as there are words.
     """
-    width = length - gram + 1
-    for b in batches:
-        lists = b.column(2)
-        offsets, words = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-        words, offsets = words[offsets[0] : offsets[-1]], offsets - offsets[0]
-        row = np.repeat(np.arange(len(lists)), np.diff(offsets))
-        n = len(words) - length + 1
+    texts = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    data = texts.buffers()[2] if len(texts) else None
+    raw = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    cut = np.ones(len(raw) + 1, bool)
+    cut[:-1] = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    inside = ~cut[:-1]
+    cut[bounds] = True
+    ends = np.nonzero(inside & cut[1:])[0] + 1
+    cut[1:-1] = ~inside[:-1]  # now: whether a word can't go on from the byte before
+    cut[bounds] = True
+    starts = np.nonzero(inside & cut[:-1])[0]
+    sizes, out = ends - starts, np.empty(len(starts), np.uint64)
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    for i in range(0, len(starts), _BLOCK):
+        s, size = starts[i : i + _BLOCK], sizes[i : i + _BLOCK]
+        h, open_, done = size.astype(np.uint64) * _MIX[0], np.nonzero(size <= LONG_WORD)[0], 0
+        while len(open_):
+            part = eight[s[open_] + done] & masks[np.minimum(size[open_] - done, 8)]
+            part = (h[open_] ^ part) * _MIX[0]
+            h[open_] = part ^ (part >> np.uint64(32))
+            done += 8
+            open_ = open_[size[open_] > done]
+        for k in np.nonzero(size > LONG_WORD)[0].tolist():
+            h[k] = xxhash.xxh64_intdigest(raw[s[k] : s[k] + size[k]].tobytes())
+        out[i : i + _BLOCK] = _mixed(h)
+    return out, np.searchsorted(starts, bounds)
+
+
+def _grams(words: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each `gram` consecutive words."""
+    m = len(words) - gram + 1
+    mixed = np.zeros(m, np.uint64)
+    for j in range(gram):
+        mixed = (mixed + words[j : j + m]) * _MIX[0]
+        mixed ^= mixed >> np.uint64(29)
+    return _mixed(mixed)
+
+
+class _Runs:
+    """The runs of windows of a batch of texts that have one anchor: row, start (in all words of the batch), count, anchor.
+
+    A window's anchor is the least of the hashes of its `gram`-word parts. Equal windows have equal anchors, so the runs of an
+    anchor hold all places where its windows can occur again.
+    """
+
+    def __init__(self, texts: pa.Array, length: int, gram: int):
+        self.words, self.offsets = word_hashes(texts)
+        n = len(self.words) - length + 1
         if n <= 0:
-            continue
-        w, m = words.view(np.uint64), len(words) - gram + 1
-        mixed = np.zeros(m, np.uint64)
-        for j in range(gram):
-            mixed = (mixed + w[j : j + m]) * np.uint64(_MIX[0])
-            mixed ^= mixed >> np.uint64(29)
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(_MIX[1])
-        mixed ^= mixed >> np.uint64(31)
-        best, place = mixed[:n].copy(), np.arange(n)
-        for j in range(1, width):
-            less = mixed[j : j + n] < best
-            best[less] = mixed[j : j + n][less]
-            place[less] = np.arange(j, j + n)[less]
+            self.row = self.start = self.count = self.anchor = np.zeros(0, np.int64)
+            return
+        row, grams = np.repeat(np.arange(len(texts)), np.diff(self.offsets)), _grams(self.words, gram)
+        best, place = grams[:n].copy(), np.arange(n)
+        for j in range(1, length - gram + 1):
+            less = grams[j : j + n] < best
+            best[less] = grams[j : j + n][less]
+            place[less] = np.nonzero(less)[0] + j
         fits = row[:n] == row[length - 1 :]
         new = np.ones(n, bool)
         new[1:] = (place[1:] != place[:-1]) | (row[1:n] != row[: n - 1])
-        start = np.nonzero(new & fits)[0]
+        self.start = np.nonzero(new & fits)[0]
         run = np.cumsum(new) - 1
-        count = np.bincount(run[fits], minlength=run[-1] + 1)[run[start]]
-        if wanted is not None:
-            keep = np.searchsorted(wanted.value, best[start].view(np.int64))
-            keep = wanted.value[np.minimum(keep, len(wanted.value) - 1)] == best[start].view(np.int64)
-            start, count = start[keep], count[keep]
-        who = row[start]
-        out = [pa.array(best[start].view(np.int64)), b.column(0).take(pa.array(who))]
-        if bodies:
-            raw = w.tobytes()
-            body = [raw[8 * s : 8 * (s + c + length - 1)] for s, c in zip(start.tolist(), count.tolist())]
-            out += [b.column(1).take(pa.array(who)), pa.array((start - offsets[who]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(body, pa.binary())]
-        yield pa.RecordBatch.from_arrays(out, ["anchor", "id", "key", "start", "n", "body"][: len(out)])
-
-
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, gram: int = 6, sent: int = SENT_ANCHORS, hot: int = HOT_ANCHOR) -> DataFrame:
+        self.count = np.bincount(run[fits], minlength=run[-1] + 1)[run[self.start]]
+        self.row, self.anchor = row[self.start], best[self.start].view(np.int64)
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) to the distinct (anchor, id) of each row."""
+    for b in batches:
+        runs = _Runs(b.column(1), length, gram)
+        order = np.lexsort((runs.anchor, runs.row))
+        row, anchor = runs.row[order], runs.anchor[order]
+        first = np.ones(len(row), bool)
+        first[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[first]), b.column(0).take(pa.array(row[first]))], ["anchor", "id"])
+
+
+def _within(values: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Which values are in any of the lists."""
+    return np.isin(values, lists.flatten().to_numpy(zero_copy_only=False))
+
+
+def _bodies(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, key, text, anchors, hot) to (route, id, key, start, n, body) of their runs with one of the anchors; body: the words' hashes.
+
+    What repeats for one row of a batch repeats for the others, so the batch's lists are taken together. Runs of hot anchors go out
+    as single windows, each routed by its own hash.
+    """
+    for b in batches:
+        runs = _Runs(b.column(2), length, gram)
+        hot = _within(runs.anchor, b.column(4))
+        keep = _within(runs.anchor, b.column(3)) & ~hot
+        k = runs.count[hot]
+        single = np.repeat(runs.start[hot], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        route = np.concatenate((runs.anchor[keep], _grams(runs.words, length)[single].view(np.int64) if len(single) else np.zeros(0, np.int64)))
+        start, n = np.concatenate((runs.start[keep], single)), np.concatenate((runs.count[keep], np.ones(len(single), np.int64)))
+        row = np.concatenate((runs.row[keep], np.repeat(runs.row[hot], k)))
+        raw, who = memoryview(runs.words).cast("B"), pa.array(row)
+        body = [raw[8 * s : 8 * e] for s, e in zip(start.tolist(), (start + n + length - 1).tolist())]
+        out = [pa.array(route), b.column(0).take(who), b.column(1).take(who), pa.array((start - runs.offsets[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array([bytes(x) for x in body], pa.binary())]
+        yield pa.RecordBatch.from_arrays(out, ["route", "id", "key", "start", "n", "body"])
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, gram: int = 6, hot: int = HOT_ANCHOR) -> DataFrame:
     """(id, key: hash of the text, spots): where windows of `length` words begin that occur in a row with a smaller id; `spots` are (start, bits).
 
-    1. Every run of windows with one anchor is found (see `_pieces`); anchors are counted with the least and largest id
-       that has them, summed on the map side. An anchor of one id only can't repeat.
-    2. The runs of the other anchors go on with their words, as hashes: tasks filter by the anchors themselves if there are at most
-       `sent` of them, else all runs meet them in a shuffled join. Equal runs are summed to one row with its least
+    1. The anchors of every row's windows are written (see `_Runs`) and counted with the least and largest id that has them, summed on
+       the map side. An anchor of one id only can't repeat. The others are joined with the written pairs and return to their rows by id.
+    2. The runs of these anchors go on with their words, as hashes. Equal runs are summed to one row with its least
        id, so any number of copies of a passage is one row from here on.
     3. Distinct runs are exchanged by anchor and cut to shards at anchors. Each shard gets an FM-index; its runs are streamed
        through it, and backward search gives every window's suffixes and so the least id that has it. Anchors that more than `hot`
        rows have would make a shard of their own that grows with the input; their runs go on as single windows, dealt out by their hash.
     4. A run whose id isn't the least that has it repeats as a whole; the others repeat where the index says so.
+
+    Nothing is collected or sent to all tasks. What one row gathers are its own anchors (of all rows that repeat its id).
     """
-    spark = docs.sparkSession
-    python_workers(spark)
+    python_workers(docs.sparkSession)
     assert gram < length <= 16, "the index is sorted by 16 words"
     ident = F.coalesce(F.col(q(id_col)).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(ident.alias("id"), F.xxhash64(text_of(text_col)).alias("key"), F.transform(words_of(text_of(text_col)), lambda w: F.xxhash64(w)).alias("words"))
-    pieces = functools.partial(_pieces, length=length, gram=gram)
-    anchors = rows.mapInArrow(functools.partial(pieces, bodies=False), "anchor long, id long")
-    anchors = anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("c")).filter("a < b")
+    rows = docs.select(ident.alias("id"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
+    pairs = scratch(rows.select("id", "text").mapInArrow(functools.partial(_anchors, length=length, gram=gram), "anchor long, id long"), "fm-pairs")
+    anchors = pairs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("c")).filter("a < b")
     anchors = scratch(anchors.select("anchor", (F.col("c") > hot).alias("hot")), "fm-anchors")
-    wanted = None
-    if 0 < anchors.count() <= sent:
-        wanted = spark.sparkContext.broadcast(np.sort(anchors.select("anchor").toArrow().column(0).to_numpy()))
-    runs = rows.mapInArrow(functools.partial(pieces, bodies=True, wanted=wanted), "anchor long, id long, key long, start int, n int, body binary")
-    if wanted is None:
-        runs = runs.join(anchors, "anchor")
-    else:  # what is hot is at most a few rows for each `hot` rows of input, and fewer than `sent`
-        runs = runs.join(F.broadcast(anchors.filter("hot")), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    runs = runs.withColumn("j", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(F.lit(-1)))))
-    one = F.expr(f"substring(body, 8 * j + 1, {8 * length})")
-    runs = runs.withColumn("body", F.when(F.col("j") < 0, F.col("body")).otherwise(one))
-    runs = runs.select(
-        F.when(F.col("j") < 0, F.col("anchor")).otherwise(F.xxhash64("body")).alias("route"), "id", "key",
-        (F.col("start") + F.greatest("j", F.lit(0))).alias("start"), F.when(F.col("j") < 0, F.col("n")).otherwise(1).alias("n"), "body",
-        F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), F.col("body")).alias("h2"),
-    )
+    wanted = pairs.join(anchors, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    again = scratch(rows.join(wanted, "id"), "fm-rows")
+    runs = again.mapInArrow(functools.partial(_bodies, length=length, gram=gram), "route long, id long, key long, start int, n int, body binary")
+    runs = runs.withColumns({"h1": F.xxhash64("body"), "h2": F.xxhash64(F.lit(1), F.col("body"))})
     distinct = runs.groupBy("route", "body").agg(F.min("id").alias("first_id"))
     shards = distinct.repartition("route").sortWithinPartitions("route").select("route", "body", "first_id", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), F.col("body")).alias("h2"))
     found = scratch(shards.mapInArrow(functools.partial(_shards, length=length), "h1 long, h2 long, first_id long, flags long"), "fm-found")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -171,7 +172,7 @@ def test_rans_tokens(spark, docs, none, tmp_path):
     assert rans.read_tokens(spark, f"{tmp_path}/b").count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"sent": 0}, {"hot": 1}])
+@pytest.mark.parametrize("options", [{}, {"hot": 1}])
 def test_substring_dedup(docs, none, options):
     got = fm_index.remove_repeats(docs, **options).collect()
     first = {}
@@ -190,6 +191,17 @@ def test_substring_dedup(docs, none, options):
         assert fm_index.remove_repeats(none).count() == 0
 
 
+def test_word_hashes():
+    """Equal words have equal hashes and others don't, wherever they stand; the words are those of `split`."""
+    r = random.Random(8)
+    texts = ["", " \n", "a", "a\0", "a\0\0", "é" * 300, "é" * 299 + "e", *("".join(r.choice("ab \t\r\x0b\x0c\x1c\u2003é") for _ in range(r.randint(0, 60))) for _ in range(3000)), "x" * 9 + " " + "x" * 8]
+    words = [w for t in texts for w in plain(t)]
+    for col in (pa.array(texts), pa.array(["zz ", *texts])[1:]):
+        hashes, offsets = fm_index.word_hashes(col)
+        assert np.diff(offsets).tolist() == [len(plain(t)) for t in texts] and len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
+    assert [len(x) for x in fm_index.word_hashes(pa.array([], pa.string()))] == [0, 1] and [len(x) for x in fm_index.word_hashes(pa.array(["", ""]))] == [0, 3]
+
+
 def test_chat_format(spark):
     records = ['{"prompt":"a </turn>\\n### x: y","response":"\\\\l b"}', '{"output":"c","instruction":"d"}', '{"messages":[{"content":"e","role":"user"},{"role":null,"content":null}]}', '{"conversations":[{"from":"human","value":"f"},{"from":"gpt","value":"#😀:"}]}', "no json", None, "{}", '{"messages":[]}']
     df = chat_format.canonical_turns(spark.createDataFrame([(r, "own") for r in records], "record string, formatted string"))
