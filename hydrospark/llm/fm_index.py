@@ -255,8 +255,9 @@ def _bodies(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterat
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, gram: int = 6, hot: int = HOT_ANCHOR) -> DataFrame:
     """(id, key: hash of the text, spots): where windows of `length` words begin that occur in a row with a smaller id; `spots` are (start, bits).
 
-    1. The anchors of every row's windows are written (see `_Runs`) and counted with the least and largest id that has them, summed on
-       the map side. An anchor of one id only can't repeat. The others are joined with the written pairs and return to their rows by id.
+    1. The anchors of every row's windows (see `_Runs`) are counted with the least and largest id that has them, summed on the map side.
+       An anchor of one id only can't repeat. The others are joined with the rows' anchors, which are found anew as that costs less
+       than to keep them on disk, and return to their rows by id.
     2. The runs of these anchors go on with their words, as hashes. Equal runs are summed to one row with its least
        id, so any number of copies of a passage is one row from here on.
     3. Distinct runs are exchanged by anchor and cut to shards at anchors. Each shard gets an FM-index; its runs are streamed
@@ -270,7 +271,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     assert gram < length <= 16, "the index is sorted by 16 words"
     ident = F.coalesce(F.col(q(id_col)).cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(ident.alias("id"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
-    pairs = scratch(rows.select("id", "text").mapInArrow(functools.partial(_anchors, length=length, gram=gram), "anchor long, id long"), "fm-pairs")
+    pairs = rows.select("id", "text").mapInArrow(functools.partial(_anchors, length=length, gram=gram), "anchor long, id long")
     anchors = pairs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("c")).filter("a < b")
     anchors = scratch(anchors.select("anchor", (F.col("c") > hot).alias("hot")), "fm-anchors")
     wanted = pairs.join(anchors, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
