@@ -3,12 +3,13 @@
 import datetime
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from hydrospark.functions import confidence, geo, indices, narrative, prompts
-from hydrospark.operators import evidence, loading, places, reports, scenes, scoring, variants, zones
+from hydrospark.operators import evidence, loading, places, reports, retrieval, scenes, scoring, variants, zones
 from hydrospark.plans import monitor
 from hydrospark.streaming import streams
 
@@ -215,3 +216,18 @@ def test_average_hash(spark):
     grey = [float(i) for i in range(64)]
     r = one(spark, reports.average_hash(F.array(*map(F.lit, grey)), F.lit(b"x")).alias("h"))
     assert r.h == "00000000ffffffff"
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_overlap_search(spark, block):
+    """Nulls, texts without tokens, ties, repeats and a token that all have, over several blocks; empty tables on either side."""
+    texts = [(7, "the Lake the"), (3, "the lake"), (None, "the lake"), (4, None), (5, "?!"), (6, "the river, 2 lakes"), (1, "lake"), (2, "the"), (8, "the"), (8, "the")]
+    asked = [(1, "The lake is?"), (2, ""), (3, None), (4, "river RIVER 2"), (5, "none")]
+    p, q = spark.createDataFrame(texts, "passage long, text string"), spark.createDataFrame(asked, "question int, text string")
+    got = sorted(tuple(r) for r in retrieval.overlap_search(p, q, 4, block).select("question", "rank", "passage", "score").collect())
+    want, split = [], lambda x: set(re.findall("[a-z0-9]+", (x or "").lower()))
+    for i, x in asked:
+        found = [(-len(split(x) & split(y)) / len(split(x)), j is not None, j) for j, y in texts if split(x) & split(y)]
+        want += [(i, n, j, -s) for n, (s, _, j) in enumerate(sorted(found)[:4], 1)]
+    assert got == want
+    assert retrieval.overlap_search(p.limit(0), q).count() == retrieval.overlap_search(p, q.limit(0)).count() == 0
