@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import canonical_turns, chat_digests, format_chat, pack_turns
 from .common import shared_dir
+from .divergence import divergence
 from .exact_dedup import exact_dedup
 from .fm_index import remove_repeats
 from .mixing import mix_sources
@@ -18,7 +19,9 @@ from .quality_rules import line_frequency
 from .rans import read_tokens, write_tokens
 from .sharding import shard
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .token_counts import token_counts
+from .toxicity import toxicity
 from .wfst import encode_pieces
 
 
@@ -176,6 +179,46 @@ SELECT doc_id, size, source_size, target,
 FROM b
 """
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity(_docs(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_docs(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+w AS (SELECT lang, source, row, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+a AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+v AS (SELECT lang, CAST(sum(n) AS HUGEINT) AS total, count(*) AS v FROM a GROUP BY lang),
+c AS (SELECT w.lang, source, w.term, count(*) AS n FROM w JOIN a USING (lang, term) GROUP BY ALL),
+g AS (
+  SELECT s.lang, s.source, coalesce(x.total, 0) AS total, coalesce(v.v, 0) AS v, coalesce(v.total, 0) AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS total FROM c GROUP BY ALL) x USING (lang, source) LEFT JOIN v USING (lang)),
+p AS (
+  SELECT g.lang, g.source, a.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + g.v) AS p,
+         1 + 1000000000::HUGEINT * (a.n + 1) // (g.lang_total + g.v) AS q
+  FROM g JOIN a USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = a.term),
+k AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+u AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(k.value, 0) AS BIGINT) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN k ON k.lang = x.lang AND k.source = x.source AND k.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
@@ -187,5 +230,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_wfst": op9_wfst,
     "op10_token_counts": op10_token_counts,
+    "op11_toxicity": op11_toxicity,
+    "op12_divergence": op12_divergence,
+    "op13_spelling": op13_spelling,
 }
-SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_fm_index": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_mixing": OP8_SQL}
+SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_fm_index": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_mixing": OP8_SQL, "op12_divergence": OP12_SQL}
