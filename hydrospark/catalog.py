@@ -244,7 +244,8 @@ fr AS (SELECT ad.* FROM ad JOIN fl USING (body_id, zone_id) WHERE good)"""
 
 
 def _located(spark, d):
-    return zones.locate(t.reports(spark, d), t.boundaries(spark, d), t.zone_features(spark, d))
+    """Located once and written: both the accepted and the rejected ones are read from there."""
+    return written(zones.locate(t.reports(spark, d), t.boundaries(spark, d), t.zone_features(spark, d)), "located")
 
 
 def _accepted_while_flagged(spark, d):

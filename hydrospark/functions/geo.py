@@ -12,17 +12,19 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius:
     return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
+def crosses(lon: Column, lat: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Whether the edge from a to b has the place on its left at the place's latitude."""
+    rise = F.when(by == ay, 1e-15).otherwise(by - ay)
+    return ((ay > lat) != (by > lat)) & (lon < (bx - ax) * (lat - ay) / rise + ax)
+
+
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     """Even-odd test against an array of (lon, lat); a ring of fewer than three points holds nothing."""
     n = F.size(ring)
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, (i + n - 1) % n).alias("b")))
 
-    def crosses(p: Column) -> Column:
-        (ax, ay), (bx, by) = (p["a"]["lon"], p["a"]["lat"]), (p["b"]["lon"], p["b"]["lat"])
-        rise = F.when(by == ay, 1e-15).otherwise(by - ay)
-        return ((ay > lat) != (by > lat)) & (lon < (bx - ax) * (lat - ay) / rise + ax)
-
-    return (n >= 3) & (F.size(F.filter(pairs, crosses)) % 2 == 1)
+    hit = lambda p: crosses(lon, lat, p["a"]["lon"], p["a"]["lat"], p["b"]["lon"], p["b"]["lat"])
+    return (n >= 3) & (F.size(F.filter(pairs, hit)) % 2 == 1)
 
 
 def in_polygon(lon: Column, lat: Column, rings: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
+from ..sources.shared import small, written
 
 # Lakes with their centres and radii in km, and localities with the water body and district of each.
 KNOWN_LAKES = (
@@ -68,6 +71,52 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Heights in degrees of the cells of each round; the last one's neighbourhood is the whole globe.
+PYRAMID = (0.5, 2.0, 8.0, 32.0, 128.0)
+
+
+def _band(lat: Column, step: float) -> Column:
+    return F.floor(lat / step).cast("long")
+
+
+def _around(band: Column, step: float) -> Column:
+    """How many cells a band has: as many as keep a cell's width, at the band's own and its neighbours' latitudes, at `step` degrees of a great circle or more."""
+    far = F.least(F.lit(90.0), F.greatest(F.abs(band - 1), F.abs(band + 2)) * step)
+    return F.greatest(F.lit(1), F.floor(360.0 / step * F.cos(F.radians(far)))).cast("long")
+
+
+def _cell(lon: Column, n: Column) -> Column:
+    return F.pmod(F.floor((lon + 180) / 360 * n), n).cast("long")
+
+
+def least_metres(spots: DataFrame, points: DataFrame, key: list[str], name: str, pyramid: tuple[float, ...] = PYRAMID) -> DataFrame:
+    """`key` and metres (as `name`) from each spot (key, owner, lon, lat) to the nearest point (owner, lon, lat) of its owner or of none (null or ''); no such point: null.
+
+    Cells grow from round to round. In a round a spot meets the points of its own and the neighbouring cells, by an equi-join on (owner, band, cell), and
+    what it finds within half a cell's height is proven the nearest, since no farther cell reaches so near, across the 180th meridian and at the poles, too. Only
+    spots without proof go on to the next round, four times as coarse; most need one or two, and rounds end when all are proven. Points stay in their partitions,
+    from which only least distances move.
+    """
+    spots = written(spots.select(*key, F.coalesce("owner", F.lit("")).alias("owner"), "lon", "lat"), "spots")
+    held = points.select(F.coalesce("owner", F.lit("")).alias("p_owner"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
+    waiting, done = spots, []
+    for step in pyramid:
+        band = F.explode(F.sequence(_band(F.col("lat"), step) - 1, _band(F.col("lat"), step) + 1)).alias("band")
+        asked = waiting.select(*key, "lon", "lat", F.explode(F.array_distinct(F.array(F.col("owner"), F.lit("")))).alias("p_owner")).select("*", band).withColumn("n", _around(F.col("band"), step))
+        own = F.floor((F.col("lon") + 180) / 360 * F.col("n"))
+        asked = asked.withColumn("cell", F.explode(F.array_distinct(F.array(*(F.pmod(own + i, F.col("n")).cast("long") for i in (-1, 0, 1)))))).drop("n")
+        there = held.withColumn("band", _band(F.col("p_lat"), step)).withColumn("cell", _cell(F.col("p_lon"), _around(F.col("band"), step)))
+        metres = F.min(haversine_m(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat"))).alias(name)
+        met = there.join(small(asked), ["p_owner", "band", "cell"]).groupBy(*key).agg(metres)
+        found = written(waiting.join(met, key, "left"), "nearest")
+        proven = F.lit(True) if step == pyramid[-1] else F.coalesce(F.col(name) <= step / 2 * 111_194.0, F.lit(False))
+        done.append(found.filter(proven).select(*key, name))
+        waiting = found.filter(~proven).drop(name)
+        if not waiting.take(1):
+            break
+    return functools.reduce(DataFrame.unionByName, done)
+
+
 def nearest_known(points: DataFrame, lakes: DataFrame, ladder: tuple[float, ...] = (0.5, 15.0)) -> DataFrame:
     """(key, name, km) of the nearest lake nearer than a step of the ladder and no farther than its own radius; the first step that has one decides."""
     x = points.join(F.broadcast(lakes.select("name", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "radius_km")), F.lit(True))  # a fixed list

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_polygon
-from ..sources.shared import small
+from .covers import with_hits
 
 POLYGONS = "array<array<array<struct<lon: double, lat: double>>>>"
 
@@ -38,30 +38,21 @@ def feature_name(ident: Column, name: Column, fallback: Column) -> Column:
     return F.coalesce(F.nullif(name, F.lit("")), F.nullif(ident, F.lit("")), fallback)
 
 
-def _by_body(features: DataFrame) -> DataFrame:
-    """One row per body with its features in order; a body has few."""
-    each = F.sort_array(F.collect_list(F.struct("feature", "zone_id", "polygons")))
-    return small(features.groupBy("body_id").agg(each.alias("features")))
-
-
-def _hits(lon: str, lat: str) -> Column:
-    return F.filter(F.coalesce("features", F.array()), lambda f: in_geometry(F.col(lon), F.col(lat), f["polygons"]))
-
-
 def burn(pixels: DataFrame, features: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Adds zone_index and zone_id by the pixel's centre: of features that overlap the later one wins; none: 0 and null. No pixel is shuffled."""
-    hit = pixels.join(_by_body(features), "body_id", "left").withColumn("hit", F.get(F.reverse(_hits(x, y)), F.lit(0)))
-    return hit.select(*pixels.columns, F.coalesce("hit.feature", F.lit(0)).alias("zone_index"), F.col("hit.zone_id").alias("zone_id"))
+    """Adds zone_index and zone_id by the pixel's centre: of features that overlap the later one wins; none: 0 and null. Pixels meet their cell's cover (see `covers`)."""
+    hit = with_hits(pixels, features, x, y, "__hits").withColumn("__hit", F.try_element_at("__hits", F.lit(-1)))
+    return hit.select(*pixels.columns, F.coalesce("__hit.feature", F.lit(0)).alias("zone_index"), F.col("__hit.zone_id").alias("zone_id"))
 
 
 def locate(points: DataFrame, boundaries: DataFrame, zones: DataFrame) -> DataFrame:
-    """Adds where (outside_water_boundary, inside_boundary, inside_zone) and zone_id, of overlapping zones the first."""
-    edge = _by_body(boundaries).withColumnRenamed("features", "edges")
-    out = points.join(edge, "body_id", "left").join(_by_body(zones), "body_id", "left")
-    inside = F.exists(F.coalesce("edges", F.array()), lambda f: in_geometry(F.col("lon"), F.col("lat"), f["polygons"]))
-    out = out.withColumns({"inside": inside, "hit": F.get(_hits("lon", "lat"), F.lit(0))})
-    where = F.when(~F.col("inside"), "outside_water_boundary").when(F.col("hit").isNull(), "inside_boundary").otherwise("inside_zone")
-    return out.select(*points.columns, where.alias("where"), F.when(F.col("inside"), F.col("hit.zone_id")).alias("zone_id"))
+    """Adds where (outside_water_boundary, inside_boundary, inside_zone) and zone_id, of overlapping zones the first.
+
+    Points meet the covers of boundaries and zones by cell, so a body's points spread over tasks and no polygon is tested but near its edge.
+    """
+    out = with_hits(with_hits(points, boundaries, "lon", "lat", "__edges"), zones, "lon", "lat", "__hits")
+    inside, hit = F.size("__edges") > 0, F.get("__hits", F.lit(0))
+    where = F.when(~inside, "outside_water_boundary").when(hit.isNull(), "inside_boundary").otherwise("inside_zone")
+    return out.select(*points.columns, where.alias("where"), F.when(inside, hit["zone_id"]).alias("zone_id"))
 
 
 def in_flagged_zone(located: DataFrame, scores: DataFrame, dates: DataFrame) -> DataFrame:

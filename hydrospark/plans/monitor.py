@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions.geo import haversine_m
 from ..operators import scoring
+from ..operators.places import least_metres
 from ..operators.scenes import zone_observations
 from ..sources.shared import small, written
 
@@ -23,18 +23,10 @@ def compared(observations: DataFrame, s: Settings = DEFAULTS, adjustments: DataF
 
 
 def distances(zones: DataFrame, intakes: DataFrame, settlements: DataFrame) -> DataFrame:
-    """Metres from each zone's centre to the nearest intake and settlement of its body; a point without owner counts for all bodies; none: null.
-
-    Zones are the small side (some per body, size checked); points stay where they are and only their least distances move.
-    """
-
-    def least(points: DataFrame, name: str) -> DataFrame:
-        p = points.select(F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.coalesce("owner", F.lit("")).alias("owner"))
-        d = haversine_m(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
-        return p.join(small(zones), F.col("owner").isin("") | (F.col("owner") == F.col("body_id"))).groupBy("body_id", "zone_id").agg(F.min(d).alias(name))
-
+    """Metres from each zone's centre to the nearest intake and settlement of its body; a point without owner counts for all bodies; none: null."""
     key = ["body_id", "zone_id"]
-    return zones.select(*key).join(least(intakes, "intake_m"), key, "left").join(least(settlements, "settlement_m"), key, "left")
+    spots = zones.select(*key, F.col("body_id").alias("owner"), "lon", "lat")
+    return least_metres(spots, intakes, key, "intake_m").join(least_metres(spots, settlements, key, "settlement_m"), key)
 
 
 def priority(scores: DataFrame, zones: DataFrame, intakes: DataFrame, settlements: DataFrame, bumps: DataFrame | None = None, s: Settings = DEFAULTS) -> DataFrame:

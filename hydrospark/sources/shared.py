@@ -48,6 +48,9 @@ def ship(spark: SparkSession) -> None:
     _ship(spark.sparkContext.applicationId)
 
 
-def small(df: DataFrame, limit: int = 500_000) -> DataFrame:
-    """Marks a table for broadcast if it has at most `limit` rows; else leaves the join to a shuffle."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, rows: int = 500_000, megabytes: int = 64) -> DataFrame:
+    """Marks a written table for broadcast if it has at most so many rows and so many bytes (as JSON, which is more than a row takes in memory); else leaves the join to a shuffle."""
+    if df.count() > rows:
+        return df
+    held = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns))))).cast("long"))).first()[0]
+    return F.broadcast(df) if (held or 0) <= megabytes << 20 else df
