@@ -16,7 +16,7 @@ from .text_bytes import TERMS
 #: Probabilities are whole numbers of this many parts.
 SCALE = 1_000_000_000
 #: Counts that a Python worker holds before it passes them on, and sources whose columns it holds at once.
-_HELD, _TILE = 400_000, 256
+_HELD, _TILE = 150_000, 256
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -24,10 +24,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     size = 0
 
-    def out() -> pa.RecordBatch:
-        parts = [(*g, t, n, docs[t]) for g, (terms, docs) in held.items() for t, n in terms.items()]
-        cols = [*zip(*parts)] or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()))], ["lang", "source", "term", "n", "docs"])
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (terms, docs) in held.items():
+            n = len(terms)
+            columns = [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(terms), pa.binary()), pa.array(list(terms.values()), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
     for b in batches:
         for lang, source, text in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -38,9 +39,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.update(set(words))
             size += len(terms) - before
             if size > _HELD:
-                yield out()
+                yield from out()
                 held, size = {}, 0
-    yield out()
+    yield from out()
 
 
 def term_counts(docs: DataFrame, min_docs: int = 3) -> DataFrame:
