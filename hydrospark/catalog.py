@@ -12,7 +12,7 @@ from .functions import geo, narrative
 from .operators import evidence, history, places, reports, retrieval, scenes, scoring, zones
 from .plans import monitor
 from .sources import tables as t
-from .sources.shared import written
+from .sources.shared import shared_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -342,6 +342,38 @@ def o1(spark, d):
     return retrieval.overlap_search(t.table(spark, d, "documents").select(F.col("doc_id").alias("passage"), "text"), q).select("question", "passage", _r("score"), "rank")
 
 
+@query("o1_title_search", """WITH q AS (SELECT item_id AS question, list_distinct(regexp_extract_all(lower(text || ' src' || (item_id % 20)), '[a-z0-9]+')) AS t FROM benchmark),
+p AS (SELECT doc_id AS passage, unnest(list_distinct(regexp_extract_all(lower(concat_ws(' ', source, text)), '[a-z0-9]+'))) AS token FROM documents),
+s AS (SELECT question, passage, count(*) / any_value(n)::DOUBLE AS score FROM p JOIN (SELECT question, len(t) AS n, unnest(t) AS token FROM q) USING (token) GROUP BY ALL)
+SELECT question, passage, round(score, 6) AS score, CAST(row_number() OVER w AS INT) AS rank FROM s WINDOW w AS (PARTITION BY question ORDER BY score DESC, passage) QUALIFY row_number() OVER w <= 5""")
+def o1_titles(spark, d):
+    q = t.table(spark, d, "benchmark").select(F.col("item_id").alias("question"), F.concat("text", F.lit(" src"), (F.col("item_id") % 20).cast("string")).alias("text"))
+    p = t.table(spark, d, "documents").select(F.col("doc_id").alias("passage"), F.col("source").alias("title"), "text")
+    return retrieval.overlap_search(p, q, k=5).select("question", "passage", _r("score"), "rank")
+
+
+HASHED = """tk AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(concat_ws(' ', source, text)), '[a-z0-9]+'))) AS token FROM documents),
+sl AS (SELECT doc_id, CAST('0x' || md5(token)[1:8] AS BIGINT) % 256 AS slot, count(*) AS n FROM tk GROUP BY ALL)"""
+
+
+@query("a26_hashed_vectors", f"WITH {HASHED} SELECT doc_id, count(*) AS slots, round(max(n) / sqrt(sum(n * n)), 5) AS largest, CAST(sum(slot) AS BIGINT) AS slot_sum FROM sl GROUP BY doc_id")
+def a26(spark, d):
+    v = t.table(spark, d, "documents").select("doc_id", F.explode(F.array(retrieval.hashed_embedding(F.concat_ws(" ", "source", "text")))).alias("v"))
+    x = v.select("doc_id", F.posexplode("v").alias("slot", "x")).filter("x > 0").withColumn("x", F.col("x").cast("double"))
+    return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("slots"), F.round(F.max("x"), 5).alias("largest"), F.sum("slot").cast("long").alias("slot_sum"))
+
+
+@query("s17_stored_passages", f"""WITH {HASHED}, nr AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM sl GROUP BY doc_id), u AS (SELECT doc_id, slot, n / norm AS x FROM sl JOIN nr USING (doc_id)),
+s AS (SELECT a.doc_id AS question, b.doc_id AS passage, sum(a.x * b.x) AS score FROM u a JOIN u b ON a.slot = b.slot WHERE a.doc_id % 20 = 0 AND b.doc_id <> a.doc_id GROUP BY ALL)
+SELECT question, round(max(score), 4) AS best FROM s GROUP BY question""")
+def s17(spark, d):
+    path = shared_path(spark, "passages")
+    retrieval.store_passages(t.table(spark, d, "documents").select(F.col("doc_id").alias("passage"), F.col("source").alias("title"), "text"), path)
+    q = spark.read.parquet(f"{path}/rows").filter("passage % 20 = 0").select(F.col("passage").alias("question"), F.col("vector").alias("query"))  # the stated query set, as stored
+    found, _ = retrieval.search_store(spark, path, q, k=2)
+    return found.filter("passage <> question").groupBy("question").agg(F.round(F.max("score"), 4).alias("best"))
+
+
 @query("o2_vector_search", """WITH q AS (SELECT vec_id AS question, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT question, vec_id AS passage, list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings)
 SELECT question, passage, round(score, 5) AS score, CAST(row_number() OVER w AS INT) AS rank FROM s WHERE score > 0 WINDOW w AS (PARTITION BY question ORDER BY score DESC, passage) QUALIFY row_number() OVER w <= 3""")
