@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Kept, cols, python_workers, q, text_of
+from .common import Kept, cols, python_workers, q, scratch, text_of
 from .text_bytes import TERMS
 
 
 #: Bytes of a word's beginnings that count beside the word itself, so that an inflection never seen is known by its stem.
 _STEMS = (4, 5, 6, 7)
-_CACHE_MAX = 300_000
+#: Words that a scoring worker keeps, and features that a counting one holds.
+_CACHE_MAX, _HELD = 200_000, 150_000
 
 
 def distinct_words(text: str) -> set[bytes]:
@@ -57,57 +58,83 @@ def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, s: Settings) -> tuple[n
     classifier fits the positives among the unlabelled as negatives, and the step goes the other way on that part only. Steps are Adam's.
     """
     n = p.shape[1]
-    w = np.zeros(n + 1)
+    w, b = np.zeros(n, np.float32), float(np.log(prior / (1 - prior)))
     first, second = np.zeros(n + 1), np.zeros(n + 1)
-    w[n] = np.log(prior / (1 - prior))
-    p, u = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (p, u))
+    down = lambda x, e: np.append(e.astype(np.float32) @ x, e.sum()) / len(x)
     for t in range(1, s.rounds + 1):
-        gp, gu = p @ w, u @ w
+        gp, gu = (p @ w + b).astype(np.float64), (u @ w + b).astype(np.float64)
         hidden = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        down_u, down_p = u.T @ _sigmoid(gu) / len(u), prior * (p.T @ _sigmoid(gp)) / len(p)
-        step = down_u - down_p if hidden >= 0 else down_p - down_u
-        if hidden >= 0:
-            step = step - prior * (p.T @ _sigmoid(-gp)) / len(p)
-        step[:n] += s.penalty * w[:n]
+        step = down(u, _sigmoid(gu)) - prior * down(p, _sigmoid(gp))
+        step = step - prior * down(p, _sigmoid(-gp)) if hidden >= 0 else -step
+        step[:n] += s.penalty * w
         first, second = 0.9 * first + 0.1 * step, 0.999 * second + 0.001 * step * step
-        w -= s.rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
-    return w[:n], float(w[n])
+        move = s.rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
+        w, b = w - move[:n].astype(np.float32), b - float(move[n])
+    return w, b
 
 
-def _train(prior: float, s: Settings):
-    """One member: picks its words by their surprise among the positives and fits their weights. The row of no word holds the bias."""
+def _counted(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """In how many positives and unlabelled texts each feature occurs, summed as far as `_HELD` features reach."""
 
-    def train(rows: pd.DataFrame) -> pd.DataFrame:
-        sides = [[set(x) for x in rows.words[rows.positive == wanted]] for wanted in (True, False)]
-        if not all(sides):
-            return pd.DataFrame({"member": [], "word": [], "weight": []})
-        in_p, in_u = (Counter(w for d in side for w in d) for side in sides)
-        n, m = map(len, sides)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[Counter, Counter] = (Counter(), Counter())
 
-        def surprise(w: bytes) -> float:
-            rate = (in_u[w] + 1) / (m + 2)
-            return abs(in_p[w] / n - rate) / np.sqrt(max(rate * (1 - rate), 1e-9) / n)
+        def out() -> pa.RecordBatch:
+            each = list(held[0].keys() | held[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(each, pa.binary()), *(pa.array([c[f] for f in each], pa.int64()) for c in held)], ["word", "in_u", "in_p"])
 
-        found = sorted((-surprise(w), w) for w in in_p if in_p[w] >= 3)
-        words = [w for z, w in found if -z >= s.surprise][: s.words]
-        at = {w: i for i, w in enumerate(words)}
-        x = [np.zeros((len(side), len(words)), np.float32) for side in sides]
-        for matrix, side in zip(x, sides):
-            for row, d in zip(matrix, side):
-                row[[at[w] for w in d & at.keys()]] = 1
-        weights, bias = fit_nnpu(*x, prior, s)
-        return pd.DataFrame({"member": int(rows.member.iloc[0]), "word": [*words, b""], "weight": [*weights, bias]})
+        for b in batches:
+            for positive, text in zip(b.column("positive").to_pylist(), b.column("text").to_pylist()):
+                held[positive].update({f for w in distinct_words(text) for f in features(w) if len(f) <= longest})
+                if len(held[0]) + len(held[1]) > _HELD:
+                    yield out()
+                    held = (Counter(), Counter())
+        yield out()
+
+    return count
+
+
+def chosen_words(sample: DataFrame, s: Settings) -> list[bytes]:
+    """The at most `words` features whose share among positives differs most, in standard errors, from that among unlabelled texts."""
+    n, m = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    if not n or not m:
+        return []
+    each = sample.select("positive", "text").mapInArrow(_counted(s.longest), "word binary, in_u long, in_p long").groupBy("word").agg(F.sum("in_u").alias("in_u"), F.sum("in_p").alias("in_p"))
+    rate = (F.col("in_u") + 1) / (m + 2)
+    z = F.abs(F.col("in_p") / n - rate) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) / n)
+    found = each.filter("in_p >= 3").withColumn("z", z).filter(F.col("z") >= s.surprise).orderBy(F.desc("z"), "word").limit(s.words)
+    return sorted(bytes(r.word) for r in found.select("word").collect())
 
-    return train
 
+def _marked(words: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The places, among the chosen ones, of a text's features."""
 
-def _words_of(longest: int):
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {w: i for i, w in enumerate(words)}
         for b in batches:
-            own = [sorted({f for w in distinct_words(t) for f in features(w) if len(f) <= longest}) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("positive"), b.column("member"), pa.array(own, pa.list_(pa.binary()))], ["positive", "member", "words"])
+            own = [sorted({at[f] for w in distinct_words(t) for f in features(w) if f in at}) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("positive"), b.column("h"), pa.array(own, pa.list_(pa.int32()))], ["positive", "h", "held"])
+
+    return mark
+
+
+def _train(words: list[bytes], prior: float, s: Settings) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One member: weights of all chosen words; the row of no word holds the bias. Rows are ordered, so that sums don't depend on how they came."""
 
-    return words
+    def train(rows: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for wanted in (True, False):
+            own = rows[rows.positive == wanted].sort_values("h").held
+            x = np.zeros((len(own), len(words)), np.float32)
+            for row, held in zip(x, own):
+                row[held] = 1
+            sides.append(x)
+        if not all(map(len, sides)):
+            return pd.DataFrame({"member": [], "word": [], "weight": []})
+        weights, bias = fit_nnpu(*sides, prior, s)
+        return pd.DataFrame({"member": int(rows.member.iloc[0]), "word": [*words, b""], "weight": [*map(float, weights), bias]})
+
+    return train
 
 
 def _least(rows: DataFrame, limit: int) -> DataFrame:
@@ -120,16 +147,19 @@ def _least(rows: DataFrame, limit: int) -> DataFrame:
 def train_nnpu(docs: DataFrame, positives: DataFrame, prior: float, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(member, word, weight): the members' weights, at most `members` * (`words` + 1) rows.
 
-    `positives` holds the ids (column id) of confirmed toxic documents; unlabelled texts are drawn from all of `docs`. Only the two samples' distinct words move to the members' tasks.
+    `positives` holds the ids (column id) of confirmed toxic documents; unlabelled texts are drawn from all of `docs`. The two samples are written once; their features are
+    counted where they lie, and what moves to the members' tasks is which chosen features each text has.
     """
     python_workers(docs.sparkSession)
     s = settings
     known = docs.select(F.col(q(id_col)).alias("id"), text_of(text_col).alias("text"))
     ids = positives.select("id").distinct().orderBy(F.xxhash64("id")).limit(s.positives)  # bounded, so that it may be broadcast
-    toxic = _least(known.join(F.broadcast(ids), "id", "left_semi"), s.positives).select(F.lit(True).alias("positive"), F.explode(F.sequence(F.lit(0), F.lit(s.members - 1))).alias("member"), "text")
-    free = _least(known, s.unlabelled).select(F.lit(False).alias("positive"), F.pmod("h", F.lit(s.members)).cast("int").alias("member"), "text")
-    rows = toxic.unionByName(free).mapInArrow(_words_of(s.longest), "positive boolean, member int, words array<binary>")
-    return rows.groupBy("member").applyInPandas(_train(prior, s), "member int, word binary, weight double")
+    toxic, free = _least(known.join(F.broadcast(ids), "id", "left_semi"), s.positives), _least(known, s.unlabelled)
+    sample = scratch(toxic.select(F.lit(True).alias("positive"), "h", "text").unionByName(free.select(F.lit(False).alias("positive"), "h", "text")), "tx-sample")
+    words = chosen_words(sample, s)
+    rows = sample.select("positive", "h", "text").mapInArrow(_marked(words), "positive boolean, h long, held array<int>")
+    member = F.when(F.col("positive"), F.sequence(F.lit(0), F.lit(s.members - 1))).otherwise(F.array(F.pmod("h", F.lit(s.members)).cast("int")))
+    return rows.withColumn("member", F.explode(member)).groupBy("member").applyInPandas(_train(words, prior, s), "member int, word binary, weight double")
 
 
 class Scorer:
