@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.indices import normalised_difference
-from .operators import grid, inventory, retrieval, variants
+from .operators import answers, grid, inventory, variants
 from .sources import sinks
 from .sources import tables as t
 
@@ -16,12 +16,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 FILES = """man AS (SELECT 'wb-' || (user_id % 4) AS body_id, strftime(CAST(ts AS DATE), '%Y%m%d') AS date,
-  ['B02.tif', 'band2.tif', 'B03.tif', 'B04.tif', 'B08.tif', 'SCL.tif', 'notes.txt'][event_id * 31 % 7 + 1] AS file, event_id * 100 AS size, event_id AS mtime
+  ['B02.tif', 'B2.tif', 'B03.tif', 'B04.tif', 'B08.tif', 'B11.tif', 'B12.tif', 'SCL.tif', 'scl.tif', 'notes.txt'][event_id * 31 % 10 + 1] AS file, event_id * 100 AS size, event_id AS mtime
   FROM events WHERE event_id % 11 < user_id % 9),
-al AS (SELECT unnest(['B02.tif', 'band2.tif', 'B03.tif', 'B04.tif', 'B08.tif', 'SCL.tif']) AS file, unnest(['b02', 'b02', 'b03', 'b04', 'b08', 'scl']) AS band, unnest([0, 1, 0, 0, 0, 0]) AS pref),
+al AS (SELECT unnest(['B02.tif', 'B2.tif', 'B03.tif', 'B04.tif', 'B08.tif', 'B11.tif', 'B12.tif', 'SCL.tif', 'scl.tif']) AS file, unnest(['b02', 'b02', 'b03', 'b04', 'b08', 'b11', 'b12', 'scl', 'scl']) AS band, unnest([0, 1, 0, 0, 0, 0, 0, 0, 1]) AS pref),
 bd AS (SELECT body_id, date, band, arg_min({'file': file, 'size': size, 'mtime': mtime}, (pref, size)) AS x FROM man JOIN al USING (file) GROUP BY ALL),
 sc AS (SELECT body_id, date, string_agg(band || '=' || x.file, ',' ORDER BY band) AS files, list(band) AS have, string_agg(band || ':' || x.size || ':' || x.mtime, ';' ORDER BY band) AS stamp FROM bd GROUP BY ALL),
-sm AS (SELECT *, list_filter(['b02', 'b03', 'b04', 'b08'], lambda b: NOT list_contains(have, b)) AS missing FROM sc),
+fo AS (SELECT DISTINCT body_id, date FROM man),
+sm AS (SELECT body_id, date, coalesce(files, '') AS files, coalesce(stamp, '') AS stamp, list_filter(['b02', 'b03', 'b04', 'b08', 'b11', 'b12', 'scl'], lambda b: NOT list_contains(coalesce(have, []), b)) AS missing FROM fo LEFT JOIN sc USING (body_id, date)),
 dt AS (SELECT DISTINCT body_id, date FROM (SELECT body_id, date FROM man UNION ALL SELECT 'wb-' || i, d FROM range(5) r(i), (VALUES ('20240101'), ('20240315'), ('latest')) v(d)) WHERE regexp_full_match(date, '[0-9]{8}'))"""
 PIX = """pix AS (SELECT 'wb-' || (l_suppkey % 4) AS body_id, strftime(date_trunc('quarter', l_shipdate), '%Y%m%d') AS date, l_partkey % 64 AS r, l_orderkey % 64 AS c, l_discount AS b02, l_quantity / 50 AS b03,
   l_extendedprice / 105000 AS b04, (l_partkey % 97) / 97 AS b05, l_tax * 10 AS b08 FROM lineitem)"""
@@ -50,7 +51,8 @@ def _known(spark, d):
 
 
 def _scenes(spark, d):
-    return inventory.scene_bands(inventory.resolve_bands(t.manifest(spark, d)))
+    m = t.manifest(spark, d)
+    return inventory.scene_bands(inventory.resolve_bands(m), folders=m)
 
 
 @query("s1_scene_dates", f"WITH {FILES} SELECT body_id, date FROM dt")
@@ -153,12 +155,16 @@ def d3(spark, d):
 
 
 @query("f38_answers", """WITH q AS (SELECT item_id AS question, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark),
-p AS (SELECT doc_id AS passage, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM documents),
+p AS (SELECT doc_id AS passage, unnest(list_distinct(regexp_extract_all(lower(concat_ws(' ', source, text)), '[a-z0-9]+'))) AS token FROM documents),
 s AS (SELECT question, passage, count(*) / any_value(n)::DOUBLE AS score FROM p JOIN (SELECT question, len(t) AS n, unnest(t) AS token FROM q) USING (token) GROUP BY ALL),
-b AS (SELECT question, passage, row_number() OVER w AS rank FROM s WINDOW w AS (PARTITION BY question ORDER BY score DESC, passage) QUALIFY row_number() OVER w <= 3)
-SELECT question, 'Sources: ' || string_agg('[' || passage || ']', ' ' ORDER BY rank) AS answer FROM b GROUP BY question""")
+b AS (SELECT question, passage, row_number() OVER w AS rank FROM s WINDOW w AS (PARTITION BY question ORDER BY score DESC, passage) QUALIFY row_number() OVER w <= 3),
+x AS (SELECT question, string_agg(chr(10) || '**[' || passage || '] ' || source || '**' || chr(10) || text, chr(10) ORDER BY rank) AS found, string_agg(passage, ',' ORDER BY rank) AS ids FROM b JOIN documents ON doc_id = passage GROUP BY question)
+SELECT item_id AS question, coalesce('📚 **From the knowledge base:**' || chr(10) || found || chr(10) || chr(10) ||
+    '⚠️ *Note: Language model is not configured. Set LLM_PROVIDER=gemini and LLM_API_KEY in your environment to enable AI-generated answers.*', 'I don''t have that in my knowledge base.') AS answer,
+  coalesce(ids, '') AS source_ids, CASE WHEN found IS NULL THEN 0.2::DOUBLE ELSE 0.75::DOUBLE END AS confidence, CASE WHEN found IS NULL THEN 'template,not_in_corpus' ELSE 'corpus,llm_disabled' END AS reasons, found IS NOT NULL AS grounded
+FROM benchmark LEFT JOIN x ON item_id = question""")
 def f38(spark, d):
     q = t.table(spark, d, "benchmark").select(F.col("item_id").alias("question"), "text")
-    hits = retrieval.overlap_search(t.table(spark, d, "documents").select(F.col("doc_id").alias("passage"), "text"), q)
-    best = F.sort_array(F.collect_list(F.struct("rank", F.format_string("[%d]", "passage").alias("x"))))  # three a question
-    return hits.groupBy("question").agg(F.concat(F.lit("Sources: "), F.array_join(best["x"], " ")).alias("answer"))
+    p = t.table(spark, d, "documents").select(F.col("doc_id").alias("passage"), F.col("source").alias("title"), "text")
+    a = answers.answered(q, p)
+    return a.select("question", "answer", F.array_join("source_ids", ",").alias("source_ids"), "confidence", F.array_join("reasons", ",").alias("reasons"), "grounded")

@@ -15,6 +15,45 @@ CITATION_WORDS = {
 }
 
 
+# The headings and closing lines of answers and prompts.
+EVIDENCE_HEADING = "=== CURRENT WATER BODY PIPELINE DATA ===\nThis is real-time satellite analysis data for the water body the user is viewing:"
+BASE_HEADING = "📚 **From the knowledge base:**"
+CARD_HEADING = "\n📊 **Current pipeline evidence:**"
+CROSSED, WITHIN = "⚠️ threshold crossed", "within normal range"
+NOT_CONFIGURED = "\n⚠️ *Note: Language model is not configured. Set LLM_PROVIDER=gemini and LLM_API_KEY in your environment to enable AI-generated answers.*"
+NOT_KNOWN = "I don't have that in my knowledge base."
+
+
+def _two(e: Column) -> Column:
+    return F.concat(F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
+
+
+def general(x: Column, digits: int = 4) -> Column:
+    """A number with `digits` significant digits and no zeros behind, in powers of ten below 1e-4 and from 10**digits on; halves go to the even digit."""
+    size = F.abs(x)
+    near = F.floor(F.log10(size)).cast("int")
+    m = F.bround(size / F.pow(F.lit(10.0), near - (digits - 1))).cast("long")
+    over = m >= 10**digits
+    e, m = near + over.cast("int"), F.when(over, m / 10).otherwise(m).cast("long").cast("string")
+    trim = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    power = F.concat(trim(F.concat(F.substring(m, 1, 1), F.lit("."), F.substring(m, 2, digits))), _two(e))
+    small = trim(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), m))
+    plain = F.when(e < 0, small).otherwise(trim(F.concat(F.substring(m, F.lit(1), e + 1), F.lit("."), F.substring(m, e + 2, F.lit(digits)))))
+    text = F.when(size == 0, "0").when(F.isnan(x), "nan").when(size == float("inf"), "inf").when((e < -4) | (e >= digits), power).otherwise(plain)
+    return F.concat(F.when(x < 0, "-").otherwise(""), text)
+
+
+def shortest(x: Column) -> Column:
+    """A number in digits that give it back (older JVMs use one or two more than they need), with at least one behind the point, in powers of ten below 1e-4 and from 1e16 on; null: None."""
+    size = F.abs(x)
+    zeros = lambda t: F.regexp_replace(F.regexp_replace(t, r"0+$", ""), r"\.$", ".0")
+    parts = F.split(x.cast("string"), "E")
+    power = F.concat(F.regexp_replace(F.get(parts, F.lit(0)), r"\.0$", ""), _two(F.get(parts, F.lit(1)).cast("int")))
+    decimal = lambda kind: zeros(x.cast(kind).cast("string"))
+    out = F.when(size == 0, x.cast("string")).when((size < 1e-4) | (size >= 1e16), power).when(size < 1e-3, decimal("decimal(38,24)")).when(size >= 1e7, decimal("decimal(38,10)"))
+    return F.when(x.isNull(), "None").otherwise(out.otherwise(x.cast("string")))
+
+
 def citation(question: Column, answer: Column, other: str = "corpus") -> Column:
     """The first group one of whose words occurs in question or answer."""
     text, out = F.lower(F.concat_ws(" ", question, answer)), None
@@ -30,38 +69,13 @@ def listed(text: Column, least: int = 3, most: int = 4) -> Column:
     return F.when(F.size(lines) >= least, F.slice(lines, 1, most)).otherwise(F.array().cast("array<string>"))
 
 
-def character_chunks(text: Column, size: int = 1000, overlap: int = 200) -> Column:
-    """Chunks of at most `size` characters that share up to `overlap`: cut at the last paragraph end, line end or space in their second half, else at `size`.
-
-    Positions are found one after the other in a fold over the text's possible chunks, so no Python runs.
-    """
-    n, half = F.char_length(text), size // 2
-    most = F.greatest(F.lit(1), F.ceil(n / F.lit(float(max(1, half - overlap)))).cast("int"))
-
-    def end_of(at: Column) -> Column:
-        window = F.substring(text, at + 1, F.lit(size))
-        back = lambda mark: F.lit(size) - F.locate(mark, F.reverse(window)) + 1  # noqa: E731  characters up to the last mark, itself included
-        cut = F.coalesce(*(F.when((F.locate(m, F.reverse(window)) > 0) & (back(m) > half), back(m)) for m in ("\n\n", "\n", " ")), F.lit(size))
-        return F.when(n - at <= size, n).otherwise(at + cut)
-
-    def step(acc: Column, _: Column) -> Column:
-        end = end_of(acc["at"])
-        more = F.concat(acc["ends"], F.array(F.struct(acc["at"].alias("a"), end.alias("b"))))
-        return F.when(acc["done"], acc).otherwise(F.struct((end - overlap).alias("at"), (end >= n).alias("done"), more.alias("ends")))
-
-    empty = F.array().cast("array<struct<a: int, b: int>>")
-    start = F.struct(F.lit(0).alias("at"), (n == 0).alias("done"), empty.alias("ends"))
-    cuts = F.aggregate(F.sequence(F.lit(1), most), start, step)["ends"]
-    return F.filter(F.transform(cuts, lambda x: stripped(F.substring(text, x["a"] + 1, x["b"] - x["a"]))), lambda x: x != "")
-
-
 def prompt(system: Column, passages: Column, evidence: Column, turns: Column, question: Column, turn_limit: int = 6) -> Column:
     """Blocks in their order: system text, passages (id, title, text) or that there are none, evidence as JSON, the last turns (role, text), the question."""
     found = F.transform(passages, lambda p: F.concat(F.lit("[Source: "), p["id"], F.lit("]\nTitle: "), p["title"], F.lit("\n"), p["text"]))
     blank = lambda a: F.size(F.coalesce(a, F.array())) == 0
     none = F.array(F.lit("=== KNOWLEDGE BASE ===\n(No relevant passages found for this question.)"))
     base = F.when(blank(passages), none).otherwise(F.concat(F.array(F.lit("=== KNOWLEDGE BASE ===\nUse these passages to answer the question:")), found))
-    data = F.when(evidence.isNotNull(), F.array(F.lit("=== CURRENT WATER BODY DATA ==="), evidence)).otherwise(F.array().cast("array<string>"))
+    data = F.when(evidence.isNotNull(), F.array(F.lit(EVIDENCE_HEADING), evidence)).otherwise(F.array().cast("array<string>"))
     last = F.slice(turns, F.greatest(F.lit(1), F.size(turns) - turn_limit + 1), turn_limit)
     said = F.transform(last, lambda t: F.concat(F.when(t["role"] == "user", "User: ").otherwise("Assistant: "), t["text"]))
     talk = F.when(blank(turns), F.array().cast("array<string>")).otherwise(F.concat(F.array(F.lit("=== CONVERSATION HISTORY ===")), said))
@@ -84,16 +98,19 @@ def grounding(passages: Column, confidence: Column, source: Column) -> Column:
 
 
 def extractive(passages: Column, comparisons: Column, contributing: Column) -> Column:
-    """An answer without a language model: the passages (id, title, text), then one line per comparison of a card (null: none) and what is flagged."""
+    """An answer without a language model: the passages (id, title, text), then one line per comparison of a card (null: none), what is flagged, and a note; nothing to say: a sentence that tells so."""
     found = F.transform(passages, lambda p: F.concat(F.lit("\n**["), p["id"], F.lit("] "), p["title"], F.lit("**\n"), p["text"]))
-    base = F.when(F.size(passages) > 0, F.concat(F.array(F.lit("**From the knowledge base:**")), found))
-    sigma = lambda r: F.when(r["sigma"].isNull(), "n/a").otherwise(F.format_string("%.2fσ", r["sigma"]))
-    line = lambda r: F.concat(F.lit("• **"), r["indicator"], F.format_string("**: value %.4f, baseline %.4f, deviation ", r["value"], r["mean"]), sigma(r), F.when(r["crossed"], " — threshold crossed").otherwise(" — within normal range"))
-    card = F.when(comparisons.isNotNull(), F.concat(F.array(F.lit("\n**Current pipeline evidence:**")), F.transform(comparisons, line)))
+    base = F.when(F.size(passages) > 0, F.concat(F.array(F.lit(BASE_HEADING)), found))
+    sigma = lambda r: F.when(r["sigma"].isNull(), "n/a").otherwise(F.concat(F.when(r["sigma"] < 0, "-").otherwise(""), F.format_string("%.2fσ", F.bround(F.abs(r["sigma"]), 2))))
+    line = lambda r: F.concat(
+        F.lit("• **"), r["indicator"], F.lit("**: value "), general(r["value"]), F.lit(", baseline "), general(r["mean"]), F.lit(" ± "), shortest(r["std"]), F.lit(", deviation "), sigma(r),
+        F.lit(" — "), F.when(r["crossed"], CROSSED).otherwise(WITHIN),
+    )
+    card = F.when(comparisons.isNotNull(), F.concat(F.array(F.lit(CARD_HEADING)), F.transform(comparisons, line)))
     flagged = F.when(F.size(contributing) > 0, F.array(F.concat(F.lit("• **Flagged indicators**: "), F.array_join(contributing, ", "))))
     none = F.array().cast("array<string>")
-    text = F.array_join(F.concat(*(F.coalesce(x, none) for x in (base, card, flagged))), "\n")
-    return F.when(text == "", "I don't have that in my knowledge base.").otherwise(text)
+    lines = F.concat(*(F.coalesce(x, none) for x in (base, card, flagged)))
+    return F.when(F.size(lines) == 0, NOT_KNOWN).otherwise(F.array_join(F.concat(lines, F.array(F.lit(NOT_CONFIGURED))), "\n"))
 
 
 def cited(passages: Column) -> Column:

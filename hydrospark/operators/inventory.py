@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCENE = ["body_id", "date"]
-#: File names of each band, the preferred one first, and the bands that a scene must have.
-ALIASES = {"b02": ("B02.tif", "band2.tif"), "b03": ("B03.tif",), "b04": ("B04.tif",), "b08": ("B08.tif",), "scl": ("SCL.tif",)}
-REQUIRED = ("b02", "b03", "b04", "b08")
+# The file names of each band, the preferred one first, and the bands that a scene must have.
+ALIASES = {
+    "b02": ("B02.tif", "B2.tif"), "b03": ("B03.tif", "B3.tif"), "b04": ("B04.tif", "B4.tif"), "b05": ("B05.tif", "B5.tif"), "b06": ("B06.tif", "B6.tif"), "b08": ("B08.tif", "B8.tif"),
+    "b11": ("B11.tif",), "b12": ("B12.tif",), "scl": ("SCL.tif", "scl.tif"),
+}
+REQUIRED = ("b02", "b03", "b04", "b08", "b11", "b12", "scl")
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """(body_id, date, file, size, mtime) of root/body/date/file; the files' contents aren't read."""
+    """(body_id, date, file, size, mtime) of root/body/date/file, mtime in microseconds as far as the file system tells them; the files' contents aren't read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     part = lambda i: F.element_at(F.split("path", "/"), i)
-    return f.select(part(-3).alias("body_id"), part(-2).alias("date"), part(-1).alias("file"), F.col("length").alias("size"), F.col("modificationTime").cast("long").alias("mtime"))
+    return f.select(part(-3).alias("body_id"), part(-2).alias("date"), part(-1).alias("file"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
 
 
 def scene_dates(manifest: DataFrame, configured: DataFrame) -> DataFrame:
@@ -31,10 +34,15 @@ def resolve_bands(manifest: DataFrame, aliases: dict[str, tuple[str, ...]] = ALI
     return manifest.join(known, "file").groupBy(*SCENE, "band").agg(best.alias("x")).select(*SCENE, "band", "x.*")
 
 
-def scene_bands(bands: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
-    """Per scene its files, missing bands in the order of `required`, and the fingerprint over (band, size, mtime)."""
+def scene_bands(bands: DataFrame, required: tuple[str, ...] = REQUIRED, folders: DataFrame | None = None) -> DataFrame:
+    """Per scene its files, missing bands in the order of `required`, and the fingerprint over (band, size, mtime).
+
+    With a list of scene folders (body, date) there is a row for each, also for one without a known band; without, only scenes with a band have one.
+    """
     each = F.sort_array(F.collect_list(F.struct("band", "file", "size", "mtime")))  # one entry per band
     s = bands.groupBy(*SCENE).agg(each.alias("b"))
+    if folders is not None:
+        s = folders.select(*SCENE).distinct().join(s, SCENE, "left").withColumn("b", F.coalesce("b", F.array().cast(s.schema["b"].dataType)))
     join = lambda f, sep: F.array_join(F.transform("b", f), sep)
     stamp = join(lambda x: F.concat_ws(":", x["band"], x["size"].cast("string"), x["mtime"].cast("string")), ";")
     missing = F.array_except(F.array(*map(F.lit, required)), F.col("b.band"))

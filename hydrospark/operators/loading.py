@@ -20,16 +20,18 @@ def valid_date(c: Column) -> Column:
     return F.coalesce(c.rlike(r"\A\d{8}\z"), F.lit(False))
 
 
-def load_status(configured: DataFrame, bands: DataFrame, required: tuple[str, ...]) -> DataFrame:
-    """(body, date, status, reason) of configured scenes from the bands (body, date, band) that are there.
+def load_status(configured: DataFrame, bands: DataFrame, required: tuple[str, ...], folders: DataFrame | None = None) -> DataFrame:
+    """(body, date, status, reason) of configured scenes from the bands (body, date, band) that are there, and the scene folders (body, date); without a list of these, a folder is where a band is.
 
-    missing: no band at all. incomplete: no reference band, or one of the required ones lacks. Else ok; `empty_aoi` comes from the pixels.
+    missing: no folder. incomplete: no reference band, or one of the required ones lacks. Else ok; `empty_aoi` comes from the pixels.
     """
     have = bands.groupBy(*SCENE).agg(F.collect_set("band").alias("have"))
-    x = configured.select(*SCENE).distinct().join(have, SCENE, "left").withColumn("gone", F.array_except(F.array(*map(F.lit, required)), "have"))
-    reference = F.arrays_overlap("have", F.array(*map(F.lit, REFERENCE)))
-    status = F.when(F.col("have").isNull(), "missing").when(~reference | (F.size("gone") > 0), "incomplete").otherwise("ok")
-    reason = F.when(F.col("have").isNull(), "scene_folder_missing").when(~reference, "missing_reference_band").when(F.size("gone") > 0, F.concat(F.lit("missing_bands:"), F.array_join("gone", ",")))
+    there = (folders if folders is not None else bands).select(*SCENE).distinct().withColumn("there", F.lit(True))
+    x = configured.select(*SCENE).distinct().join(there, SCENE, "left").join(have, SCENE, "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
+    x = x.withColumn("gone", F.array_except(F.array(*map(F.lit, required)), "have"))
+    absent, reference = F.col("there").isNull(), F.arrays_overlap("have", F.array(*map(F.lit, REFERENCE)))
+    status = F.when(absent, "missing").when(~reference | (F.size("gone") > 0), "incomplete").otherwise("ok")
+    reason = F.when(absent, "scene_folder_missing").when(~reference, "missing_reference_band").when(F.size("gone") > 0, F.concat(F.lit("missing_bands:"), F.array_join("gone", ",")))
     return x.select(*SCENE, status.alias("status"), reason.alias("reason"))
 
 
@@ -71,19 +73,33 @@ def centres(pixels: DataFrame, a: float, e: float, c: float, f: float) -> DataFr
 def crop(pixels: DataFrame) -> DataFrame:
     """The rows and columns of each scene that hold a pixel inside, counted anew from the first one kept.
 
-    A scene's rows and columns that stay are two bounded lists; they meet the pixels by a join on the scene.
+    A scene's kept rows and columns are tables of their own that pixels meet in two semi joins on (scene, row) and (scene, col), however many they are.
     """
-    kept = pixels.filter("inside").groupBy(*SCENE).agg(F.collect_set("row").alias("rows"), F.collect_set("col").alias("cols"), F.min("row").alias("row0"), F.min("col").alias("col0"))
-    x = pixels.join(kept, SCENE).filter(F.array_contains("rows", F.col("row")) & F.array_contains("cols", F.col("col")))
+    inside = pixels.filter("inside")
+    first = inside.groupBy(*SCENE).agg(F.min("row").alias("row0"), F.min("col").alias("col0"))
+    x = pixels.join(inside.select(*SCENE, "row").distinct(), [*SCENE, "row"], "left_semi").join(inside.select(*SCENE, "col").distinct(), [*SCENE, "col"], "left_semi").join(first, SCENE)
     return x.withColumns({"row": F.col("row") - F.col("row0"), "col": F.col("col") - F.col("col0")}).select(*pixels.columns)
 
 
-def scaled(pixels: DataFrame, bands: tuple[str, ...], limit: float = 2.0, divisor: float = 10_000.0) -> DataFrame:
-    """Bands of a scene whose 99th percentile over all of them is above `limit` are divided; what isn't finite is 0."""
-    clean = pixels.withColumns({b: F.when(finite(F.col(b).cast("double")), F.col(b).cast("double")).otherwise(0.0) for b in bands})
-    top = clean.select(*SCENE, F.explode(F.array(*bands)).alias("v")).groupBy(*SCENE).agg(F.percentile("v", 0.99).alias("top"))
-    by = F.when(F.col("top") > limit, divisor).otherwise(1.0)
-    return clean.join(top, SCENE).withColumns({b: F.col(b) / by for b in bands}).drop("top")
+def scaled(pixels: DataFrame, bands: tuple[str, ...], limit: float = 2.0, divisor: float = 10_000.0, share: float = 0.99) -> DataFrame:
+    """Bands of a scene whose `share` quantile over all finite values of them is above `limit` are divided; what isn't finite stays as it is. A scene without any finite value is all 0.
+
+    Whether the quantile is above the limit follows from how many values there are and how many are at most `limit`; only where the cut falls between the two that
+    enclose the quantile are these needed: the largest at most `limit` and the smallest above it. Counts, a maximum and a minimum are all that a scene's pixels leave behind.
+    """
+    v = {b: F.col(b).cast("double") for b in bands}
+    fine = {b: F.when(finite(v[b]), v[b]) for b in bands}
+    total = lambda test: sum((F.count(F.when(test(c), 1)) for c in fine.values()), F.lit(0))
+    below, above = ([f(F.when(test(c), c)) for c in fine.values()] for f, test in ((F.max, lambda c: c <= limit), (F.min, lambda c: c > limit)))
+    least = lambda f, some: f(*some) if len(some) > 1 else some[0]
+    g = pixels.groupBy(*SCENE).agg(total(lambda c: c.isNotNull()).alias("n"), total(lambda c: c <= limit).alias("under"), least(F.greatest, below).alias("below"), least(F.least, above).alias("above"))
+    at = (F.col("n") - 1) * share
+    low = F.floor(at)
+    between = F.col("below") + (at - low) * (F.col("above") - F.col("below")) > limit
+    high = F.when(F.col("under") <= low, True).when(F.col("under") == low + 1, F.coalesce(between, F.lit(False))).otherwise(False)
+    by = g.select(*SCENE, F.when(F.col("n") == 0, 0.0).when(high, 1 / divisor).otherwise(1.0).alias("by"))
+    scale = lambda c: F.when(F.col("by") == 0, 0.0).when(F.col("by") == 1, c).otherwise(c / divisor)
+    return pixels.join(by, SCENE).withColumns({b: scale(c) for b, c in v.items()}).select(*pixels.columns)
 
 
 def final_mask(model: Column, index: Column, valid: Column) -> Column:

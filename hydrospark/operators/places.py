@@ -79,7 +79,7 @@ def _band(lat: Column, step: float) -> Column:
     return F.floor(lat / step).cast("long")
 
 
-def _around(band: Column, step: float) -> Column:
+def cells_around(band: Column, step: float) -> Column:
     """How many cells a band has: as many as keep a cell's width, at the band's own and its neighbours' latitudes, at `step` degrees of a great circle or more."""
     far = F.least(F.lit(90.0), F.greatest(F.abs(band - 1), F.abs(band + 2)) * step)
     return F.greatest(F.lit(1), F.floor(360.0 / step * F.cos(F.radians(far)))).cast("long")
@@ -102,10 +102,10 @@ def least_metres(spots: DataFrame, points: DataFrame, key: list[str], name: str,
     waiting, done = spots, []
     for step in pyramid:
         band = F.explode(F.sequence(_band(F.col("lat"), step) - 1, _band(F.col("lat"), step) + 1)).alias("band")
-        asked = waiting.select(*key, "lon", "lat", F.explode(F.array_distinct(F.array(F.col("owner"), F.lit("")))).alias("p_owner")).select("*", band).withColumn("n", _around(F.col("band"), step))
+        asked = waiting.select(*key, "lon", "lat", F.explode(F.array_distinct(F.array(F.col("owner"), F.lit("")))).alias("p_owner")).select("*", band).withColumn("n", cells_around(F.col("band"), step))
         own = F.floor((F.col("lon") + 180) / 360 * F.col("n"))
         asked = asked.withColumn("cell", F.explode(F.array_distinct(F.array(*(F.pmod(own + i, F.col("n")).cast("long") for i in (-1, 0, 1)))))).drop("n")
-        there = held.withColumn("band", _band(F.col("p_lat"), step)).withColumn("cell", _cell(F.col("p_lon"), _around(F.col("band"), step)))
+        there = held.withColumn("band", _band(F.col("p_lat"), step)).withColumn("cell", _cell(F.col("p_lon"), cells_around(F.col("band"), step)))
         metres = F.min(haversine_m(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat"))).alias(name)
         met = there.join(small(asked), ["p_owner", "band", "cell"]).groupBy(*key).agg(metres)
         found = written(waiting.join(met, key, "left"), "nearest")
@@ -127,10 +127,11 @@ def nearest_known(points: DataFrame, lakes: DataFrame, ladder: tuple[float, ...]
 
 
 def nearby(pairs: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
-    """(key, name, km, rank): of each key the nearest place of every name, kilometres to two places, `k` at most."""
-    x = pairs.join(names.select(F.col("key").alias("to"), "name"), "to").filter("name IS NOT NULL AND name <> ''").groupBy("key", "name").agg(F.min("metres").alias("metres"))
-    w = Window.partitionBy("key").orderBy("km", "name")
-    return x.select("key", "name", F.round(F.col("metres") / 1000, 2).alias("km")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """(key, name, km, rank): of each key the first place of every name in the order of `to`, kilometres to two places, nearest first (ties in that order), `k` at most."""
+    x = pairs.join(names.select(F.col("key").alias("to"), "name"), "to").filter("name IS NOT NULL AND name <> ''").groupBy("key", "name").agg(F.min(F.struct("to", "metres")).alias("first"))
+    w = Window.partitionBy("key").orderBy("km", "to")
+    x = x.select("key", "name", F.round(F.col("first.metres") / 1000, 2).alias("km"), "first.to").withColumn("rank", F.row_number().over(w))
+    return x.filter(F.col("rank") <= k).drop("to")
 
 
 def others(listed: DataFrame, k: int = 4) -> DataFrame:

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from ..functions.geo import haversine_m
 from ..sources.shared import ship, written
+from .components import components
+from .places import cells_around
 
 
 def _metres(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
@@ -21,7 +24,7 @@ def _metres(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
 
 
 class Ledger:
-    """The accepted reports of one body: hashes for ever, places by hour so that few are compared."""
+    """Accepted reports that stand in the way of one another: hashes, and places by hour so that few are compared."""
 
     def __init__(self, s: Settings):
         self.s, self.hashes, self.by_hour = s, set(), defaultdict(list)
@@ -39,46 +42,94 @@ class Ledger:
         return True
 
 
-def suspects(reports: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Adds suspect: another report of the body has the same image, or lies in the same or a neighbouring cell of time and latitude.
+def _cell(hour: Column, band: Column, across: Column) -> Column:
+    """A cell of time and place of a body as one number; if two cells should share it, they are taken for one, which costs work and changes no result."""
+    return F.xxhash64("body_id", hour, band, across)
 
-    Cells are as large as the limits, so two reports that repeat one another always meet; what meets nothing needs no order.
-    """
+
+def _placed(reports: DataFrame, s: Settings) -> DataFrame:
+    """Adds the report's cell (as high and long as the limits), its image key and its order."""
+    step = s.duplicate_m / 111_000.0
+    hour, band = F.floor(F.unix_timestamp("taken_at") / s.duplicate_s), F.floor(F.col("lat") / step).cast("long")
+    x = reports.withColumns({"hour": hour, "band": band, "turn": F.struct("taken_at", "report_id")})
+    x = x.withColumn("across", _place(F.col("lon"), cells_around(F.col("band"), step)))
+    return x.withColumns({"cell": _cell(F.col("hour"), F.col("band"), F.col("across")), "image": F.coalesce(F.concat(F.lit("="), "image_hash"), F.lit("none"))})
+
+
+def _place(lon: Column, n: Column) -> Column:
+    return F.pmod(F.floor((lon + 180) / 360 * n), n).cast("long")
+
+
+def _links(rows: DataFrame, s: Settings) -> DataFrame:
+    """(cell, other) of occupied cells, one of which may hold a report that repeats one of the other by time and place; each cell with itself, too."""
     step = s.duplicate_m / 111_000.0
-    hour, band = F.floor(F.unix_timestamp("taken_at") / s.duplicate_s), F.floor(F.col("lat") / step)
-    x = reports.withColumns({"hour": hour, "band": band})
+    cells = rows.select("body_id", "hour", "band", "across", "cell").distinct()
     around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    cells = x.select("body_id", around("hour").alias("hour"), "band").select("body_id", "hour", around("band").alias("band")).groupBy("body_id", "hour", "band").count().filter("count > 1").drop("count")
-    images = x.groupBy("body_id", "image_hash").count().filter("count > 1").drop("count")
-    x = x.join(cells.withColumn("met", F.lit(True)), ["body_id", "hour", "band"], "left").join(images.withColumn("same", F.lit(True)), ["body_id", "image_hash"], "left")
-    return x.select(*reports.columns, F.coalesce("met", "same", F.lit(False)).alias("suspect"))
+    x = cells.select("body_id", "band", "across", "cell", around("hour").alias("h")).select("*", around("band").alias("b"))
+    n, m = cells_around(F.col("band"), step), cells_around(F.col("b"), step)
+    west = F.floor(F.col("across") * m / n) - 1  # the cell's west end in the other band's cells
+    x = x.withColumns({"m": m, "k": F.explode(F.sequence(west, F.floor((F.col("across") + 1) * m / n) + 1))})
+    x = x.select("cell", _cell(F.col("h"), F.col("b"), F.pmod("k", "m").cast("long")).alias("other")).distinct()
+    return x.join(cells.select(F.col("cell").alias("other")).distinct(), "other", "left_semi")
+
+
+def _near(s: Settings) -> Column:
+    apart = F.abs(F.unix_micros("taken_at") - F.unix_micros("o_at")) <= s.duplicate_s * 1_000_000
+    return apart & (haversine_m(F.col("lon"), F.col("lat"), F.col("o_lon"), F.col("o_lat")) <= s.duplicate_m)
+
+
+def _first_ones(rows: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(decided, open): a report that comes first both of its image and in all cells around it is accepted, whatever else is; what repeats such a one is rejected.
+
+    Most reports are first in both, so few stay open. Of an image that a third of all reports bear, or of a crowded place, one row stands for all in each join.
+    """
+    links = written(_links(rows, s), "links")
+    firsts = rows.groupBy("cell").agg(F.min("turn").alias("turn"))
+    around = links.join(firsts.withColumnRenamed("cell", "other"), "other").groupBy("cell").agg(F.min("turn").alias("around"))
+    images = rows.groupBy("body_id", "image").agg(F.min("turn").alias("of_image"))
+    x = rows.join(around, "cell").join(images, ["body_id", "image"]).withColumn("sure", (F.col("turn") == F.col("around")) & (F.col("turn") == F.col("of_image"))).drop("around", "of_image")
+    x = written(x, "firsts")
+    sure, rest = x.filter("sure"), x.filter("NOT sure")
+    known = sure.select("body_id", "image").distinct().withColumn("same", F.lit(True))
+    spots = sure.select(F.col("cell").alias("other"), F.col("body_id").alias("o_body"), F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat"), F.col("taken_at").alias("o_at"))
+    near = rest.join(links, "cell").join(spots, "other").filter((F.col("body_id") == F.col("o_body")) & _near(s)).select("report_id").distinct().withColumn("close", F.lit(True))
+    rest = rest.join(known, ["body_id", "image"], "left").join(near, "report_id", "left").withColumn("gone", F.coalesce("same", "close", F.lit(False))).drop("same", "close")
+    rest = written(rest, "rest")
+    decided = sure.withColumn("accepted", F.lit(True)).unionByName(rest.filter("gone").withColumn("accepted", F.lit(False)), allowMissingColumns=True)
+    return decided, rest.filter("NOT gone")
 
 
 def adjudicate(located: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """(report_id, body_id, user_id, zone_id, taken_at, status, reason, credits) of located reports (see zones.locate).
 
-    Outside the water is rejected first and stands in nobody's way. A report is rejected as duplicate if it repeats an accepted one before it,
-    in order of time, then id; else it is accepted, with its place as the reason. Only suspects depend on that order: they pass, by body
-    and sorted, through tasks that hold the accepted images and places.
+    Outside the water is rejected first and stands in nobody's way. A report is rejected as duplicate if it repeats an accepted one of its body before it, by image or near in time
+    and place, in order of time, then id; else it is accepted, with its place as the reason. First those are decided that nothing earlier can stand in the way of, and what
+    repeats them. The others form components by equal images and neighbouring cells, and each is folded in order by itself, so one body's reports spread over tasks.
     """
-    columns = ["report_id", "body_id", "user_id", "zone_id", "taken_at", "where", "image_hash", "lon", "lat"]
+    columns = ["report_id", "body_id", "user_id", "zone_id", "taken_at", "where"]
+    kinds = "report_id long, body_id string, user_id long, zone_id string, taken_at timestamp, `where` string, accepted boolean"
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        body, ledger = None, Ledger(s)
+        component, ledger = None, Ledger(s)
         for b in batches:
             good = []
             for x in b.itertuples():
-                if x.body_id != body:
-                    body, ledger = x.body_id, Ledger(s)
-                good.append(ledger.submit(x.image_hash, x.lon, x.lat, x.taken_at.timestamp()))
-            yield b[columns[:6]].assign(accepted=good)
+                if x.component != component:
+                    component, ledger = x.component, Ledger(s)
+                good.append(ledger.submit(x.image, x.lon, x.lat, x.taken_at.timestamp()))
+            yield b[columns].assign(accepted=good)
 
     ship(located.sparkSession)
-    rows = written(suspects(located.filter("where <> 'outside_water_boundary'").select(*columns), s), "reports")
-    some = rows.filter("suspect").select(*columns).repartition("body_id").sortWithinPartitions("body_id", "taken_at", "report_id")
-    judged = some.mapInPandas(judge, "report_id long, body_id string, user_id long, zone_id string, taken_at timestamp, `where` string, accepted boolean")
-    judged = judged.unionByName(rows.filter("NOT suspect").select(*columns[:6], F.lit(True).alias("accepted")))
-    judged = judged.unionByName(located.filter("where = 'outside_water_boundary'").select(*columns[:6], F.lit(False).alias("accepted")))
+    rows = written(_placed(located.filter("where <> 'outside_water_boundary'").select(*columns, "image_hash", "lon", "lat"), s), "reports")
+    decided, left = _first_ones(rows, s)
+    judged = decided.select(*columns, "accepted")
+    if left.take(1):
+        images = left.groupBy("body_id", "image").agg(F.min("cell").alias("b"))  # one cell of each image stands for it
+        edges = _links(left, s).select(F.col("cell").alias("a"), F.col("other").alias("b")).unionByName(left.join(images, ["body_id", "image"]).select(F.col("cell").alias("a"), "b").distinct())
+        parts = components(edges).withColumnRenamed("node", "cell")
+        some = left.join(parts, "cell").select(*columns, "image", "lon", "lat", "component").repartition("component").sortWithinPartitions("component", "taken_at", "report_id")
+        judged = judged.unionByName(some.mapInPandas(judge, kinds))
+    judged = judged.unionByName(located.filter("where = 'outside_water_boundary'").select(*columns, F.lit(False).alias("accepted")))
     reason = F.when(F.col("accepted") | (F.col("where") == "outside_water_boundary"), F.col("where")).otherwise("duplicate")
     return judged.select(*columns[:5], F.when(F.col("accepted"), "accepted").otherwise("rejected").alias("status"), reason.alias("reason"), F.when(F.col("accepted"), s.credits).otherwise(0).alias("credits"))
 
@@ -119,8 +170,9 @@ def user_totals(users: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def average_hash(grey: Column, content: Column) -> Column:
-    """Fingerprint of an 8 x 8 grey image (64 values): a bit per value above the mean, as hex; without such an array the content's SHA-256."""
+    """Fingerprint of an 8 x 8 grey image (64 values): `ahash:` and, as hex without zeros in front, a bit per value that reaches the mean; without such an array `sha256:` and the content's hash."""
     mean = F.aggregate(grey, F.lit(0.0), lambda a, x: a + x) / 64
     bits = F.transform(grey, lambda x: F.when(x >= mean, "1").otherwise("0"))
     part = lambda i: F.lpad(F.lower(F.conv(F.array_join(F.slice(bits, i, 32), ""), 2, 16)), 8, "0")
-    return F.when(F.size(grey) == 64, F.concat(part(1), part(33))).otherwise(F.sha2(content, 256))
+    digits = F.regexp_replace(F.concat(part(1), part(33)), "^0+(?=.)", "")
+    return F.when(F.size(grey) == 64, F.concat(F.lit("ahash:"), digits)).otherwise(F.concat(F.lit("sha256:"), F.sha2(content, 256)))

@@ -22,11 +22,11 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of scene folders from events: body, date, file name, size, time."""
-    names = F.array(*map(F.lit, ("B02.tif", "band2.tif", "B03.tif", "B04.tif", "B08.tif", "SCL.tif", "notes.txt")))
+    names = F.array(*map(F.lit, ("B02.tif", "B2.tif", "B03.tif", "B04.tif", "B08.tif", "B11.tif", "B12.tif", "SCL.tif", "scl.tif", "notes.txt")))
     i = F.col("event_id")
     return table(spark, sf_dir, "events").filter(i % 11 < F.col("user_id") % 9).select(
         F.concat(F.lit("wb-"), (F.col("user_id") % 4).cast("string")).alias("body_id"), F.date_format("ts", "yyyyMMdd").alias("date"),
-        F.get(names, (i * 31 % 7).cast("int")).alias("file"), (i * 100).alias("size"), i.alias("mtime"),
+        F.get(names, (i * 31 % 10).cast("int")).alias("file"), (i * 100).alias("size"), i.alias("mtime"),
     )
 
 

@@ -177,37 +177,14 @@ def test_loading_helpers(spark):
     assert {x.date: (x.status, x.reason) for x in loading.empty_areas(s, p).collect()} == {"d1": ("ok", None), "d2": ("empty_aoi", "aoi_outside_scene"), "d3": ("empty_aoi", "aoi_outside_scene")}
 
 
-def cut(text, size, overlap):
-    """The chunks by a plain loop."""
-    out, at = [], 0
-    while at < len(text):
-        end = len(text)
-        if end - at > size:
-            w = text[at : at + size]
-            ends = [w.rfind(m) + len(m) for m in ("\n\n", "\n", " ") if w.rfind(m) >= 0 and w.rfind(m) + len(m) > size // 2]
-            end = at + (ends[0] if ends else size)
-        out.append(text[at:end].strip())
-        if end == len(text):
-            break
-        at = end - overlap
-    return [x for x in out if x]
-
-
-def test_character_chunks(spark):
-    r = random.Random(1)
-    texts = ["", "short", "x" * 700] + ["".join(r.choice("abcde  \n") for _ in range(n)) for n in (99, 100, 101, 950)] + ["a" * 80 + "\n\n" + "b " * 90]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", prompts.character_chunks(F.col("t"), 100, 20).alias("c")).collect()
-    assert [x.c for x in got] == [cut(t, 100, 20) for t in texts]
-
-
 def test_answers(spark):
     p = F.array(F.struct(F.lit("s#0").alias("id"), F.lit("T").alias("title"), F.lit("body").alias("text")))
     none = F.array().cast("array<struct<id: string, title: string, text: string>>")
-    card = F.array(F.struct(F.lit("turbidity").alias("indicator"), F.lit(14.0).alias("value"), F.lit(10.0).alias("mean"), F.lit(4.0).alias("sigma"), F.lit(True).alias("crossed")))
-    no_card, no_list = F.lit(None).cast("array<struct<indicator: string, value: double, mean: double, sigma: double, crossed: boolean>>"), F.lit(None).cast("array<string>")
+    card = F.array(F.struct(F.lit("turbidity").alias("indicator"), F.lit(14.0).alias("value"), F.lit(10.0).alias("mean"), F.lit(0.25).alias("std"), F.lit(4.0).alias("sigma"), F.lit(True).alias("crossed")))
+    no_card, no_list = F.lit(None).cast("array<struct<indicator: string, value: double, mean: double, std: double, sigma: double, crossed: boolean>>"), F.lit(None).cast("array<string>")
     r = one(spark, prompts.extractive(p, card, F.array(F.lit("turbidity"))).alias("a"), prompts.extractive(none, no_card, no_list).alias("b"), prompts.grounding(p, F.lit(None).cast("double"), F.lit("llm")).alias("c"),
             prompts.grounding(none, F.lit(None).cast("double"), F.lit("template")).alias("d"), prompts.retrieval_query(no_list).alias("e"))
-    assert "[s#0] T**\nbody" in r.a and "deviation 4.00σ — threshold crossed" in r.a and r.a.endswith("turbidity") and r.b.startswith("I don't have")
+    assert "[s#0] T**\nbody" in r.a and "value 14, baseline 10 ± 0.25, deviation 4.00σ — ⚠️ threshold crossed\n• **Flagged indicators**: turbidity\n" in r.a and "not configured" in r.a and r.b.startswith("I don't have")
     assert (r.c.confidence, r.c.reasons, r.c.grounded) == (0.75, ["corpus"], True) and (r.d.confidence, r.d.reasons, r.d.grounded) == (0.2, ["template", "not_in_corpus"], False)
     assert r.e.startswith("water quality")
 
@@ -215,7 +192,7 @@ def test_answers(spark):
 def test_average_hash(spark):
     grey = [float(i) for i in range(64)]
     r = one(spark, reports.average_hash(F.array(*map(F.lit, grey)), F.lit(b"x")).alias("h"))
-    assert r.h == "00000000ffffffff"
+    assert r.h == "ahash:ffffffff"
 
 
 @pytest.mark.parametrize("block", [2, 256])

@@ -39,12 +39,12 @@ def test_predictor_on_tiles(spark):
 
 
 def test_scan_files(spark, tmp_path):
-    for name in ("B02.tif", "band2.tif", "B08.tif"):
+    for name in ("B02.tif", "B2.tif", "B8.tif", "scl.tif", "notes.txt"):
         f = tmp_path / "pond" / "20240101" / name
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_bytes(b"x" * len(name))
     r = inventory.scene_bands(inventory.resolve_bands(inventory.scan_files(spark, str(tmp_path)))).collect()
-    assert [(x.body_id, x.date, x.files, x.missing, len(x.scene_hash)) for x in r] == [("pond", "20240101", "b02=B02.tif,b08=B08.tif", ["b03", "b04"], 16)]
+    assert [(x.body_id, x.date, x.files, x.missing, len(x.scene_hash)) for x in r] == [("pond", "20240101", "b02=B02.tif,b08=B8.tif,scl=scl.tif", ["b03", "b04", "b11", "b12"], 16)]
 
 
 def test_products_replace_their_scene_only(spark, tmp_path):
