@@ -7,6 +7,7 @@ edges for which that differs from point to point.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from ..sources.shared import ship, small, written
 
 CELL = ["body_id", "cx", "cy"]
 _EDGE = "struct<ax: double, ay: double, bx: double, by: double>"
-_COVER = f"body_id string, cx long, cy long, feature int, zone_id string, inside boolean, shapes array<array<struct<odd: boolean, edges: array<{_EDGE}>>>>"
+_COVER = f"body_id string, cx long, cy long, step double, feature int, zone_id string, inside boolean, shapes array<array<struct<odd: boolean, edges: array<{_EDGE}>>>>"
 
 
 def grid_steps(features: DataFrame, cells: int = 4096, per_feature: int = 16) -> DataFrame:
@@ -138,30 +139,26 @@ def _struct(shapes: list | None) -> list | None:
     return shapes and [[{"odd": odd, "edges": [dict(zip(("ax", "ay", "bx", "by"), e)) for e in edges.tolist()]} for odd, edges in rings] for rings in shapes]
 
 
-def covers(features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cells, steps) of features (body_id, feature, zone_id, polygons): one row per cell that a feature of the body may touch, with those features in order.
+def covers(features: DataFrame) -> DataFrame:
+    """Cells of features (body_id, feature, zone_id, polygons), written: one row (body_id, cx, cy, step, near) per cell that a feature of the body may touch, with those features in order.
 
-    Both are written: cells are bounded by `grid_steps`, a feature is covered by itself, and what a cell carries grows with the edges near it, not with a whole polygon.
+    Cells are bounded by `grid_steps`, a feature is covered by itself, and what a cell carries grows with the edges near it, not with a whole polygon.
     """
-    steps = written(grid_steps(features), "steps")
     ship(features.sparkSession)
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("body_id", pa.string()), ("cx", pa.int64()), ("cy", pa.int64()), ("feature", pa.int32()), ("zone_id", pa.string()), ("inside", pa.bool_()), ("shapes", pa.list_(pa.list_(pa.struct([("odd", pa.bool_()), ("edges", pa.list_(pa.struct([(k, pa.float64()) for k in ("ax", "ay", "bx", "by")])))]))))])
+        edge = pa.struct([(k, pa.float64()) for k in ("ax", "ay", "bx", "by")])
+        shapes = pa.list_(pa.list_(pa.struct([("odd", pa.bool_()), ("edges", pa.list_(edge))])))
+        schema = pa.schema([("body_id", pa.string()), ("cx", pa.int64()), ("cy", pa.int64()), ("step", pa.float64()), ("feature", pa.int32()), ("zone_id", pa.string()), ("inside", pa.bool_()), ("shapes", shapes)])
         for b in batches:
             for f in b.to_pylist():
-                some = []
-                for cx, cy, inside, shapes in cover_of(f["polygons"], f["step"]):
-                    some.append((f["body_id"], cx, cy, f["feature"], f["zone_id"], inside, _struct(shapes)))
-                    if len(some) == 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*some), schema)], schema=schema)
-                        some = []
-                if some:
+                cells = iter(cover_of(f["polygons"], f["step"]))
+                while some := [(f["body_id"], cx, cy, f["step"], f["feature"], f["zone_id"], inside, _struct(own)) for cx, cy, inside, own in itertools.islice(cells, 4096)]:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*some), schema)], schema=schema)
 
-    rows = features.select("body_id", F.col("feature").cast("int").alias("feature"), "zone_id", "polygons").join(steps, "body_id").mapInArrow(cover, _COVER)
+    rows = features.select("body_id", F.col("feature").cast("int").alias("feature"), "zone_id", "polygons").join(grid_steps(features), "body_id").mapInArrow(cover, _COVER)
     each = F.sort_array(F.collect_list(F.struct("feature", "zone_id", "inside", "shapes"))).alias("near")
-    return written(rows.groupBy(*CELL).agg(each), "cells"), steps
+    return written(rows.groupBy(*CELL).agg(F.first("step").alias("step"), each), "cells")
 
 
 def _in_shapes(lon: Column, lat: Column, shapes: Column) -> Column:
@@ -174,9 +171,10 @@ def with_hits(points: DataFrame, features: DataFrame, x: str, y: str, name: str
 
     Cells and steps are broadcast where their bytes allow, else joined by a shuffle on (body, cell), which deals out a crowded body; either way a point meets one row.
     """
-    cells, steps = covers(features)
+    cells = covers(features)
+    steps = cells.groupBy("body_id").agg(F.first("step").alias("step"))
     lon, lat = F.col(x), F.col(y)
-    at = points.join(small(steps), "body_id", "left").withColumns({"cx": F.floor(lon / F.col("step")), "cy": F.floor(lat / F.col("step"))})
+    at = points.join(small(steps), "body_id", "left").withColumns({"cx": F.floor(lon / F.col("step")), "cy": F.floor(lat / F.col("step"))}).drop("step")
     near = F.filter(F.coalesce("near", F.array()), lambda f: f["inside"] | _in_shapes(lon, lat, f["shapes"]))
     found = F.transform(near, lambda f: F.struct(f["feature"].alias("feature"), f["zone_id"].alias("zone_id")))
-    return at.join(small(cells), CELL, "left").select(*points.columns, found.alias(name))
+    return at.join(small(cells).drop("step"), CELL, "left").select(*points.columns, found.alias(name))

@@ -71,8 +71,17 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-#: Heights in degrees of the cells of each round; the last one's neighbourhood is the whole globe.
-PYRAMID = (0.5, 2.0, 8.0, 32.0, 128.0)
+#: Height in degrees of the cells whose neighbourhood is the whole globe, and by how much cells grow.
+GLOBE, GROWTH = 128.0, 4.0
+
+
+def pyramid(points: int) -> list[float]:
+    """Heights of cells, finest first: the first is about the distance between so many points if they lay evenly, the last covers the globe."""
+    even = 2 * (41_253 / max(1, points)) ** 0.5
+    out = [GLOBE]
+    while out[0] > max(even, 0.01):
+        out.insert(0, out[0] / GROWTH)
+    return out
 
 
 def _band(lat: Column, step: float) -> Column:
@@ -89,30 +98,31 @@ def _cell(lon: Column, n: Column) -> Column:
     return F.pmod(F.floor((lon + 180) / 360 * n), n).cast("long")
 
 
-def least_metres(spots: DataFrame, points: DataFrame, key: list[str], name: str, pyramid: tuple[float, ...] = PYRAMID) -> DataFrame:
-    """`key` and metres (as `name`) from each spot (key, owner, lon, lat) to the nearest point (owner, lon, lat) of its owner or of none (null or ''); no such point: null.
+def least_metres(spots: DataFrame, points: DataFrame, key: list[str], steps: list[float] | None = None) -> DataFrame:
+    """(`key`, kind, metres) from each spot (key, owner, lon, lat) to the nearest point (kind, owner, lon, lat) of each kind, of its owner or of none (null or ''); a kind without such a point has no row.
 
-    Cells grow from round to round. In a round a spot meets the points of its own and the neighbouring cells, by an equi-join on (owner, band, cell), and
+    Cells grow from round to round. In a round a spot meets the points of its own and the neighbouring cells, by an equi-join on (kind, owner, band, cell), and
     what it finds within half a cell's height is proven the nearest, since no farther cell reaches so near, across the 180th meridian and at the poles, too. Only
-    spots without proof go on to the next round, four times as coarse; most need one or two, and rounds end when all are proven. Points stay in their partitions,
-    from which only least distances move.
+    spots without proof go on to the next round, four times as coarse; rounds begin at the points' mean distance and end when all are proven. Points stay in their
+    partitions, from which only least distances move.
     """
-    spots = written(spots.select(*key, F.coalesce("owner", F.lit("")).alias("owner"), "lon", "lat"), "spots")
-    held = points.select(F.coalesce("owner", F.lit("")).alias("p_owner"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
-    waiting, done = spots, []
-    for step in pyramid:
+    held = points.select("kind", F.coalesce("owner", F.lit("")).alias("p_owner"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
+    counts = {r.kind: r.n for r in held.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # kinds are a few words
+    waiting, done = spots.select(*key, F.coalesce("owner", F.lit("")).alias("owner"), "lon", "lat").withColumn("kind", F.explode(F.array(*map(F.lit, sorted(counts))).cast("array<string>"))), []
+    steps = steps or pyramid(max(counts.values(), default=0))
+    for step in steps:
         band = F.explode(F.sequence(_band(F.col("lat"), step) - 1, _band(F.col("lat"), step) + 1)).alias("band")
-        asked = waiting.select(*key, "lon", "lat", F.explode(F.array_distinct(F.array(F.col("owner"), F.lit("")))).alias("p_owner")).select("*", band).withColumn("n", cells_around(F.col("band"), step))
+        asked = waiting.select(*key, "kind", "lon", "lat", F.explode(F.array_distinct(F.array(F.col("owner"), F.lit("")))).alias("p_owner")).select("*", band).withColumn("n", cells_around(F.col("band"), step))
         own = F.floor((F.col("lon") + 180) / 360 * F.col("n"))
         asked = asked.withColumn("cell", F.explode(F.array_distinct(F.array(*(F.pmod(own + i, F.col("n")).cast("long") for i in (-1, 0, 1)))))).drop("n")
         there = held.withColumn("band", _band(F.col("p_lat"), step)).withColumn("cell", _cell(F.col("p_lon"), cells_around(F.col("band"), step)))
-        metres = F.min(haversine_m(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat"))).alias(name)
-        met = there.join(small(asked), ["p_owner", "band", "cell"]).groupBy(*key).agg(metres)
-        found = written(waiting.join(met, key, "left"), "nearest")
-        proven = F.lit(True) if step == pyramid[-1] else F.coalesce(F.col(name) <= step / 2 * 111_194.0, F.lit(False))
-        done.append(found.filter(proven).select(*key, name))
-        waiting = found.filter(~proven).drop(name)
-        if not waiting.take(1):
+        metres = F.min(haversine_m(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat"))).alias("metres")
+        met = there.join(small(asked), ["kind", "p_owner", "band", "cell"]).groupBy(*key, "kind").agg(metres)
+        last = F.lit(step == steps[-1])
+        found = written(waiting.join(met, [*key, "kind"], "left").withColumn("proven", last | F.coalesce(F.col("metres") <= step / 2 * 111_194.0, F.lit(False))), "nearest")
+        done.append(found.filter("proven AND metres IS NOT NULL").select(*key, "kind", "metres"))
+        waiting = found.filter("NOT proven").drop("metres", "proven")
+        if step == steps[-1] or not waiting.take(1):
             break
     return functools.reduce(DataFrame.unionByName, done)
 

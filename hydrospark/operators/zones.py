@@ -47,10 +47,12 @@ def burn(pixels: DataFrame, features: DataFrame, x: str = "x", y: str = "y") ->
 def locate(points: DataFrame, boundaries: DataFrame, zones: DataFrame) -> DataFrame:
     """Adds where (outside_water_boundary, inside_boundary, inside_zone) and zone_id, of overlapping zones the first.
 
-    Points meet the covers of boundaries and zones by cell, so a body's points spread over tasks and no polygon is tested but near its edge.
+    Points meet one cover of boundaries and zones by cell, so a body's points spread over tasks and no polygon is tested but near its edge.
     """
-    out = with_hits(with_hits(points, boundaries, "lon", "lat", "__edges"), zones, "lon", "lat", "__hits")
-    inside, hit = F.size("__edges") > 0, F.get("__hits", F.lit(0))
+    both = boundaries.withColumn("feature", F.col("feature") * 2).unionByName(zones.withColumn("feature", F.col("feature") * 2 + 1))  # even: a boundary
+    out = with_hits(points, both, "lon", "lat", "__hits")
+    inside = F.exists("__hits", lambda f: f["feature"] % 2 == 0)
+    hit = F.get(F.filter("__hits", lambda f: f["feature"] % 2 != 0), F.lit(0))
     where = F.when(~inside, "outside_water_boundary").when(hit.isNull(), "inside_boundary").otherwise("inside_zone")
     return out.select(*points.columns, where.alias("where"), F.when(inside, hit["zone_id"]).alias("zone_id"))
 

@@ -25,8 +25,11 @@ def compared(observations: DataFrame, s: Settings = DEFAULTS, adjustments: DataF
 def distances(zones: DataFrame, intakes: DataFrame, settlements: DataFrame) -> DataFrame:
     """Metres from each zone's centre to the nearest intake and settlement of its body; a point without owner counts for all bodies; none: null."""
     key = ["body_id", "zone_id"]
-    spots = zones.select(*key, F.col("body_id").alias("owner"), "lon", "lat")
-    return least_metres(spots, intakes, key, "intake_m").join(least_metres(spots, settlements, key, "settlement_m"), key)
+    points = [p.select(F.lit(kind).alias("kind"), "owner", "lon", "lat") for kind, p in (("intake", intakes), ("settlement", settlements))]
+    spots = written(zones.select(*key, F.col("body_id").alias("owner"), "lon", "lat"), "spots")
+    of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("metres"))).alias(f"{kind}_m")
+    near = least_metres(spots, points[0].unionByName(points[1]), key).groupBy(*key).agg(of("intake"), of("settlement"))
+    return spots.select(*key).join(near, key, "left")
 
 
 def priority(scores: DataFrame, zones: DataFrame, intakes: DataFrame, settlements: DataFrame, bumps: DataFrame | None = None, s: Settings = DEFAULTS) -> DataFrame:

@@ -9,8 +9,9 @@ import zipfile
 from pathlib import Path
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @functools.cache
@@ -31,11 +32,30 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _bytes(df: DataFrame) -> Column:
+    """What a row's values take, at least."""
+    out = F.lit(0).cast("long")
+    for f in df.schema:
+        c, kind = F.col("`" + f.name.replace("`", "``") + "`"), f.dataType
+        if isinstance(kind, T.StringType | T.BinaryType):
+            size = F.octet_length(c)
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            size = 8 * F.size(c)
+        elif isinstance(kind, T.ArrayType | T.MapType | T.StructType):
+            size = F.octet_length(F.to_json(F.struct(c.alias("c"))))
+        else:
+            size = F.lit(8)
+        out = out + F.coalesce(size, F.lit(0)).cast("long")
+    return out
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: what several later steps read is computed once, and a lost executor costs no recomputation."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts the lineage: what several later steps read is computed once, and a lost executor costs no recomputation. Rows and bytes are counted as they are written, for `small`."""
+    path, seen = shared_path(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(_bytes(df)).alias("bytes")).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._held = (seen.get["rows"], seen.get["bytes"] or 0)
+    return out
 
 
 @functools.cache
@@ -54,8 +74,6 @@ def ship(spark: SparkSession) -> None:
 
 
 def small(df: DataFrame, rows: int = 500_000, megabytes: int = 64) -> DataFrame:
-    """Marks a written table for broadcast if it has at most so many rows and so many bytes (as JSON, which is more than a row takes in memory); else leaves the join to a shuffle."""
-    if df.count() > rows:
-        return df
-    held = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns))))).cast("long"))).first()[0]
-    return F.broadcast(df) if (held or 0) <= megabytes << 20 else df
+    """Marks a table for broadcast if it has at most so many rows and so many bytes; else leaves the join to a shuffle. A table as `written` returned it is known; another is counted."""
+    n, size = getattr(df, "_held", None) or df.agg(F.count(F.lit(1)), F.sum(_bytes(df))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= megabytes << 20 else df

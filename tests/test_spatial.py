@@ -81,7 +81,7 @@ def test_ten_thousand_features_in_a_linear_cover(spark):
     tiles = [("a", i + 1, f"z{i}", [[ring([(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)])]]) for i, (x, y) in enumerate((i % side, i // side) for i in range(side * side))]
     slivers = [("a", side * side + 1 + k, f"s{k}", [[ring([(0, k + 0.5), (side, k + 0.5), (side, k + 0.501)])]]) for k in range(5)]
     features = spark.createDataFrame(tiles + slivers, FEATURES).repartition(4)
-    cells, _ = covers.covers(features)
+    cells = covers.covers(features)
     assert cells.agg(F.sum(F.size("near"))).first()[0] <= 40 * len(tiles)
     r = random.Random(1)
     points = [(i, "a", r.uniform(-2, side + 2), r.uniform(-2, side + 2), "") for i in range(4000)]
@@ -117,11 +117,14 @@ def test_nearest_equals_brute_force(spark):
     spots_ += [("a", "east", -179.99, 5.0), ("b", "west", 179.9, -5.0), ("b", "pole", -168.0, 89.95), ("a", "south", 10.0, -89.99), ("a", "exact", 179.99, 5.0), ("a", "nowhere", None, None)]
     s = spark.createDataFrame(spots_, "body_id string, zone_id string, lon double, lat double")
     p = spark.createDataFrame(near, "owner string, lon double, lat double")
-    got = {x.zone_id: x.m for x in places.least_metres(s.withColumn("owner", F.col("body_id")), p, ["body_id", "zone_id"], "m").collect()}
-    assert len(got) == len(spots_)
-    for body, zone, lon, lat in spots_:
-        want = min((metres((lon, lat), (x, y)) for o, x, y in near if not o or o == body), default=None) if lon is not None else None
-        assert (got[zone] is None and want is None) or abs(got[zone] - want) < 1e-3, (zone, got[zone], want)
+    kinds = p.withColumn("kind", F.lit("all")).unionByName(p.filter("owner = 'b'").withColumn("kind", F.lit("b only")))
+    for steps in (None, [0.5, 2.0, 8.0, 32.0, 128.0], [128.0]):
+        got = {(x.zone_id, x.kind): x.metres for x in places.least_metres(s.withColumn("owner", F.col("body_id")), kinds, ["body_id", "zone_id"], steps).collect()}
+        for body, zone, lon, lat in spots_:
+            for kind, some in (("all", near), ("b only", [x for x in near if x[0] == "b"])):
+                want = min((metres((lon, lat), (x, y)) for o, x, y in some if not o or o == body), default=None) if lon is not None else None
+                have = got.get((zone, kind))
+                assert (have is None and want is None) or abs(have - want) < 1e-3, (zone, kind, have, want)
 
 
 def test_distances_have_no_nested_loop(spark):
