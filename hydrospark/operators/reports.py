@@ -17,7 +17,7 @@ from .components import components
 from .places import cells_around
 
 
-def _metres(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
+def metres_apart(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
     p, q = math.radians(lat1), math.radians(lat2)
     h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
     return 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(h)))
@@ -35,7 +35,7 @@ class Ledger:
         near = (x for h in (hour - 1, hour, hour + 1) for x in self.by_hour[h])
         if image_hash in self.hashes:
             return False
-        if any(abs(t - at) <= self.s.duplicate_s and _metres(x, y, lon, lat) <= self.s.duplicate_m for x, y, t in near):
+        if any(abs(t - at) <= self.s.duplicate_s and metres_apart(x, y, lon, lat) <= self.s.duplicate_m for x, y, t in near):
             return False
         self.hashes.add(image_hash)
         self.by_hour[hour].append((lon, lat, at))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..config import DEFAULTS, Settings
-from ..operators.reports import Ledger
+from ..operators.reports import metres_apart
 from ..operators.scenes import zone_observations
 from ..operators.scoring import compare, with_baseline, zone_scores
 from ..sources.shared import ship
@@ -51,25 +51,65 @@ def score_new_scenes(pixels: DataFrame, baselines: DataFrame, path: str, checkpo
     return pixels.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def adjudicate_stream(reports: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """(body_id, report_id, accepted) of located reports as they come, keyed by body.
+class Judge(StatefulProcessor):
+    """Accepts or rejects the located reports of one body as they come.
 
-    State: images of accepted reports for ever, since that rule has no time limit, and places of accepted reports as long as the time
-    limit reaches. Reports of a batch are judged in order of time, then id.
+    State: a map from image to the time of its accepted report, kept for ever since that rule has no time limit, and a map from (hour, latitude band) to the places accepted there. A report looks up its
+    image and the nine cells around it, and nothing else is read. A timer for each hour removes the hour's cells once the watermark is beyond every report that they could stand in the way of.
     """
 
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        images, places = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = pd.concat(batches).sort_values(["taken_at", "report_id"])
-        ledger = Ledger(s)
-        ledger.hashes.update(images)
-        for lon, lat, at in places:
-            ledger.by_hour[int(at // s.duplicate_s)].append((lon, lat, at))
-        good = [ledger.submit(x.image_hash, x.lon, x.lat, x.taken_at.timestamp()) for x in rows.itertuples()]
-        latest = max((t for p in ledger.by_hour.values() for _, _, t in p), default=0.0)
-        state.update((sorted(ledger.hashes), [p for ps in ledger.by_hour.values() for p in ps if latest - p[2] <= 2 * s.duplicate_s]))
-        yield pd.DataFrame({"body_id": key[0], "report_id": rows["report_id"].to_numpy(), "accepted": good})
-
+    def __init__(self, s: Settings):
+        self.s, self.step = s, s.duplicate_m / 111_000.0
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.images = handle.getMapState("images", "image string", "at double")
+        self.places = handle.getMapState("places", "hour long, band long", "lons array<double>, lats array<double>, ats array<double>")
+
+    def _near(self, lon: float, lat: float, at: float, hour: int, band: int) -> bool:
+        for key in ((h, b) for h in (hour - 1, hour, hour + 1) for b in (band - 1, band, band + 1)):
+            if self.places.containsKey(key):
+                for x, y, t in zip(*self.places.getValue(key)):
+                    if abs(t - at) <= self.s.duplicate_s and metres_apart(x, y, lon, lat) <= self.s.duplicate_m:
+                        return True
+        return False
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        batch, good = pd.concat(rows).sort_values(["taken_at", "report_id"]), []
+        for x in batch.itertuples():
+            at = x.taken_at.timestamp()
+            hour, band, image = int(at // self.s.duplicate_s), int(x.lat // self.step), ("none" if x.image_hash is None else f"={x.image_hash}",)
+            accepted = not self.images.containsKey(image) and not self._near(x.lon, x.lat, at, hour, band)
+            good.append(accepted)
+            if accepted:
+                self.images.updateValue(image, (at,))
+                held = [list(v) for v in self.places.getValue((hour, band))] if self.places.containsKey((hour, band)) else [[], [], []]
+                for own, v in zip(held, (x.lon, x.lat, at)):
+                    own.append(v)
+                self.places.updateValue((hour, band), tuple(held))
+                self.handle.registerTimer(int((hour + 2) * self.s.duplicate_s * 1000))
+        yield pd.DataFrame({"body_id": key[0], "report_id": batch["report_id"].to_numpy(), "accepted": good})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        hour = round(expiredTimerInfo.getExpiryTimeInMs() / 1000 / self.s.duplicate_s) - 2
+        for cell in [c for c in self.places.keys() if c[0] <= hour]:
+            self.places.removeKey(cell)
+        yield pd.DataFrame({"body_id": pd.Series(dtype=object), "report_id": pd.Series(dtype="int64"), "accepted": pd.Series(dtype=bool)})
+
+    def close(self) -> None:
+        pass
+
+
+def adjudicate_stream(reports: DataFrame, s: Settings = DEFAULTS, late: str = "1 hour") -> DataFrame:
+    """(body_id, report_id, accepted) of located reports as they come, keyed by body; see `Judge`. Needs the RocksDB state store (`keyed_state`).
+
+    Reports of a batch are judged in order of time, then id; those later than the watermark by more than `late` are dropped, since the cells that they would have to be held against are gone.
+    """
     ship(reports.sparkSession)
-    place = "array<struct<lon: double, lat: double, at: double>>"
-    return reports.groupBy("body_id").applyInPandasWithState(judge, "body_id string, report_id long, accepted boolean", f"images array<string>, places {place}", "append", "NoTimeout")
+    rows = reports.withWatermark("taken_at", late).groupBy("body_id")
+    return rows.transformWithStateInPandas(Judge(s), "body_id string, report_id long, accepted boolean", "append", "eventTime")
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Sets the state store that keyed state with timers needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -70,7 +70,7 @@ def brute(rows, s=reports.DEFAULTS):
     """Accepted ids by comparing each report with all accepted ones before it."""
     kept, out = [], {}
     for r in sorted(rows, key=lambda r: (r[1], r[3], r[0])):
-        near = lambda k: abs((k[3] - r[3]).total_seconds()) <= s.duplicate_s and reports._metres(k[5], k[6], r[5], r[6]) <= s.duplicate_m
+        near = lambda k: abs((k[3] - r[3]).total_seconds()) <= s.duplicate_s and reports.metres_apart(k[5], k[6], r[5], r[6]) <= s.duplicate_m
         out[r[0]] = not any(k[1] == r[1] and (k[4] == r[4] or near(k)) for k in kept)
         if out[r[0]]:
             kept.append(r)
@@ -99,15 +99,25 @@ def test_adjudication_equals_brute_force(spark):
     assert {r.user_id: r.credits for r in reports.leaderboard(reports.adjudicate(located)).collect()} == sums
 
 
+def held_places(spark, path):
+    """How many cells of time and place the stream's state holds."""
+    return spark.read.format("statestore").option("stateVarName", "places").load(path).count()
+
+
 def test_adjudication_stream(spark, tmp_path):
-    """Two batches, the second one later: the state of the first decides on the second."""
+    """Three batches, each later: the state of the earlier ones decides, and what no later report can repeat by place is forgotten."""
+    streams.keyed_state(spark)
     rows = sorted(report_rows(80, 9), key=lambda r: r[3])
-    for i, part in enumerate((rows[:40], rows[40:])):
+    later = [(1000 + i, "a", 0, datetime.datetime(2024, 1, 3, i), f"new{i}", 50.0, 50.0) for i in range(3)]
+    sizes = []
+    for part in (rows[:40], rows[40:], later[:1], later[1:]):
         spark.createDataFrame(part, REPORTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         s = streams.adjudicate_stream(spark.readStream.schema(REPORTS).parquet(str(tmp_path / "in")))
         q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         q.awaitTermination(120)
-    assert {r.report_id: r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect()} == brute(rows)
+        sizes.append(held_places(spark, str(tmp_path / "c")))
+    assert {r.report_id: r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect()} == brute(rows + later)
+    assert sizes[1] > 3 and sizes[-1] <= 3, sizes
 
 
 def test_new_scenes_stream(spark, tmp_path):
@@ -163,7 +173,7 @@ def test_cells_across_the_date_line_and_near_poles(spark):
     pts = [(i, r.uniform(-180, 180), r.choice((r.uniform(-90, 90), r.uniform(85, 90)))) for i in range(120)] + [(900, 179.99, 10.0), (901, -179.99, 10.0), (902, 0.0, 90.0)]
     df = spark.createDataFrame(pts, "key long, lon double, lat double")
     got = {(x.key, x.to) for x in places.within(df, df, 400_000).collect()}
-    assert got == {(a[0], b[0]) for a in pts for b in pts if reports._metres(a[1], a[2], b[1], b[2]) <= 400_000}
+    assert got == {(a[0], b[0]) for a in pts for b in pts if reports.metres_apart(a[1], a[2], b[1], b[2]) <= 400_000}
 
 
 def test_loading_helpers(spark):
