@@ -1,4 +1,4 @@
-"""Sinks and their scans: upserts, ledgers, products by scene, passages, GeoJSON and contracts."""
+"""Sinks and their scans: upserts, ledgers, products by scene, documents and GeoJSON."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# What a contract's status may be.
-STATUSES = ("NORMAL", "LOW", "MEDIUM", "HIGH", "CRITICAL")
-CONTRACT = "body string, status string, confidence double, score double"
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """`old` with the rows of `new` in place of those with equal keys; of new rows that repeat a key, the last by `order` is left.
 
@@ -51,24 +46,9 @@ def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """(feature, properties, type, coordinates as JSON) of GeoJSON documents, in their order."""
-    schema = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    return doc.select(F.posexplode("features").alias("feature", "f")).select("feature", "f.properties", "f.geometry.type", "f.geometry.coordinates")
-
-
 def feature_collections(zones: DataFrame, stamp: Column, properties: list[str]) -> DataFrame:
     """One GeoJSON document per body: its zones in order, their properties, and a stamp of the collection. Zones of a body are few."""
     feature = F.struct("zone_id", F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties")).alias("f"))
     by = zones.groupBy("body_id").agg(stamp.alias("stamp"), F.sort_array(F.collect_list(feature)).alias("z"))
     doc = F.struct(F.lit("FeatureCollection").alias("type"), "stamp", F.col("z.f").alias("features"))
     return by.select("body_id", F.to_json(doc).alias("document"))
-
-
-def read_contracts(texts: DataFrame, column: str = "record") -> DataFrame:
-    """Parses contracts and adds reason: null for a good one, else the first rule that it breaks."""
-    x = texts.withColumn("c", F.from_json(column, CONTRACT))
-    missing = F.coalesce(F.col("c.body").isNull() | F.col("c.status").isNull() | F.col("c.confidence").isNull() | F.col("c.score").isNull(), F.lit(True))
-    reason = F.when(missing, "missing_field").when(~F.col("c.status").isin(*STATUSES), "status").when(~F.col("c.confidence").between(0, 1), "confidence").when(~F.col("c.score").between(0, 100), "score")
-    return x.withColumn("reason", reason).select(*texts.columns, "c.*", "reason")

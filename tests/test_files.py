@@ -1,7 +1,6 @@
 """Queries on files, grids and variants against their SQL; sinks, scans and streams in round trips."""
 
 import datetime
-import json
 
 import duckdb
 import pytest
@@ -64,22 +63,11 @@ def test_upsert_and_ledger(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "l")).count() == 2
 
 
-def test_texts_and_features(spark, tmp_path):
+def test_texts(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.md").write_text("# one\ntwo")
     (tmp_path / "a" / "y.txt").write_text("no")
     assert [r.text for r in sinks.read_markdown(spark, str(tmp_path)).collect()] == ["# one\ntwo"]
-    doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"id": "z0"}, "geometry": {"type": "Point", "coordinates": [1, 2]}}]}
-    (tmp_path / "f.geojson").write_text(json.dumps(doc))
-    r = sinks.read_features(spark, str(tmp_path / "f.geojson")).collect()
-    assert [(x.feature, x.properties, x.type, json.loads(x.coordinates)) for x in r] == [(0, {"id": "z0"}, "Point", [1, 2])]
-
-
-def test_contracts(spark):
-    good = {"body": "b", "status": "HIGH", "confidence": 0.5, "score": 100}
-    rows = [good, {**good, "status": "SEVERE"}, {**good, "confidence": 2}, {**good, "score": -1}, {"body": "b"}, None]
-    df = spark.createDataFrame([(i, json.dumps(x) if x else "not json") for i, x in enumerate(rows)], "i int, record string")
-    assert [r.reason for r in sinks.read_contracts(df).orderBy("i").collect()] == [None, "status", "confidence", "score", "missing_field", "missing_field"]
 
 
 def test_daily_stream(spark, tmp_path):
