@@ -285,6 +285,28 @@ def a13(spark, d):
     return reports.zone_bumps(_accepted_while_flagged(spark, d)).select("body_id", "zone_id", _r("bump"))
 
 
+@query("c5_sampling_sites", lambda: f"""WITH {FLAGS}, {PLACES.format(DIST)}, ps AS (SELECT body_id, zone_id, avg(CAST(flagged AS DOUBLE)) AS persistence FROM zs GROUP BY ALL),
+bu AS (SELECT body_id, zone_id, CAST(least(0.45, round(0.15 * count(*), 6)) AS DOUBLE) AS bump FROM fr GROUP BY ALL),
+x AS (SELECT z.*, zn.lon, zn.lat, coalesce(bump, 0) AS bump, least(1.0::DOUBLE, least(1.0::DOUBLE, max_sigma / 6) + coalesce(bump, 0)) AS severity_factor, persistence, intake_m, settlement_m,
+    0.7::DOUBLE * coalesce(1 / (1 + intake_m / 5000), 0) + 0.3::DOUBLE * coalesce(1 / (1 + settlement_m / 5000), 0) AS proximity
+  FROM zr z JOIN ps USING (body_id, zone_id) LEFT JOIN ds USING (body_id, zone_id) LEFT JOIN bu USING (body_id, zone_id) LEFT JOIN zn USING (body_id, zone_id) WHERE flagged)
+SELECT body_id, zone_id, date, CAST(row_number() OVER (PARTITION BY body_id, date ORDER BY severity_factor * persistence * proximity DESC, zone_id) AS INT) AS rank, round(severity_factor * persistence * proximity, 9) AS priority,
+  round(severity_factor, 6) AS severity_factor, round(bump, 6) AS bump, round(intake_m, 2) AS intake_m, round(settlement_m, 2) AS settlement_m, lon, lat, confidence, min(confidence) OVER (PARTITION BY body_id, date) AS feed_confidence,
+  'priority = severity × persistence × proximity; proximity = 0.7 × f(distance to nearest intake) + 0.3 × f(distance to nearest settlement); f(d) = 1 / (1 + d / 5000)' AS formula FROM x""")
+def c5_sites(spark, d):
+    """The ranked sites with what accepted reports add to a zone's severity, their places, distances and the feed's confidence."""
+    _, scores = _scored(spark, d)
+    good = reports.accepted(reports.adjudicate(_located(spark, d)))
+    bumps = reports.zone_bumps(zones.in_flagged_zone(good, scores, scores.select("body_id", "date").distinct()).filter("zone_flagged"))
+    places_ = t.zones(spark, d)
+    r = monitor.priority(scores, places_, t.points(spark, d, "supplier"), t.points(spark, d, "nation"), bumps, LOOSE).join(places_.select("body_id", "zone_id", "lon", "lat"), ["body_id", "zone_id"], "left")
+    r = evidence.feed_confidence(r.withColumn("own", F.col("confidence")), r, ["body_id", "date"])
+    return r.select(
+        "body_id", "zone_id", "date", "rank", _r("priority", 9), _r("severity_factor"), F.round(F.coalesce("bump", F.lit(0.0)), 6).alias("bump"), _r("intake_m", 2), _r("settlement_m", 2), "lon", "lat",
+        F.col("own").alias("confidence"), F.col("confidence").alias("feed_confidence"), F.lit(evidence.formula_text()).alias("formula"),
+    )
+
+
 PTS = "{0} AS (SELECT CAST({1} AS BIGINT) AS key, CAST({1} AS BIGINT) * 7919 % 36000 / 100.0::DOUBLE - 180 AS lon, CAST({1} AS BIGINT) * 104729 % 17000 / 100.0::DOUBLE - 85 AS lat FROM {2})"
 
 
