@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalog import LOOSE, SCORES, _r
 from .operators import scenes, scoring
-from .plans import analysis
+from .plans import analysis, feeds
 from .sources import contracts
 from .sources import tables as t
 from .sources.shared import shared_path, written
@@ -81,6 +81,33 @@ def c1_zones(spark, d):
     return z.select("body_id", "zone_id", "date", "flagged", _r("fused_score", 5), F.array_join("contributing", ",").alias("contributing"), "confidence", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query("c8_body_overview", f"""WITH cd AS ({SQL['c1_analyzed_dates']}), {LACKING.removeprefix('WITH ')}, v AS (SELECT * FROM cd WHERE body_id <> 'wb-9' AND date <> 'latest'),
+rz AS (SELECT body_id, string_agg(r, ',' ORDER BY o) AS reasons FROM (SELECT body_id, r, min(o) AS o FROM (SELECT body_id, unnest(string_split(reasons, ',')) AS r, date || '-' || generate_subscripts(string_split(reasons, ','), 1) AS o FROM v) GROUP BY ALL) GROUP BY body_id),
+d AS (SELECT body_id, count(*) AS dates, string_agg(date || ':' || status, ',' ORDER BY date) AS statuses, max(date) FILTER (status = 'ok') AS latest_ok, least(1.0::DOUBLE, min(confidence)) AS confidence FROM v GROUP BY body_id),
+al AS (SELECT d.body_id, min(zone_id) AS alert_zone, arg_min(dom, zone_id) AS alert_indicator, arg_min(CASE WHEN dom_sigma > 5 THEN 'severe' WHEN dom_sigma > 4 THEN 'warning' ELSE 'watch' END, zone_id) AS alert_severity
+  FROM d JOIN an ON an.body_id = d.body_id AND an.date = latest_ok AND flagged GROUP BY ALL)
+SELECT d.body_id, 'Lake ' || d.body_id[4:] AS name, dates, statuses, latest_ok, alert_zone, alert_indicator, alert_severity, confidence, 'not_a_detection,' || reasons AS reasons FROM d JOIN rz USING (body_id) LEFT JOIN al USING (body_id)""")
+def c8(spark, d):
+    dates, z = _analyzed(spark, d)
+    o = feeds.overview(t.bodies(spark, d), dates, z)
+    statuses = F.array_join(F.transform("dates", lambda x: F.concat_ws(":", x["date"], x["status"])), ",")
+    return o.select("body_id", "name", F.size("dates").cast("long").alias("dates"), statuses.alias("statuses"), "latest_ok", "alert_zone", "alert_indicator", "alert_severity", "confidence", F.array_join("confidence_reasons", ",").alias("reasons"))
+
+
+@query("c6_trend_series", f"""WITH cd AS ({SQL['c1_analyzed_dates']}), {SCORES.removeprefix('WITH ')}, v AS (SELECT * FROM cd WHERE body_id <> 'wb-9' AND date <> 'latest'),
+se AS (SELECT DISTINCT body_id, zone_id, unnest(['extent', 'turbidity', 'transparency', 'chlorophyll']) AS indicator FROM obs),
+x AS (SELECT v.body_id, zone_id, indicator, v.date, v.status, v.status IN ('ok', 'no_baseline') AS there, CASE WHEN v.date[5:6] IN ('12', '01', '02') THEN 'DJF' WHEN v.date[5:6] IN ('03', '04', '05') THEN 'MAM' WHEN v.date[5:6] IN ('06', '07', '08') THEN 'JJA' ELSE 'SON' END AS season FROM v JOIN se USING (body_id))
+SELECT x.body_id, x.zone_id, x.indicator, x.date, x.status, round(CASE WHEN there THEN o.value END, 4) AS value, round(CASE WHEN there THEN coalesce(s.mean, a.mean) END, 6) AS baseline_mean,
+  round(CASE WHEN there THEN CASE WHEN s.samples IS NULL THEN a.std ELSE s.std END END, 6) AS baseline_std, (SELECT min(confidence) FROM v w WHERE w.body_id = x.body_id) AS confidence
+FROM x LEFT JOIN obs o ON o.body_id = x.body_id AND o.zone_id = x.zone_id AND o.indicator = x.indicator AND o.date = x.date
+LEFT JOIN bl s ON s.body_id = x.body_id AND s.zone_id = x.zone_id AND s.indicator = x.indicator AND s.season = x.season LEFT JOIN bl a ON a.body_id = x.body_id AND a.zone_id = x.zone_id AND a.indicator = x.indicator AND a.season = 'ALL'""")
+def c6(spark, d):
+    dates, _ = _analyzed(spark, d)
+    o = written(scenes.zone_observations(t.pixels(spark, d), LOOSE), "observations")
+    x = feeds.trends(dates, o, scoring.fit_baselines(o))
+    return x.select("body_id", "zone_id", "indicator", "date", "status", _r("value", 4), _r("baseline_mean"), _r("baseline_std"), "confidence")
+
+
 RECORD = (
     '{"analysis_id": "a%d", "timestamp": "2024-01-01T00:00:00Z", "location": {%s"coordinates": [%s, 17.5]}, "satellite_data": {"source": "S2", "scene_date": "2024-01-01"}, '
     '"water_detection": {"model_used": "m", "water_surface_area_sq_km": %s}, "contamination_detection": {"model_used": "n", "indicators": {"ndti": 0.1}, "anomaly_status": "%s", "confidence_score": %s}, '

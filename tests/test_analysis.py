@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hydrospark.catalog import LOOSE
 from hydrospark.catalog_analysis import NAMES, scene_files
 from hydrospark.operators import scenes, scoring
-from hydrospark.plans import analysis
+from hydrospark.plans import analysis, feeds
 from hydrospark.sources import contracts, geojson
 from hydrospark.sources import tables as t
 
@@ -167,3 +167,25 @@ def test_catalog(spark, tmp_path):
     with pytest.raises(Exception, match="pond must be Polygon"):
         geojson.load_catalog(spark, str(tmp_path / "bad.json")).collect()
     assert geojson.load_catalog(spark, str(tmp_path / "none.json")).count() == 0
+
+
+DATES = "body_id string, date string, status string, reason string, confidence double, confidence_reasons array<string>"
+
+
+def test_overview_and_trends_have_every_date(spark):
+    days = [("b", "20240101", "ok", None, 0.9, ["x"]), ("b", "20240401", "missing", "scene_folder_missing", 0.0, ["scene_missing"]), ("b", "20240701", "ok", None, 1.0, ["x", "y"]), ("b", "latest", "unusable", "r", 0.0, ["z"]), ("c", "20240101", "no_baseline", "r", 0.5, [])]
+    dates = spark.createDataFrame(days, DATES)
+    zones = [("b", z, d, f, ("turbidity", s)) for z, d, f, s in (("z0", "20240701", False, "watch"), ("z2", "20240701", True, "watch"), ("z1", "20240701", True, "severe"), ("z0", "20240101", True, "warning"))]
+    z = spark.createDataFrame(zones, "body_id string, zone_id string, date string, flagged boolean, dominant struct<indicator: string, severity: string>")
+    bodies = spark.createDataFrame([(b, b.upper()) for b in "bcd"], "body_id string, name string")
+    got = {r.body_id: r for r in feeds.overview(bodies, dates, z).collect()}
+    assert (got["b"].latest_ok, got["b"].alert_zone, got["b"].alert_severity, got["b"].confidence) == ("20240701", "z1", "severe", 0.0)
+    assert [d.status for d in got["b"].dates] == ["ok", "missing", "ok"] and got["b"].confidence_reasons == ["not_a_detection", "x", "scene_missing", "y"]
+    assert (got["c"].latest_ok, got["c"].alert_zone, got["c"].confidence) == (None, None, 0.5) and (got["d"].dates, got["d"].confidence, got["d"].confidence_reasons) == ([], 1.0, ["not_a_detection"])
+    seen = spark.createDataFrame([("b", "z0", "20240101", "turbidity", 1.0), ("b", "z0", "20240701", "turbidity", 4.0), ("b", "z0", "20240701", "extent", 9.0)], "body_id string, zone_id string, date string, indicator string, value double")
+    base = spark.createDataFrame([("b", "z0", "turbidity", s, m, 0.5) for s, m in (("ALL", 2.0), ("DJF", 3.0))], "body_id string, zone_id string, indicator string, season string, mean double, std double")
+    rows = {(r.indicator, r.date): r for r in feeds.changes(feeds.trends(dates, seen, base)).collect()}
+    assert len(rows) == 4 * 3
+    state = {k: (r.value, r.baseline_mean, r.change, r.status) for k, r in rows.items()}
+    assert state["turbidity", "20240101"] == (1.0, 3.0, None, "ok") and state["turbidity", "20240401"] == (None, None, None, "missing") and state["turbidity", "20240701"] == (4.0, 2.0, 3.0, "ok")
+    assert state["extent", "20240101"] == (None, None, None, "ok") and rows["extent", "20240101"].confidence == 0.0 and rows["extent", "20240101"].confidence_reasons == ["x", "scene_missing", "y"]
