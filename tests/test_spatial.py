@@ -118,7 +118,7 @@ def test_nearest_equals_brute_force(spark):
     s = spark.createDataFrame(spots_, "body_id string, zone_id string, lon double, lat double")
     p = spark.createDataFrame(near, "owner string, lon double, lat double")
     kinds = p.withColumn("kind", F.lit("all")).unionByName(p.filter("owner = 'b'").withColumn("kind", F.lit("b only")))
-    for steps in (None, [0.5, 2.0, 8.0, 32.0, 128.0], [128.0]):
+    for steps in (None, [0.5, 8.0, 128.0]):
         got = {(x.zone_id, x.kind): x.metres for x in places.least_metres(s.withColumn("owner", F.col("body_id")), kinds, ["body_id", "zone_id"], steps).collect()}
         for body, zone, lon, lat in spots_:
             for kind, some in (("all", near), ("b only", [x for x in near if x[0] == "b"])):
