@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -46,9 +47,11 @@ class Transducer:
         n = m.normalizer_spec
         if m.trainer_spec.model_type != model_pb.TrainerSpec.BPE or n.precompiled_charsmap or n.remove_extra_whitespaces or not n.escape_whitespaces:
             raise ValueError("only BPE models without a character map are compiled")
+        if any(p.type == _USER for p in m.pieces):
+            raise ValueError("models with user-defined pieces aren't compiled")
         self.prefix = SPACE if n.add_dummy_prefix else ""
         # the inverse's outputs, one after the other as UTF-8: a byte, a piece with its spaces, or nothing
-        put = [bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.replace(SPACE, " ").encode() if p.type in (_NORMAL, _USER) else b"" for p in m.pieces]
+        put = [bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.replace(SPACE, " ").encode() if p.type == _NORMAL else b"" for p in m.pieces]
         self.output, self.size = np.frombuffer(b"".join(put), np.uint8), np.array([*map(len, put)], np.int64)
         self.offset = np.cumsum(self.size) - self.size
         self.bytes_ = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == _BYTE}
@@ -133,11 +136,8 @@ class Transducer:
 
     def _arcs(self, s: str, at: int) -> list[tuple[int, int]]:
         """The lattice's arcs that leave a position: (where it ends, piece), the longest last."""
-        node, arcs = self.trie, []
-        for c in s[at:]:
-            node = node.get(c)
-            if node is None:
-                break
+        node, arcs, n = self.trie, [], len(s)
+        while at < n and (node := node.get(s[at])) is not None:
             at += 1
             if _END in node:
                 arcs.append((at, node[_END]))
@@ -173,14 +173,23 @@ class Transducer:
         return out
 
     def _run(self, n: int) -> list[int]:
-        """Spaces in a row: merged from the left, the shortest piece that scores best first."""
-        parts = [1] * n
-        while True:
-            fits = [(-self.run_score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.run_score]
-            if not fits:
-                return [self.runs[x] for x in parts]
-            i = min(fits)[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        """Spaces in a row: the two neighbours whose piece scores best are merged, the leftmost ones first. A queue holds rank * n + place; entries that no longer hold are passed over."""
+        scores = sorted({-s for s in self.run_score.values()})
+        rank = {size: scores.index(-s) for size, s in self.run_score.items()}
+        size, before, after = [1] * n, list(range(-1, n - 1)), list(range(1, n + 1))
+        queue = [rank[2] * n + i for i in range(n - 1)] if 2 in rank else []  # sorted, so a heap
+        while queue:
+            best, i = divmod(heapq.heappop(queue), n)
+            j = after[i]
+            if not size[i] or j == n or rank.get(size[i] + size[j]) != best:
+                continue
+            size[i], size[j], after[i] = size[i] + size[j], 0, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (r := rank.get(size[k] + size[after[k]])) is not None:
+                    heapq.heappush(queue, r * n + k)
+        return [self.runs[x] for x in size if x]
 
     def _word(self, chunk: str) -> bytes:
         rest = chunk.lstrip(SPACE)
