@@ -91,25 +91,37 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def running(lengths: Column, block: int = 256) -> Column:
+    """The sums of all lengths before each one. Blocks are summed first, so that what a fold copies at each step stays short and the whole is linear in the list but for a 65,536th of its square."""
+    upto = lambda xs, first: F.aggregate(xs, F.array(first), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+
+    def by_block(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
+        return let(upto(sums, F.lit(0)), lambda firsts: F.flatten(F.transform(parts, lambda p, i: F.slice(upto(p, F.get(firsts, i)), F.lit(1), F.size(p)))))
+
+    whole = lambda xs: F.transform(F.sequence(F.lit(0), F.size(xs), F.lit(block)), lambda at: F.slice(xs, at + 1, F.lit(block)))
+    return let(lengths, lambda xs: let(whole(xs), by_block))
+
+
 def format_chat(rows: DataFrame, turns_col: str = "turns", loss_role: str = "assistant") -> DataFrame:
-    """Adds `formatted`, the text of all turns in the template, and `loss`, the spans (start, length in code points) of `loss_role`'s texts.
+    """Adds `formatted`, the text of all turns in the template, and `loss`, the spans (turn from 0, start, length; in code points) of `loss_role`'s texts.
 
     A turn is "### ", role, ": ", text, "</turn>" and a line feed. Inside roles and texts the backslash and the signs
     that markers are made of are escaped, so a text that looks like a marker can't end a turn and `read_chat` gives back
     what was put in. A null turn, role or text counts as empty. No turns: formatted and loss are null.
     """
-    turn = lambda t: F.concat(F.lit(HEAD), escape(t["role"]), F.lit(SEP), escape(t["text"]), F.lit(TAIL))
-    head = lambda t: F.char_length(escape(t["role"])) + len(HEAD) + len(SEP)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    filled = lambda t: F.struct(*(escape(F.coalesce(t[k], F.lit(""))).alias(k) for k in ("role", "text")))
+    written = lambda t: F.concat(F.lit(HEAD), t["role"], F.lit(SEP), t["text"], F.lit(TAIL))
+    head = lambda t: F.char_length(t["role"]) + len(HEAD) + len(SEP)
 
-    def step(a: Column, t: Column) -> Column:
-        body = F.char_length(escape(t["text"]))
-        span = F.struct((a["at"] + head(t)).alias("start"), body.alias("length"))
-        return F.struct((a["at"] + head(t) + body + len(TAIL)).alias("at"), F.when(t["role"] == loss_role, F.array_append(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+    def spans(turns: Column) -> Column:
+        begins = running(F.transform(turns, lambda t: head(t) + F.char_length(t["text"]) + len(TAIL)))
+        each = lambda b: F.transform(turns, lambda t, i: F.struct(t["role"].alias("role"), i.alias("turn"), (F.get(b, i) + head(t)).alias("start"), F.char_length(t["text"]).alias("length")))
+        mine = F.filter(let(begins, each), lambda s: s["role"] == escape(F.lit(loss_role)))
+        return F.transform(mine, lambda s: F.struct(*(s[k].alias(k) for k in ("turn", "start", "length"))))
 
-    filled = lambda t: F.struct(*(F.coalesce(t[k], F.lit("")).alias(k) for k in ("role", "text")))
     turns = F.transform(q(turns_col), filled)
-    return rows.withColumns({"formatted": F.array_join(F.transform(turns, turn), ""), "loss": F.aggregate(turns, start, step, lambda a: a["spans"])})
+    return rows.withColumns({"formatted": F.array_join(F.transform(turns, written), ""), "loss": let(turns, spans)})
 
 
 def read_chat(formatted: Column) -> Column:
@@ -123,8 +135,13 @@ def read_chat(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, loss: Column) -> Column:
-    """The unescaped text under the loss mask."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+    """The unescaped text under the loss mask. The text is cut at turn ends once, and each span is taken from the part of its turn."""
+
+    def under(parts: Column) -> Column:
+        begins = running(F.transform(parts, lambda x: F.char_length(x) + len(TAIL)))
+        return let(begins, lambda b: F.array_join(F.transform(loss, lambda s: unescape(F.substring(F.get(parts, s["turn"]), s["start"] - F.get(b, s["turn"]) + 1, s["length"]))), ""))
+
+    return let(F.split(formatted, TAIL, -1), under)
 
 
 def pack_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
