@@ -150,8 +150,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS x
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST(length(bin(size)) AS BIGINT) AS weight,
+         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS x
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -168,17 +168,27 @@ p AS (
   SELECT source, source_size, target, floor(target / source_size) AS whole, target / source_size - floor(target / source_size) AS rest,
          target - floor(target / source_size) * source_size AS residual
   FROM t),
+o AS (
+  SELECT p.*, k.weight, k.n, CAST(coalesce(sum(k.n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS above,
+         CAST(sum(k.n * k.weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS open
+  FROM (SELECT source, weight, sum(size) AS n FROM d GROUP BY ALL) k JOIN p ON k.source IS NOT DISTINCT FROM p.source
+  WINDOW w AS (PARTITION BY k.source ORDER BY k.weight DESC)),
+e AS (SELECT *, CASE WHEN rest > 0 THEN least(1.0::DOUBLE, max(CASE WHEN open > 0 THEN (residual - above) / open END) OVER (PARTITION BY source) * weight) ELSE 0 END AS p FROM o),
+f AS (
+  SELECT source, weight, source_size, target, CAST(whole AS BIGINT) + CASE WHEN p >= 1 THEN 1 ELSE 0 END AS whole, CASE WHEN p < 1 THEN p ELSE 0 END AS p,
+         residual - CAST(coalesce(sum(CASE WHEN p >= 1 THEN n END) OVER (PARTITION BY source), 0) AS DOUBLE) AS residual
+  FROM e),
 k AS (
-  SELECT d.doc_id, d.size, p.*, (x / (1 - x)) / (rest / (1 - rest)) AS q
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+  SELECT d.doc_id, d.size, f.*, CASE WHEN p > 0 THEN (x / (1 - x)) / (p / (1 - p)) END AS q
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.weight = f.weight),
 b AS (
-  SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY q, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before FROM k)
-SELECT doc_id, size, source_size, target,
-       size * (CAST(whole AS BIGINT) + CASE WHEN rest > 0 AND 2 * before + size <= 2 * residual THEN 1 ELSE 0 END) AS taken,
-       CAST(whole AS BIGINT) + CASE WHEN rest > 0 AND 2 * before + size <= 2 * residual THEN 1 ELSE 0 END AS copies
+  SELECT *, CASE WHEN q IS NOT NULL THEN CAST(sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size END AS before FROM k)
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN p > 0 AND 2 * before + size <= 2 * residual THEN 1 ELSE 0 END) AS taken,
+       whole + CASE WHEN p > 0 AND 2 * before + size <= 2 * residual THEN 1 ELSE 0 END AS copies
 FROM b
 """
 
+
 def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity(_docs(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")

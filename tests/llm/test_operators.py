@@ -229,6 +229,16 @@ def test_chat_nulls_and_conversations(spark):
     assert made(t.limit(0)) == {}
 
 
+def test_chat_very_many_turns(spark):
+    """200,000 turns of one conversation; spans point at what they say."""
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(199_999)), lambda i: F.struct(F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<"), i.cast("string")).alias("text"))).alias("turns"))
+    out = chat_format.chat_digests(chat_format.format_chat(df)).collect()[0]
+    loss = "".join(f"<{i}" for i in range(1, 200_000, 2))
+    assert (out.n_turns, out.loss_chars, out.loss_sha256) == (200_000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    few = chat_format.format_chat(df.select(F.slice("turns", 1, 1000).alias("turns"))).collect()[0]
+    assert [few.formatted[s.start : s.start + s.length] for s in few.loss] == [f"\\l{i}" for i in range(1, 1000, 2)] and [s.turn for s in few.loss] == [*range(1, 1000, 2)]
+
+
 def test_golay_keys_meet():
     r = np.random.default_rng(2)
     a = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
@@ -366,6 +376,41 @@ def test_mixing(docs, none):
     assert mixing.mixed_rows(docs).columns == docs.columns and mixing.mixed_rows(docs).count() == sum(r.copies for r in got)
 
 
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_mixing_repeated_ids(spark, blocks):
+    """Rows that share an id, or an id and a text, are cut to the word: three sources of 400 rows of 50 words, the ids of the third all null and its texts all equal."""
+    words = " ".join(["w"] * 50)
+    rows = [(i, f"{words[2:]} {i}", "a") for i in range(400)] + [(7, f"{words[2:]} {i}", "b") for i in range(400)] + [(None, words, "c")] * 400
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(blocks)).collect()
+    assert len(got) == 1200
+    for s in "abc":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.copies * r["size"] for r in mine) - mine[0].target) <= 25 and {r.copies for r in mine} <= {0, 1, 2}
+
+
+@pytest.mark.parametrize("weighed", [False, True])
+def test_mixing_odds(spark, weighed):
+    """How many of each class are taken comes near its inclusion probability; these add up to the target, rise with the weight and reach 1 for some."""
+    weight = F.when(F.col("id") % 10 == 0, 900).when(F.col("id") % 10 < 4, 3)
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.pow(F.lit(2), F.col("id") % 7).cast("int").alias("words"), weight.alias("w"))
+    got = mixing.mix_sources(docs, size_col="words", weight_col="w" if weighed else None).groupBy("source", "weight", "p").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"), F.min("copies").alias("low"), F.max("copies").alias("high"), F.sum("size").alias("words"), F.first("target").alias("target")).collect()
+    for s in ("s0", "s1", "s2"):
+        mine = sorted((r for r in got if r.source == s), key=lambda r: r.weight)
+        expected = [r.low + r.p for r in mine]
+        assert expected == sorted(expected) and len({r.weight for r in mine}) == (3 if weighed else 7) and all(r.high <= 2 and r.high - r.low <= 1 for r in mine)
+        assert abs(sum(e * r.words for e, r in zip(expected, mine)) - mine[0].target) < 1e-6 * mine[0].target
+        for e, r in zip(expected, mine):
+            assert r.low == r.high if r.p == 0 else abs(r.copies - e * r.n) < 5 * (r.n * r.p * (1 - r.p)) ** 0.5 + 1
+    assert any(0 < r.p < 1 for r in got) and (not weighed or any(r.weight == 900 and r.p == 0 for r in got))
+
+
+def test_wfst_long_runs():
+    """Runs of a million letters and of a million spaces, and shorter ones of every length, as the library gives them."""
+    sp, t = sentencepiece.SentencePieceProcessor(model_file=PIECES), wfst.Transducer(PIECES)
+    for text in [*(" " * n for n in range(1, 200)), *(" " * n + "a" for n in range(1, 200)), " " * 1_000_000, "x" * 1_000_000, "ab" * 500_000]:
+        assert np.frombuffer(t.encode(text), "<u4").tolist() == sp.encode(text), (text[-1], len(text))
+
+
 def test_wfst(docs, none):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = wfst.encode_pieces(docs, PIECES).collect()
