@@ -14,7 +14,7 @@ from .functions import geo, indices, narrative, prompts, splitter
 from .operators import evidence, history, inventory, loading, places, reports, scenes, scoring, zones
 from .plans import monitor
 from .sources import tables as t
-from .sources.shared import ship
+from .sources.shared import ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -401,3 +401,48 @@ def d5(spark, d):
 @query("p17_severe_alerts", f"WITH {SCORES} SELECT count(*) AS n FROM zr WHERE flagged AND dom_sigma > 5")
 def p17(spark, d):
     return evidence.of_severity(evidence.alerts(evidence.evidence(*_scored(spark, d), LOOSE), t.bodies(spark, d)), "severe").agg(F.count(F.lit(1)).alias("n"))
+
+
+SEARCH = f"""{PTS.format('a', 'c_custkey', 'customer')}, {PTS.format('b', 's_suppkey', 'supplier')}, p AS (SELECT a.key, 'n' || (b.key % 7) AS name, b.key AS "to", {DIST} AS m FROM a, b),
+q AS (SELECT key, name, min("to") AS "to", round(arg_min(m, "to") / 1000, 2) AS km FROM p WHERE m <= 1500000 GROUP BY ALL),
+n AS (SELECT key, name, km, CAST(row_number() OVER (PARTITION BY key ORDER BY km, "to") AS INT) AS rank FROM q)"""
+
+
+def _searched(spark, d):
+    lakes = t.points(spark, d, "supplier").withColumn("name", F.concat(F.lit("n"), (F.col("key") % 7).cast("string")))
+    return places.lake_search(t.points(spark, d, "customer"), lakes, 1_500_000)
+
+
+@query("c14_lake_search", f"""WITH {SEARCH}, o AS (SELECT x.key, x.rank, string_agg(y.name, '|' ORDER BY y.rank) AS others FROM n x JOIN (SELECT * FROM n WHERE rank <= 10) y ON x.key = y.key AND x.rank <> y.rank AND y.rank <= CASE WHEN x.rank <= 4 THEN 5 ELSE 4 END GROUP BY ALL)
+SELECT n.key, name, km, n.rank, coalesce(others, '') AS others FROM n LEFT JOIN o ON n.key = o.key AND n.rank = o.rank WHERE n.rank <= 10""")
+def c14(spark, d):
+    return _searched(spark, d).withColumn("others", F.array_join("others", "|"))
+
+
+@query("c14_around_detected", f"""WITH {SEARCH}, x AS (SELECT key, name, km, row_number() OVER (PARTITION BY key ORDER BY rank) AS rank FROM n WHERE rank <= 10 AND (key % 8 = 7 OR name <> 'n' || (key % 8)))
+SELECT key, name, km, CAST(rank AS INT) AS rank FROM x WHERE rank <= 5""")
+def c14_detected(spark, d):
+    own = F.when(F.col("key") % 8 < 7, F.concat(F.lit("N"), (F.col("key") % 8).cast("string")))
+    return places.around_detected(t.points(spark, d, "customer").select("key", own.alias("name")), _searched(spark, d))
+
+
+@query("c13_analyses", f"""WITH {PIXELS}, w AS (SELECT body_id, date, avg(CASE WHEN wet THEN coalesce((b03 - b08) / nullif(b03 + b08, 0), 0) END) AS ndwi, avg(CASE WHEN wet THEN 0.97::DOUBLE * coalesce((b04 - b03) / nullif(b04 + b03, 0), 0) END) AS ndti,
+  avg(CASE WHEN wet THEN coalesce((b05 - b04) / nullif(b05 + b04, 0), 0) END) AS ndci FROM px GROUP BY ALL),
+a AS (SELECT body_id, date, coalesce(ndwi, 0) AS ndwi, coalesce(ndti, 0) AS ndti, coalesce(ndci, 0) AS ndci FROM w),
+k AS (SELECT body_id, CAST(round_even(ndti, 3) AS DOUBLE) AS v FROM a WHERE date < '1995' QUALIFY row_number() OVER (PARTITION BY body_id ORDER BY date) <= 5),
+hb AS (SELECT body_id, avg(v) AS mean, CASE WHEN count(*) <= 1 THEN 0.01 ELSE stddev_pop(v) END AS std FROM k GROUP BY ALL),
+s AS (SELECT a.*, CASE WHEN date >= '1995' AND std > 0 THEN (ndti - mean) / std END AS d FROM a LEFT JOIN hb USING (body_id)),
+v AS (SELECT *, CASE WHEN d IS NULL THEN 0 ELSE CAST(trunc(least(100, abs(d) / 4 * 100)) AS INT) END AS score FROM s)
+SELECT 'A_' || date || '_' || body_id AS analysis_id, body_id, strftime(strptime(date, '%Y%m%d'), '%Y-%m-%d') AS day, CAST(round_even(ndwi, 3) AS DOUBLE) + 0.0::DOUBLE AS ndwi, CAST(round_even(ndti, 3) AS DOUBLE) + 0.0::DOUBLE AS ndti, CAST(round_even(ndci, 3) AS DOUBLE) + 0.0::DOUBLE AS ndci,
+  CASE WHEN d > 3.2 THEN 'HIGH' WHEN d > 2.0 THEN 'WARNING' ELSE 'NORMAL' END AS status, score AS anomaly_score, CASE WHEN d IS NULL THEN 0 ELSE CAST(round_even(least(1, abs(d) / 5), 2) AS DOUBLE) END AS confidence,
+  coalesce(CAST(round_even(d, 2) AS DOUBLE), 0) + 0.0::DOUBLE AS sigma, CAST(trunc(greatest(0, least(100, 0.5::DOUBLE * score + 30))) AS INT) AS priority FROM v""")
+def c13_analyses(spark, d):
+    """Scenes before 1995 are analysed without any history and saved; the later ones against them."""
+    b = {n: F.col(n).cast("double") for n in ("b03", "b04", "b05", "b08")}
+    p = t.pixels(spark, d).withColumn("mask", indices.is_water(F.col("b03"), F.col("b08")))
+    of = {"ndwi": indices.safe_difference(b["b03"], b["b08"]), "ndti": 0.97 * indices.safe_difference(b["b04"], b["b03"]), "ndci": indices.safe_difference(b["b05"], b["b04"])}
+    none = spark.createDataFrame([], "analysis_id string, body_id string, day date, ndti double, status string")
+    old = written(history.analyze(p.filter("date < '1995'"), none, "mask", of), "history")
+    out = history.saved(old, history.analyze(p.filter("date >= '1995'"), old, "mask", of))
+    zero = lambda c: (F.col(c) + 0.0).alias(c)  # noqa: E731  no negative zero
+    return out.select("analysis_id", "body_id", F.col("day").cast("string").alias("day"), *map(zero, ("ndwi", "ndti", "ndci")), "status", "anomaly_score", "confidence", zero("sigma"), "priority")

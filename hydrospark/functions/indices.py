@@ -69,11 +69,11 @@ def falloff(distance_m: Column, scale_m: float) -> Column:
 def history_score(value: Column, mean: Column, std: Column, high: float = 3.2, warning: float = 2.0) -> Column:
     """(status, score, confidence, sigma) of the history path: the score has two sides, the status one; its cuts are parameters."""
     d = (value - mean) / F.when(std > 0, std)
-    score = F.least(F.lit(100.0), F.abs(d) / 4 * 100).cast("int")  # bounded before the cast, which would overflow
+    score = F.when(d.isNotNull(), F.least(F.lit(100.0), F.abs(d) / 4 * 100)).cast("int")  # bounded before the cast, which would overflow; null is no bound
     status = F.when(d > high, "HIGH").when(d > warning, "WARNING").otherwise("NORMAL")
     return F.struct(
         F.when(d.isNull(), "NORMAL").otherwise(status).alias("status"), F.coalesce(score, F.lit(0)).alias("score"),
-        F.coalesce(F.bround(F.least(F.lit(1.0), F.abs(d) / 5), 2), F.lit(0.0)).alias("confidence"), F.bround(d, 2).alias("sigma"),
+        F.when(d.isNull(), 0.0).otherwise(F.bround(F.least(F.lit(1.0), F.abs(d) / 5), 2)).alias("confidence"), F.bround(d, 2).alias("sigma"),
     )
 
 

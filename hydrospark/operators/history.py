@@ -68,3 +68,24 @@ def or_latest(asked: DataFrame, history: DataFrame) -> DataFrame:
 def masked_means(pixels: DataFrame, mask: str, **indices) -> DataFrame:
     """Per scene the means of index columns over a mask to three places, 0 where nothing is masked."""
     return pixels.groupBy("body_id", "date").agg(*(F.bround(F.coalesce(F.avg(F.when(F.col(mask), c)), F.lit(0.0)), 3).alias(n) for n, c in indices.items()))
+
+
+def analyze(pixels: DataFrame, history: DataFrame, mask: str, indicators: dict[str, Column], days: int = 1, proximity: float = 1.0) -> DataFrame:
+    """One analysis per scene (body_id, date): means of `indicators` (ndwi, ndti, ndci) over a mask, its ndti against the baseline of its body in `history`, and its priority.
+
+    Pixels meet in one aggregate, whose few rows meet baselines of a row per body. The score is taken from the mean as it is, the indicators are
+    kept to three places. A scene without masked pixels has means of 0; a body without history is normal with score 0.
+    """
+    means = pixels.groupBy("body_id", "date").agg(*(F.coalesce(F.avg(F.when(F.col(mask), c)), F.lit(0.0)).alias(n) for n, c in indicators.items()))
+    x = means.join(history_baselines(history), "body_id", "left").withColumn("s", history_score(F.col("ndti"), F.col("mean"), F.col("std")))
+    ident = F.concat_ws("_", F.lit("A"), F.replace("date", F.lit("-"), F.lit("")), F.replace("body_id", F.lit(" "), F.lit("")))
+    return x.select(
+        ident.alias("analysis_id"), "body_id", F.to_date(F.replace("date", F.lit("-"), F.lit("")), "yyyyMMdd").alias("day"), *(F.bround(n, 3).alias(n) for n in indicators), F.col("s.status").alias("status"), F.col("s.score").alias("anomaly_score"),
+        F.col("s.confidence").alias("confidence"), F.coalesce("s.sigma", F.lit(0.0)).alias("sigma"), history_priority(F.col("s.score"), F.lit(days), F.lit(proximity)).alias("priority"),
+    )
+
+
+def saved(history: DataFrame, analyses: DataFrame) -> DataFrame:
+    """History once `analyses` are put in: one with an id that is there takes its place."""
+    both = history.withColumn("turn", F.lit(0)).unionByName(analyses.withColumn("turn", F.lit(1)))
+    return last_wins(both, ["analysis_id"], ["turn"]).drop("turn")

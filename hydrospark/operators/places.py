@@ -155,6 +155,22 @@ def others(listed: DataFrame, k: int = 4) -> DataFrame:
     return x.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).drop("n")
 
 
+def lake_search(spots: DataFrame, lakes: DataFrame, metres: float = 15_000.0, k: int = 10, listed: int = 4) -> DataFrame:
+    """(key, name, km, rank, others): of each spot (key, lon, lat) the named lakes (key, lon, lat, name) around it as `nearby` lists them, each with the first `listed` others of its list."""
+    near = nearby(within(spots, lakes, metres), lakes.select("key", "name"), k)
+    around = F.sort_array(F.collect_list(F.struct("rank", "name")).over(Window.partitionBy("key")))  # k at most
+    rest = F.filter(around, lambda x: x["rank"] != F.col("rank"))
+    return near.withColumn("others", F.slice(F.transform(rest, lambda x: x["name"]), 1, listed))
+
+
+def around_detected(detected: DataFrame, near: DataFrame, k: int = 5) -> DataFrame:
+    """(key, name, km, rank) of the first `k` of each spot's list that aren't the lake (key, name) detected there, whatever the case of its name; null, which is no lake, bars none."""
+    x = near.select("key", "name", "km", "rank").join(detected.select("key", F.lower("name").alias("own")), "key")
+    x = x.filter(F.col("own").isNull() | (F.lower("name") != F.col("own")))
+    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rank")))
+    return x.filter(F.col("rank") <= k).drop("own")
+
+
 def _any(text: Column, words: tuple[str, ...]) -> Column:
     return F.lower(text).rlike("|".join(words))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hydrospark.functions import confidence, geo, indices, narrative, prompts
-from hydrospark.operators import evidence, loading, places, reports, retrieval, scenes, scoring, variants, zones
+from hydrospark.operators import evidence, history, loading, places, reports, retrieval, scenes, scoring, variants, zones
 from hydrospark.plans import monitor
 from hydrospark.streaming import streams
 
@@ -218,3 +218,31 @@ def test_overlap_search(spark, block):
         want += [(i, n, j, -s) for n, (s, _, j) in enumerate(sorted(found)[:4], 1)]
     assert got == want
     assert retrieval.overlap_search(p.limit(0), q).count() == retrieval.overlap_search(p, q.limit(0)).count() == 0
+
+
+def test_analyses_are_scored_and_saved(spark):
+    """Of two scenes one has no masked pixel; a body without history is normal; an analysis made again takes the old one's place; no pixels."""
+    px = spark.createDataFrame([("a b", "2024-01-05", True, 0.9), ("a b", "2024-01-05", True, 0.7), ("a b", "2024-01-05", False, 9.0), ("a b", "2024-01-06", False, 0.5), ("c", "2024-01-05", True, 0.4), ("c", "2024-01-05", None, 0.4)], "body_id string, date string, wet boolean, x double")
+    old = spark.createDataFrame([(f"A_2023010{i}_ab", "a b", datetime.date(2023, 1, i), 0.1 * i, "NORMAL") for i in range(1, 8)] + [("A_20240105_ab", "a b", datetime.date(2024, 1, 5), 5.0, "HIGH")], "analysis_id string, body_id string, day date, ndti double, status string")
+    made = history.analyze(px, old, "wet", {"ndti": F.col("x")})
+    got = {r.analysis_id: r for r in made.collect()}
+    std = 0.02**0.5  # of 0.1, 0.2 ... 0.5
+    r = got["A_20240105_ab"]
+    assert (r.ndti, r.status, r.anomaly_score, r.sigma, r.priority) == (0.8, "HIGH", int(min(100, 0.5 / std / 4 * 100)), round(0.5 / std, 2), int(0.5 * int(0.5 / std / 4 * 100) + 30))
+    assert got["A_20240106_ab"].ndti == 0.0 and got["A_20240106_ab"].sigma == round(-0.3 / std, 2) and got["A_20240106_ab"].status == "NORMAL"
+    assert (got["A_20240105_c"].status, got["A_20240105_c"].anomaly_score, got["A_20240105_c"].priority, got["A_20240105_c"].sigma) == ("NORMAL", 0, 30, 0.0)
+    kept = {r.analysis_id: r.ndti for r in history.saved(old, made.select(*old.columns)).collect()}
+    assert len(kept) == 10 and kept["A_20240105_ab"] == 0.8 and history.analyze(px.limit(0), old, "wet", {"ndti": F.col("x")}).count() == 0
+
+
+def test_lake_search(spark):
+    """First place of each name, others of each list, nothing near, own name left out whatever its case, no lakes."""
+    spots = spark.createDataFrame([(1, 0.0, 0.0), (2, 90.0, 40.0)], "key long, lon double, lat double")
+    lakes = spark.createDataFrame([(i, 0.01 * i, 0.0, n) for i, n in enumerate(["A", "b", "A", None, "", "C", "d", "e", "F"], 1)], "key long, lon double, lat double, name string")
+    near = places.lake_search(spots, lakes)
+    got = [(r.key, r.name, r.rank, list(r.others)) for r in near.orderBy("rank").collect()]
+    assert got == [(1, n, i + 1, [x for x in "AbCdeF" if x != n][:4]) for i, n in enumerate("AbCdeF")]
+    own = spark.createDataFrame([(1, "B"), (2, None)], "key long, name string")
+    assert [(r.name, r["rank"]) for r in places.around_detected(own, near).orderBy("rank").collect()] == [(n, i + 1) for i, n in enumerate("ACdeF")]
+    assert [r.name for r in places.around_detected(own.withColumn("name", F.lit(None).cast("string")), near, 3).orderBy("rank").collect()] == ["A", "b", "C"]
+    assert places.lake_search(spots, lakes.limit(0)).count() == 0
