@@ -257,7 +257,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     1. The anchors of every row's windows (see `_Runs`) are counted with the least and largest id that has them, summed on the map side.
        An anchor of one id only can't repeat. The others are joined with the rows' anchors, which are found anew as that costs less
-       than to keep them on disk, and return to their rows by id.
+       than to keep them on disk, and return to their rows by a hash of id and text (where two rows share it, each gets the other's
+       anchors too, which also repeat and change nothing).
     2. The runs of these anchors go on with their words, as hashes. Equal runs are summed to one row with its least
        id, so any number of copies of a passage is one row from here on.
     3. Distinct runs are exchanged by anchor and cut to shards at anchors. Each shard gets an FM-index; its runs are streamed
@@ -265,17 +266,17 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
        rows have would make a shard of their own that grows with the input; their runs go on as single windows, dealt out by their hash.
     4. A run whose id isn't the least that has it repeats as a whole; the others repeat where the index says so.
 
-    Nothing is collected or sent to all tasks. What one row gathers are its own anchors (of all rows that repeat its id).
+    Nothing is collected or sent to all tasks. What one row gathers are its own anchors, once however many rows repeat its id or its id and text.
     """
     python_workers(docs.sparkSession)
     assert gram < length <= 16, "the index is sorted by 16 words"
     ident = F.coalesce(F.col(q(id_col)).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(ident.alias("id"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
-    pairs = rows.select("id", "text").mapInArrow(functools.partial(_anchors, length=length, gram=gram), "anchor long, id long")
-    anchors = pairs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("c")).filter("a < b")
+    rows = docs.select(ident.alias("id"), F.xxhash64(text_of(text_col)).alias("key"), F.xxhash64(ident, text_of(text_col)).alias("row"), text_of(text_col).alias("text"))
+    anchors_of = lambda who: rows.select(F.col(who).alias("id"), "text").mapInArrow(functools.partial(_anchors, length=length, gram=gram), "anchor long, id long")
+    anchors = anchors_of("id").groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("c")).filter("a < b")
     anchors = scratch(anchors.select("anchor", (F.col("c") > hot).alias("hot")), "fm-anchors")
-    wanted = pairs.join(anchors, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    again = scratch(rows.join(wanted, "id"), "fm-rows")
+    wanted = anchors_of("row").join(anchors, "anchor").groupBy(F.col("id").alias("row")).agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    again = scratch(rows.join(wanted, "row").select("id", "key", "text", "anchors", "hot"), "fm-rows")
     runs = again.mapInArrow(functools.partial(_bodies, length=length, gram=gram), "route long, id long, key long, start int, n int, body binary")
     runs = runs.withColumns({"h1": F.xxhash64("body"), "h2": F.xxhash64(F.lit(1), F.col("body"))})
     distinct = runs.groupBy("route", "body").agg(F.min("id").alias("first_id"))
@@ -284,7 +285,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     at = runs.select("id", "key", "start", "n", "h1", "h2").join(found, ["h1", "h2"])
     bits = F.when(F.col("id") > F.col("first_id"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("flags"))
     at = at.select("id", "key", F.struct("start", bits.alias("bits")).alias("spot")).filter("spot.bits != 0")
-    return at.groupBy("id", "key").agg(F.collect_list("spot").alias("spots"))
+    return at.groupBy("id", "key").agg(F.collect_set("spot").alias("spots"))  # rows that repeat id and text bring the same spots
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, **options) -> DataFrame:

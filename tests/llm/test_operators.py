@@ -1,6 +1,8 @@
 """Every operator on one table of nulls, empty and long texts, repeats and clashing names, against brute force; and on an empty table."""
 
+import glob
 import hashlib
+import os
 import random
 import zlib
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hydrospark.llm import chat_format, exact_dedup, fm_index, mixing, quality_rules, rans, sharding, shingle_dedup, simhash, token_counts, wfst
+from hydrospark.llm.common import shared_dir
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, id string, `a.b` string"
@@ -191,6 +194,21 @@ def test_substring_dedup(docs, none, options):
         assert fm_index.remove_repeats(none).count() == 0
 
 
+def test_fm_index_ids_that_repeat(spark):
+    """Many rows without id, some with equal texts too, each gather their own anchors once, and lose what an id before them has and nothing else."""
+    r = random.Random(9)
+    prose = lambda n: " ".join(str(r.randint(0, 10**6)) for _ in range(n))
+    passages = [prose(20) for _ in range(400)]
+    texts = [prose(10) + " " + p for p in passages]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7777, p + " " + prose(10)) for p in passages] + [(7777, "same " + passages[0])] * 600
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fm_index.remove_repeats(docs).collect()
+    newest = max(glob.glob(f"{shared_dir(spark)}/fm-rows-*"), key=os.path.getmtime)
+    lists = spark.read.parquet(newest).select("id", F.size("anchors").alias("n")).collect()
+    assert len(lists) == len(rows) and max(x.n for x in lists) <= 20
+    assert all(x.n_removed == (0 if x.doc_id < 7777 else 20) for x in got) and len(got) == len(rows)
+
+
 def test_word_hashes():
     """Equal words have equal hashes and others don't, wherever they stand; the words are those of `split`."""
     r = random.Random(8)
