@@ -130,6 +130,15 @@ zs AS (SELECT body_id, zone_id, date, bool_or(hit) AS flagged, CASE WHEN bool_or
   CASE WHEN min(samples) < 8 THEN min(samples) / 8.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence, min(samples) < 8 AS few, bool_or(used_fallback) AS pooled,
   coalesce(arg_max(indicator, (abs(z), -o)) FILTER (hit AND isfinite(z)), 'turbidity') AS dom, coalesce(max(abs(z)) FILTER (hit AND isfinite(z)), 0) AS dom_sigma FROM ct GROUP BY ALL),
 zr AS (SELECT zs.*, concat_ws(',', why, CASE WHEN few THEN 'baseline_sample_size' END, CASE WHEN pooled THEN 'season_pool_fallback' END) AS reasons FROM zs LEFT JOIN rs USING (body_id, zone_id, date))"""
+
+
+def altered(paint: str, base: str) -> str:
+    """SCORES with `paint` (pix, from pix0: the pixels as given) in place of the pixels and `base` (bl) in place of the baselines."""
+    head, rest = SCORES.split("FROM lineitem),", 1)
+    i, j = rest.index("bl AS ("), rest.index("wb AS (SELECT so.*")
+    return f"pix0{head.removeprefix('pix')}FROM lineitem),\n{paint}{rest[:i]}{base}{rest[j:]}"
+
+
 PLACES = """zn AS (SELECT 'wb-' || n AS body_id, 'z' || z AS zone_id, CAST(n * 37 + z * 3 AS DOUBLE) AS lon, CAST(n * 11 - 20 AS DOUBLE) AS lat FROM (SELECT DISTINCT s_suppkey % 4 AS n FROM supplier), range(3) r(z)),
 pt AS (SELECT kind, k * 7919 % 36000 / 100.0::DOUBLE - 180 AS lon, k * 104729 % 17000 / 100.0::DOUBLE - 85 AS lat, CASE WHEN k % 5 < 4 THEN 'wb-' || (k % 5) END AS owner
   FROM (SELECT 'intake' AS kind, CAST(s_suppkey AS BIGINT) AS k FROM supplier UNION ALL SELECT 'settlement', CAST(n_nationkey AS BIGINT) FROM nation)),

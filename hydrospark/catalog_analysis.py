@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import LOOSE, SCORES, _r
-from .operators import scenes, scoring
-from .plans import analysis, feeds
+from .catalog import DIST, LOOSE, OBS, PLACES, SCORES, _r, altered
+from .operators import evidence, scenes, scoring
+from .plans import analysis, feeds, whatif
 from .sources import contracts
 from .sources import tables as t
 from .sources.shared import shared_path, written
@@ -108,6 +108,78 @@ def c6(spark, d):
     return x.select("body_id", "zone_id", "indicator", "date", "status", _r("value", 4), _r("baseline_mean"), _r("baseline_std"), "confidence")
 
 
+def _whatif(spark, d):
+    """A plume for every nation: wb-4 isn't known, 2030 has no scene, some lie outside, 1998 lacks a band of the red edge, wb-1 in July another one, and wb-3 has no baseline."""
+    p = t.pixels(spark, d)
+    base = written(scoring.fit_baselines(scenes.zone_observations(p, LOOSE).filter("body_id <> 'wb-3'")), "baselines")
+    days = written(p.select("body_id", "date").distinct(), "days")
+    at = {"a": 0.01, "e": -0.01, "c": 75.0, "f": 17.0, "height": 64, "width": 64}
+    k, month = F.col("n_nationkey").cast("long"), F.col("n_nationkey") % 4 * 3 + 1
+    asked = t.table(spark, d, "nation").select(
+        k.cast("string").alias("request_id"), F.concat(F.lit("wb-"), (k % 5).cast("string")).alias("body_id"), F.format_string("%d%02d01", F.when(k % 9 == 7, 2030).otherwise(1995 + k % 7), month.cast("int")).alias("date"),
+        F.get(F.array(*map(F.lit, ("turbidity", "transparency", "chlorophyll"))), (k % 3).cast("int")).alias("indicator"), (75.005 + k * 17 % 70 / 100).alias("lon"), (16.995 - (k * 11 + 5) % 70 / 100).alias("lat"),
+        (8000.0 + 2000 * (k % 9)).alias("radius_m"), (2.0 * (1 + k % 4)).alias("magnitude"),
+    )
+    grids = days.select("body_id", "date", *(F.lit(v).alias(n) for n, v in at.items()))
+    return whatif.plumes(spark, asked, t.bodies(spark, d), scene_files(days), grids, p, base, t.zones(spark, d), t.points(spark, d, "supplier"), t.points(spark, d, "nation"), s=LOOSE)
+
+
+_ADD = "magnitude * greatest(0, least(1, 1 - sqrt(pow(r - row, 2) + pow(c - col, 2)) / radius))"
+PLUMES = f"""WITH bl0 AS (WITH {OBS} SELECT * FROM bl WHERE body_id <> 'wb-3'),
+nq AS (SELECT CAST(n_nationkey AS VARCHAR) AS request_id, 'wb-' || (n_nationkey % 5) AS body_id, printf('%d%02d01', CASE WHEN n_nationkey % 9 = 7 THEN 2030 ELSE 1995 + n_nationkey % 7 END, n_nationkey % 4 * 3 + 1) AS date,
+  ['turbidity', 'transparency', 'chlorophyll'][n_nationkey % 3 + 1] AS indicator, n_nationkey * 17 % 70 AS col, (n_nationkey * 11 + 5) % 70 AS row,
+  (8000.0::DOUBLE + 2000 * (n_nationkey % 9)) / (0.01::DOUBLE * 111320 * cos(radians(16.995::DOUBLE - (n_nationkey * 11 + 5) % 70 / 100.0::DOUBLE))) AS radius, 2.0::DOUBLE * (1 + n_nationkey % 4) AS magnitude FROM nation),
+""" + altered(
+    f"""rq AS (SELECT *, CASE WHEN body_id = 'wb-4' THEN 'unknown_water_body' WHEN (body_id, date) NOT IN (SELECT DISTINCT (body_id, date) FROM pix0) THEN 'scene_folder_missing' WHEN row >= 64 OR col >= 64 THEN 'plume_outside_scene'
+  WHEN indicator = 'chlorophyll' AND starts_with(date, '1998') THEN 'chlorophyll_requires_red_edge' END AS refused FROM nq),
+pix AS (SELECT request_id AS body_id, date, r, c, CAST(b02 AS DOUBLE) + CASE WHEN indicator = 'transparency' THEN {_ADD} ELSE 0 END AS b02, b03, CAST(b04 AS DOUBLE) + CASE WHEN indicator = 'turbidity' THEN {_ADD} ELSE 0 END AS b04,
+  CAST(b05 AS DOUBLE) + CASE WHEN indicator = 'chlorophyll' THEN {_ADD} ELSE 0 END AS b05, b06, b08, scl FROM pix0 JOIN rq USING (body_id, date) WHERE refused IS NULL AND NOT (body_id = 'wb-1' AND date[5:6] = '07')),""",
+    "bl AS (SELECT bl0.* REPLACE (request_id AS body_id) FROM bl0 JOIN rq ON rq.body_id = bl0.body_id AND refused IS NULL),",
+).replace("FROM cmp)", "FROM cmp WHERE NOT (indicator = 'chlorophyll' AND starts_with(date, '1998')))") + """,
+an AS (SELECT zr.* EXCLUDE (body_id, confidence, reasons), zr.body_id AS request_id, rq.body_id, least(0.55::DOUBLE, confidence) AS confidence,
+  concat_ws(',', 'segmentation_model_unavailable', CASE WHEN starts_with(zr.date, '1998') THEN 'missing_red_edge_bands' END, nullif(reasons, '')) AS reasons FROM zr JOIN rq ON zr.body_id = rq.request_id)"""
+
+
+@query("c10_plume_responses", f"""{PLUMES}, g AS (SELECT body_id AS request_id, avg(CAST(valid AND inside AS DOUBLE)) AS f, sum(CAST(water AS BIGINT)) * 100.0::DOUBLE AS extent FROM m GROUP BY ALL),
+lz AS (SELECT request_id, min(confidence) AS least, min(CASE WHEN flagged THEN confidence END) AS fed FROM an GROUP BY ALL),
+x AS (SELECT rq.*, f, extent, least, fed, CASE WHEN refused IS NOT NULL THEN 'no' WHEN body_id = 'wb-1' AND date[5:6] = '07' THEN 'lacks' WHEN f < 0.4 THEN 'gate' WHEN least IS NULL THEN 'bare' ELSE 'ok' END AS k FROM rq LEFT JOIN g USING (request_id) LEFT JOIN lz USING (request_id)),
+y AS (SELECT *, CASE WHEN k IN ('no', 'lacks', 'gate') THEN 0.0::DOUBLE ELSE least(0.55::DOUBLE, coalesce(least, 1.0::DOUBLE)) END AS confidence FROM x)
+SELECT request_id, body_id, date, CASE k WHEN 'no' THEN CASE WHEN refused = 'scene_folder_missing' THEN 'missing' ELSE 'unusable' END WHEN 'lacks' THEN 'unusable' WHEN 'gate' THEN 'insufficient_data' WHEN 'bare' THEN 'no_baseline' ELSE 'ok' END AS status,
+  CASE k WHEN 'no' THEN refused WHEN 'lacks' THEN 'missing_bands:b12' WHEN 'gate' THEN printf('valid_fraction:%.3f', f) WHEN 'bare' THEN 'missing_baseline' END AS reason, confidence,
+  CASE k WHEN 'no' THEN CASE refused WHEN 'scene_folder_missing' THEN 'scene_missing' WHEN 'chlorophyll_requires_red_edge' THEN 'driving_band_missing' ELSE refused END WHEN 'lacks' THEN 'missing_bands,synthetic_plume' WHEN 'gate' THEN 'insufficient_data,synthetic_plume'
+    ELSE concat_ws(',', 'segmentation_model_unavailable', CASE WHEN starts_with(date, '1998') THEN 'missing_red_edge_bands' END, CASE WHEN k = 'bare' THEN 'missing_baseline' END, 'synthetic_plume') END AS reasons,
+  CASE WHEN k IN ('bare', 'ok') THEN extent END AS scene_extent_m2, coalesce(fed, confidence) AS feed_confidence FROM y""")
+def c10_responses(spark, d):
+    r = _whatif(spark, d).responses
+    return r.select("request_id", "body_id", "date", "status", "reason", "confidence", F.array_join("confidence_reasons", ",").alias("reasons"), "scene_extent_m2", "feed_confidence")
+
+
+@query("c10_plume_evidence", f"""{PLUMES}, cd AS (SELECT body_id AS request_id, zone_id, count(*) AS n, max(CASE WHEN indicator = 'extent' THEN value - mean END) AS change, round(sum(value), 4) AS total FROM ct GROUP BY ALL)
+SELECT request_id, 'ev-' || body_id || '-' || zone_id || '-' || date AS evidence_id, flagged, CAST(n AS INT) AS comparisons, round(total, 4) AS total, round(change, 6) AS extent_change_m2,
+  coalesce(regexp_replace(contributing, '([a-z]+)', '\\1>1.5sigma', 'g'), '') AS crossed, confidence, reasons FROM an JOIN cd USING (request_id, zone_id)""")
+def c10_evidence(spark, d):
+    c = _whatif(spark, d).evidence
+    total = F.round(F.aggregate("comparisons", F.lit(0.0), lambda a, x: a + x["value"]), 4)
+    return c.select("request_id", "evidence_id", "flagged", F.size("comparisons").alias("comparisons"), total.alias("total"), _r("extent_change_m2"), F.array_join("thresholds_crossed", ",").alias("crossed"), "confidence", F.array_join("confidence_reasons", ",").alias("reasons"))
+
+
+@query("c10_plume_alerts", f"""{PLUMES}, x AS (SELECT *, CASE WHEN dom_sigma > 5 THEN 'severe' WHEN dom_sigma > 4 THEN 'warning' ELSE 'watch' END AS sev FROM an WHERE flagged)
+SELECT request_id, 'al-' || body_id || '-' || zone_id || '-' || date || '-' || dom AS alert_id, 'ev-' || body_id || '-' || zone_id || '-' || date AS evidence_id, sev AS severity,
+  upper(sev[1]) || sev[2:] || ' relative ' || dom || ' signal at ' || zone_id || ', Lake ' || body_id[4:] || ', on ' || date[1:4] || '-' || date[5:6] || '-' || date[7:8] || 'T00:00:00Z. Confidence ' || printf('%.2f', confidence) ||
+  '. Evidence ev-' || body_id || '-' || zone_id || '-' || date || '. Laboratory verification is required before any operational decision.' AS template FROM x""")
+def c10_alerts(spark, d):
+    return _whatif(spark, d).alerts.select("request_id", "alert_id", "evidence_id", "severity", "template")
+
+
+@query("c10_plume_sites", f"""{PLUMES}, {PLACES.format(DIST)}, x AS (SELECT an.*, least(1.0::DOUBLE, max_sigma / 6) AS severity_factor, 0.7::DOUBLE * coalesce(1 / (1 + intake_m / 5000), 0) + 0.3::DOUBLE * coalesce(1 / (1 + settlement_m / 5000), 0) AS proximity
+  FROM an LEFT JOIN ds USING (body_id, zone_id) WHERE flagged)
+SELECT request_id, body_id, zone_id, date, CAST(row_number() OVER (PARTITION BY request_id ORDER BY severity_factor * proximity DESC, zone_id) AS INT) AS rank, round(severity_factor * proximity, 9) AS priority, round(severity_factor, 6) AS severity_factor,
+  1.0::DOUBLE AS persistence, round(proximity, 9) AS proximity, contributing, confidence FROM x""")
+def c10_sites(spark, d):
+    s = _whatif(spark, d).sites
+    return s.select("request_id", "body_id", "zone_id", "date", "rank", _r("priority", 9), _r("severity_factor"), "persistence", _r("proximity", 9), F.array_join("contributing", ",").alias("contributing"), "confidence")
+
+
 RECORD = (
     '{"analysis_id": "a%d", "timestamp": "2024-01-01T00:00:00Z", "location": {%s"coordinates": [%s, 17.5]}, "satellite_data": {"source": "S2", "scene_date": "2024-01-01"}, '
     '"water_detection": {"model_used": "m", "water_surface_area_sq_km": %s}, "contamination_detection": {"model_used": "n", "indicators": {"ndti": 0.1}, "anomaly_status": "%s", "confidence_score": %s}, '

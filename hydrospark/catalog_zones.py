@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .catalog import DIST, HIST, LOOSE, OBS, PIXELS, PTS, SCORES, _r, _scored
+from .catalog import DIST, HIST, LOOSE, OBS, PIXELS, PTS, SCORES, _r, _scored, altered
 from .catalog_files import FILES, _scenes
 from .functions import geo, indices, narrative, prompts, splitter
 from .operators import evidence, history, inventory, loading, places, reports, scenes, scoring, zones
@@ -186,12 +186,14 @@ def c10(spark, d):
     return p.groupBy("body_id", "date").agg(F.round(F.avg("b04"), 9).alias("red"))
 
 
-@query("c10_plume_scores", f"WITH {SCORES} SELECT body_id, zone_id, date, true AS synthetic FROM zs")
+@query("c10_plume_scores", f"""WITH bl0 AS (WITH {OBS} SELECT * FROM bl), {altered("pix AS (SELECT * REPLACE (CAST(b04 AS DOUBLE) + 0.5 * greatest(0, least(1, 1 - sqrt(pow(r - 20, 2) + pow(c - 20, 2)) / 8)) AS b04) FROM pix0),", "bl AS (SELECT * FROM bl0),")},
+fs AS (SELECT body_id, zone_id, date, coalesce(sum(CASE WHEN w > 0 THEN w * least(abs(z), 6) END) / nullif(sum(CASE WHEN w > 0 AND z IS NOT NULL THEN w END), 0), 0) AS fused FROM ct GROUP BY ALL)
+SELECT body_id, zone_id, date, flagged, round(fused, 5) AS fused_score, coalesce(contributing, '') AS contributing, concat_ws(',', nullif(reasons, ''), 'synthetic_plume') AS reasons FROM zr JOIN fs USING (body_id, zone_id, date)""")
 def c10s(spark, d):
     p = t.pixels(spark, d)
     base = scoring.fit_baselines(scenes.zone_observations(p))
     x = monitor.plume_scores(p, base, "turbidity", 20, 20, 8, 0.5, LOOSE)
-    return x.select("body_id", "zone_id", "date", F.array_contains("reasons", "synthetic_plume").alias("synthetic"))
+    return x.select("body_id", "zone_id", "date", "flagged", _r("fused_score", 5), F.array_join("contributing", ",").alias("contributing"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("f29_pixel_of", f"WITH {PTS.format('a', 'c_custkey', 'customer')}, p AS (SELECT key, CAST(floor((lat - 60) / -0.5) AS INT) AS r, CAST(floor((lon + 100) / 0.5) AS INT) AS c FROM a) SELECT key, CASE WHEN r BETWEEN 0 AND 239 AND c BETWEEN 0 AND 399 THEN CAST(r AS DOUBLE) END AS row, CASE WHEN r BETWEEN 0 AND 239 AND c BETWEEN 0 AND 399 THEN CAST(c AS DOUBLE) END AS col FROM p")

@@ -46,6 +46,11 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def products(spark: SparkSession, store: str) -> DataFrame:
+    """The observations (body, zone, date, indicator, value) that a product store holds."""
+    return _stored(spark, f"{store}/products", _PRODUCTS).drop("scene_hash")
+
+
 def _compute(pixels: DataFrame, todo: DataFrame, store: str, model: str | None, s: Settings) -> None:
     """Products of some scenes (with scene_hash and the red-edge bands they lack) into the store; a scene written again replaces itself only."""
     lacks = todo.filter(F.col("date").rlike(r"\A\d{8}\z")).select(*KEY, (F.size("no_red_edge") > 0).alias("no_red_edge"))  # a filter, for which Spark prunes partitions by this table

@@ -46,7 +46,7 @@ def intensified(pixels: DataFrame, dates: DataFrame, band: str = "b04", factor:
 DRIVING = {"turbidity": "b04", "transparency": "b02", "chlorophyll": "b05"}
 
 
-def pixel_of(lon: Column, lat: Column, a: float, e: float, c: float, f: float, height: int, width: int) -> Column:
+def pixel_of(lon: Column, lat: Column, a: Column | float, e: Column | float, c: Column | float, f: Column | float, height: Column | int, width: Column | int) -> Column:
     """(row, col) of a place on a grid; outside: null."""
     row, col = F.floor((lat - f) / e), F.floor((lon - c) / a)
     return F.when(row.between(0, height - 1) & col.between(0, width - 1), F.struct(row.cast("int").alias("row"), col.cast("int").alias("col")))
