@@ -13,8 +13,9 @@ from .catalog_files import FILES, _scenes
 from .functions import geo, indices, narrative, prompts, splitter
 from .operators import evidence, history, inventory, loading, places, reports, scenes, scoring, zones
 from .plans import monitor
+from .sources import sinks
 from .sources import tables as t
-from .sources.shared import ship, written
+from .sources.shared import shared_path, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -173,6 +174,17 @@ def j3(spark, d):
     return scoring.unscored(o, scoring.fit_baselines(o.filter("zone_id <> 'z1'")))
 
 
+@query("s22_mask_rows", f"""WITH {PIXELS} SELECT body_id, date, CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col, count(*) AS n, round(75.0::DOUBLE + 0.01::DOUBLE * (c + 0.5::DOUBLE), 6) AS x, round(17.0::DOUBLE - 0.01::DOUBLE * (r + 0.5::DOUBLE), 6) AS y,
+  count(*) FILTER (valid AND CASE WHEN r % 3 = 0 THEN wet ELSE b08 < 0.4 END) AS water FROM px GROUP BY ALL""")
+def s22(spark, d):
+    """Masks of all scenes, written by scene with the places of their pixels and read back."""
+    p, path = t.pixels(spark, d).withColumn("model", F.when(F.col("row") % 3 != 0, F.col("b08") < 0.4)), shared_path(spark, "masks")
+    grids = written(p.select("body_id", "date").distinct().select("*", F.lit(0.01).alias("a"), F.lit(-0.01).alias("e"), F.lit(75.0).alias("c"), F.lit(17.0).alias("f")), "grids")
+    sinks.write_masks(loading.mask_rows(p, "model"), grids, path, files=1)  # these scenes are small
+    m = sinks.read_masks(spark, path)
+    return m.groupBy("body_id", "date", "row", "col", _r("x"), _r("y")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("water").cast("long")).alias("water"))
+
+
 @query("j4_adjusted_baselines", f"WITH {OBS} SELECT body_id, zone_id, indicator, season, round(CASE WHEN zone_id = 'z0' THEN mean * 2 + 1 ELSE mean END, 6) AS mean, round(CASE WHEN zone_id = 'z0' THEN std * 2 ELSE std END, 6) AS std FROM bl")
 def j4(spark, d):
     b = scoring.fit_baselines(scenes.zone_observations(t.pixels(spark, d)))

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import small
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """`old` with the rows of `new` in place of those with equal keys; of new rows that repeat a key, the last by `order` is left.
 
@@ -27,6 +30,24 @@ def write_products(products: DataFrame, path: str) -> None:
     out.partitionBy("body_id", "date", "scene_hash").parquet(path)
 
 
+def write_masks(masks: DataFrame, grids: DataFrame, path: str, files: int = 8) -> None:
+    """Rows (body_id, date, row, col, x, y, water) of masks, water as 0 or 1, with the middle of each pixel on its scene's grid (body_id, date, a, e, c, f); without a grid x and y are null.
+
+    Partitions are scenes, each in up to `files` files, so that a large scene isn't one task's; a scene that is written again replaces itself only, so the masks must not be read from `path`. Null water counts as 0.
+    """
+    scene = ["body_id", "date"]
+    x = masks.select(*scene, "row", "col", F.coalesce(F.col("water").cast("byte"), F.lit(0).cast("byte")).alias("water")).join(small(grids.select(*scene, *"aecf")), scene, "left")
+    middle = lambda start, step, n: (F.col(start) + F.col(step) * (F.col(n) + 0.5)).cast("double")
+    rows = x.select("row", "col", middle("c", "a", "col").alias("x"), middle("f", "e", "row").alias("y"), "water", *scene)
+    dealt = rows.repartition(*scene, F.pmod(F.xxhash64("row"), F.lit(files)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*scene).parquet(path)
+
+
+def read_masks(spark: SparkSession, path: str) -> DataFrame:
+    """The mask rows; a filter on body_id and date reads these scenes only."""
+    return spark.read.schema("row long, col long, x double, y double, water byte, body_id string, date string").parquet(path)
+
+
 def read_products(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """The products of scenes that have all `required` indicators."""
     p = spark.read.parquet(path)

@@ -78,3 +78,17 @@ def test_daily_stream(spark, tmp_path):
     w = s.writeStream.format("memory").queryName("daily_counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     w.awaitTermination(120)
     assert sorted((r.event_type, r.n, r["mean"]) for r in spark.table("daily_counts").select("event_type", F.col("n"), "mean").collect()) == [("click", 2, 2.0), ("view", 1, 5.0)]
+
+
+def test_masks_by_scene(spark, tmp_path):
+    """A round trip with places; a scene that is written again replaces itself only, a filter reads its partition only, and a scene without a grid has no places."""
+    path, rows = str(tmp_path / "masks"), "body_id string, date string, row long, col long, water boolean"
+    grids = spark.createDataFrame([("b", "20200101", 10.0, -10.0, 500.0, 900.0)], "body_id string, date string, a double, e double, c double, f double")
+    sinks.write_masks(spark.createDataFrame([("b", "20200101", 0, 0, True), ("b", "20200101", 2, 1, None), ("b", "20200102", 0, 0, False)], rows), grids, path)
+    sinks.write_masks(spark.createDataFrame([("b", "20200102", 5, 6, True)], rows), grids, path)
+    m = sinks.read_masks(spark, path)
+    assert {tuple(r) for r in m.collect()} == {(0, 0, 505.0, 895.0, 1, "b", "20200101"), (2, 1, 515.0, 875.0, 0, "b", "20200101"), (5, 6, None, None, 1, "b", "20200102")}
+    plan = m.filter("date = '20200102'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and m.filter("date = '20200102'").count() == 1
+    sinks.write_masks(spark.createDataFrame([], rows), grids, path)
+    assert m.count() == 3
