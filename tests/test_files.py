@@ -92,3 +92,19 @@ def test_masks_by_scene(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(date" in plan and m.filter("date = '20200102'").count() == 1
     sinks.write_masks(spark.createDataFrame([], rows), grids, path)
     assert m.count() == 3
+
+
+def test_score_stream(spark, tmp_path):
+    """Observations that come in two files get the comparisons that a batch over both gives; baselines are static, and a zone without one has no row."""
+    known = spark.createDataFrame([("b", "z0", "extent", "DJF", 10.0, 2.0, 9), ("b", "z0", "extent", "ALL", 12.0, 3.0, 20), ("b", "z1", "turbidity", "ALL", 1.0, 0.0, 4)], "body_id string, zone_id string, indicator string, season string, mean double, std double, samples long")
+    schema = "body_id string, zone_id string, date string, indicator string, value double"
+    come = [[("b", "z0", "20200105", "extent", 30.0), ("b", "z1", "20200105", "turbidity", 1.5), ("b", "z9", "20200105", "extent", 1.0)], [("b", "z0", "20200705", "extent", None), ("b", "z0", "20200706", "extent", 12.0)]]
+    source, where = str(tmp_path / "come"), str(tmp_path / "scored")
+    for rows in come:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = streams.score_stream(spark.readStream.schema(schema).parquet(source), known)
+        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(where).awaitTermination()
+    got, one = spark.read.parquet(where), streams.score_stream(spark.read.schema(schema).parquet(source), known)
+    key = lambda t: sorted(map(repr, t.select("zone_id", "date", "indicator", "value", "mean", "sigma", "crossed", "used_fallback", "reason").collect()))
+    assert key(got) == key(one) and got.count() == 4
+    assert {(r.zone_id, r.date): r.crossed for r in got.collect()} == {("z0", "20200105"): True, ("z1", "20200105"): True, ("z0", "20200705"): False, ("z0", "20200706"): False}
