@@ -1,8 +1,12 @@
 """Cases from reviews: edges of polygons, and searches whose work has to grow with the table, against brute force."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from hydrospark.functions import geo
+from hydrospark.operators import places, reports
 
 
 def test_places_on_edges(spark):
@@ -13,3 +17,25 @@ def test_places_on_edges(spark):
     df = spark.createDataFrame(pts, "lon double, lat double")
     got = {(r.lon, r.lat): r.x for r in df.withColumn("x", geo.within_polygon(F.col("lon"), F.col("lat"), rings)).collect()}
     assert got == {(x, y): abs(x) + abs(y) < 60 and not (-10 < x < 10 and -10 < y < 10) for x, y in pts}
+
+
+def scattered(spark, seed, n, crowd):
+    """Places all over, a third of them crowded, some at one place."""
+    r = random.Random(seed)
+    pts = [(i, r.uniform(-180, 180), r.uniform(-90, 90)) if i % 3 else (i, 20 + r.uniform(-crowd, crowd), 5 + r.uniform(-crowd, crowd)) for i in range(n)] + [(n + i, 20.0, 5.0) for i in range(5)]
+    return pts, spark.createDataFrame(pts, "key long, lon double, lat double")
+
+
+def metres(a, b):
+    return reports.metres_apart(a[1], a[2], b[1], b[2])
+
+
+@pytest.mark.parametrize("task", [500, 4_000_000])
+def test_crowded_cells_are_dealt_out(spark, monkeypatch, task):
+    """Every pair once, whatever a task may hold, and no task of a crowded cell has more pairs than it should."""
+    monkeypatch.setattr(places, "_TASK", task)
+    (p, a), (q, b) = scattered(spark, 1, 200, 3), scattered(spark, 2, 150, 3)
+    got = sorted((x.key, x.to) for x in places.within(a, b, 700_000).collect())
+    assert got == sorted((x[0], y[0]) for x in p for y in q if metres(x, y) <= 700_000)
+    met = places._meeting(*places._celled(a, places._goals(b), 700_000), 700_000, ["band", "cell"])
+    assert task > 500 or max(r.n for r in met.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()) < len(got) / 4
