@@ -39,3 +39,27 @@ def test_crowded_cells_are_dealt_out(spark, monkeypatch, task):
     assert got == sorted((x[0], y[0]) for x in p for y in q if metres(x, y) <= 700_000)
     met = places._meeting(*places._celled(a, places._goals(b), 700_000), 700_000, ["band", "cell"])
     assert task > 500 or max(r.n for r in met.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()) < len(got) / 4
+
+
+def met_pairs(monkeypatch):
+    """Pairs that each join of cells is about to make."""
+    seen, own = [], places._meeting
+
+    def meeting(a, b, far, on):
+        seen.append(places._loads(a, b, on)[1])
+        return own(a, b, far, on)
+
+    monkeypatch.setattr(places, "_meeting", meeting)
+    return seen
+
+
+def test_nearest_within(spark, monkeypatch):
+    """As all pairs would have it, ties too, by far fewer pairs."""
+    seen = met_pairs(monkeypatch)
+    (p, a), (q, b) = scattered(spark, 3, 300, 30), scattered(spark, 4, 1500, 30)
+    got = {(r.key, r["rank"]): r.to for r in places.nearest_within(a, b, 5_000_000, 3).collect()}
+    want = {(x[0], n): y[0] for x in p for n, y in enumerate(sorted((y for y in q if metres(x, y) <= 5_000_000), key=lambda y: (metres(x, y), y[0]))[:3], 1)}
+    assert got == want
+    assert len(seen) > 1 and sum(seen) < 0.6 * places._loads(*places._celled(a, places._goals(b), 5_000_000), ["band", "cell"])[1]
+    far = places.nearest_within(a, b.limit(2), 1000.0, 3)
+    assert far.count() == sum(metres(x, y) <= 1000 for x in p for y in [(r.key, r.lon, r.lat) for r in b.limit(2).collect()])
