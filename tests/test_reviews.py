@@ -63,3 +63,19 @@ def test_nearest_within(spark, monkeypatch):
     assert len(seen) > 1 and sum(seen) < 0.6 * places._loads(*places._celled(a, places._goals(b), 5_000_000), ["band", "cell"])[1]
     far = places.nearest_within(a, b.limit(2), 1000.0, 3)
     assert far.count() == sum(metres(x, y) <= 1000 for x in p for y in [(r.key, r.lon, r.lat) for r in b.limit(2).collect()])
+
+
+def test_first_of_every_name(spark, monkeypatch):
+    """As all pairs would have it, rare names too, though most spots never meet most lakes."""
+    seen = met_pairs(monkeypatch)
+    (p, a), (q, _) = scattered(spark, 5, 150, 60), scattered(spark, 6, 3000, 60)
+    named = [(*y, "rare" if y[0] % 700 == 3 else None if y[0] % 11 == 0 else f"n{y[0] % 3}") for y in q]
+    lakes = spark.createDataFrame(named, "key long, lon double, lat double, name string")
+    got = {(r.key, r.name): r.to for r in places.first_named(a, lakes, 4_000_000).collect()}
+    want = {}
+    for x in p:
+        for y in named:
+            if y[3] and metres(x, y) <= 4_000_000:
+                want.setdefault((x[0], y[3]), y[0])
+    assert got == want
+    assert len(seen) > 1 and sum(seen) < 0.4 * places._loads(*places._celled(a, places._goals(lakes), 4_000_000), ["band", "cell"])[1]
