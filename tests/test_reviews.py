@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hydrospark.functions import geo
 from hydrospark.operators import places, reports
+from hydrospark.sources import contracts
 
 
 def test_places_on_edges(spark):
@@ -79,3 +80,12 @@ def test_first_of_every_name(spark, monkeypatch):
                 want.setdefault((x[0], y[3]), y[0])
     assert got == want
     assert len(seen) > 1 and sum(seen) < 0.4 * places._loads(*places._celled(a, places._goals(lakes), 4_000_000), ["band", "cell"])[1]
+
+
+def test_contracts_are_checked_by_all_tasks(spark, tmp_path):
+    """A table of one partition is dealt out."""
+    rows = spark.range(0, 4000, 1, 1).select("id", F.concat(F.lit('{"analysis_id": "'), "id", F.lit('"}')).alias("record"))
+    contracts.store_checked(rows, str(tmp_path / "c"))
+    got = spark.read.parquet(str(tmp_path / "c"))
+    assert got.groupBy("reason", "accepted").count().collect() == [("timestamp:missing", False, 4000)]
+    assert got.select(F.input_file_name()).distinct().count() > 1
