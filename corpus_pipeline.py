@@ -12,7 +12,7 @@ from hydrospark.llm.common import cols, scratch
 from hydrospark.llm.exact_dedup import keep_first
 from hydrospark.llm.mixing import mixed_rows
 from hydrospark.llm.quality_rules import line_frequency
-from hydrospark.llm.shingle_dedup import drop_near_copies
+from hydrospark.llm.shingle_dedup import drop_near_copies, simhash_candidates
 from hydrospark.llm.wfst import encode_pieces
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,8 +30,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts whose sets of five-word shingles have similarity 0.8 or more, over any number of steps, the row with the least doc_id stays."""
-    return drop_near_copies(docs)
+    """Of texts whose sets of five-word shingles have similarity 0.8 or more, over any number of steps, the row with the least doc_id stays.
+
+    Operator 7 (SimHash with Golay keys) brings texts together, and so do MinHash buckets, since four bits reach few of the pairs near 0.8; the texts' whole sets decide on both.
+    """
+    return drop_near_copies(docs, candidates=simhash_candidates(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cols, q, scratch, python_workers, text_of
-from .simhash import _forest, components
+from .simhash import _forest, components, simhash_classes
 
 #: Texts of similarity s share a bucket with probability 1 - (1 - s^ROWS)^BANDS: 0.99993 at 0.8, more above.
 BANDS, ROWS = 24, 5
@@ -160,11 +160,18 @@ def shingle_links(docs: DataFrame, text_col: str, buckets: DataFrame, width: int
     return components(links)
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+def simhash_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(node, key): the texts that operator 7 brings together, one key for each of its components, found by Golay keys of the fingerprints of `width`-word shingles."""
+    slim, classes = simhash_classes(docs, id_col, text_col, shingle=width)
+    key = F.xxhash64(F.lit("simhash"), "keep_id", "keep_txt")
+    return slim.join(classes.select("print", key.alias("key")), "print").select(F.col("txt").alias("node"), "key").distinct()
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, candidates: DataFrame | None = None) -> DataFrame:
     """The rows of `docs` with the least id of their component; texts are linked if the Jaccard similarity of their word shingles is `least` or more.
 
     Candidates share one of BANDS buckets, each of ROWS least hashes; every candidate is verified on its texts' whole sets,
-    so no link is wrong, and a pair at 0.8 is missed once in 14,000 times. Null text counts as empty; of rows that repeat id and text, one stays.
+    so no link is wrong, and a pair at 0.8 is missed once in 14,000 times. Texts that `candidates` (node: hash of the text, key) give one key are tried as well. Null text counts as empty; of rows that repeat id and text, one stays.
     """
     python_workers(docs.sparkSession)
     kind = docs.schema[id_col].dataType
@@ -180,6 +187,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     slim = scratch(rows.mapInArrow(sketch, shape), "near-sketch")
     first = F.struct(F.col("id").isNull().alias("none"), "id", F.col("node").alias("txt"))
     dealt = slim.select("node", "n", F.explode("keys").alias("key")).distinct()
+    if candidates is not None:
+        dealt = dealt.unionByName(slim.select("node", "n").distinct().join(candidates, "node").select("node", "n", "key"))
     shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     buckets = scratch(dealt.join(shared, "key", "left_semi").select("key", "node", "n"), "near-buckets")
     roots = shingle_links(docs, text_col, buckets, width, least)
