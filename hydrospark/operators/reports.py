@@ -60,17 +60,57 @@ def _place(lon: Column, n: Column) -> Column:
     return F.pmod(F.floor((lon + 180) / 360 * n), n).cast("long")
 
 
-def _links(rows: DataFrame, s: Settings) -> DataFrame:
-    """(cell, other) of occupied cells, one of which may hold a report that repeats one of the other by time and place; each cell with itself, too."""
+#: Fine cells by hour, band and across that make a block.
+_BLOCK = (4, 8, 8)
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Occupied cells with the turn of their first report, written."""
+    return written(rows.groupBy("body_id", "hour", "band", "across", "cell").agg(F.min("turn").alias("turn")), "cells")
+
+
+def _blocks_across(band: Column, step: float) -> Column:
+    return F.greatest(F.lit(1), F.floor(cells_around(band * _BLOCK[1], step) / _BLOCK[2])).cast("long")
+
+
+def _reach(across: Column, n: Column, m: Column) -> tuple[Column, Column]:
+    """The westernmost and easternmost cell, in a band of m, beside one of a band of n; they may lie beyond 0 and m."""
+    return F.floor(across * m / n) - 1, F.floor((across + 1) * m / n) + 1
+
+
+def _sent(cells: DataFrame, step: float) -> DataFrame:
+    """Each cell once for every block in which a cell of its hour or the next one may lie beside it: some two rows a cell."""
+    hours, bands, _ = _BLOCK
+    later = F.explode(F.sequence(F.floor(F.col("hour") / hours), F.floor((F.col("hour") + 1) / hours))).alias("block_hour")
+    x = cells.select("body_id", "hour", "band", "across", "cell", later)
+    x = x.select("*", F.explode(F.sequence(F.floor((F.col("band") - 1) / bands), F.floor((F.col("band") + 1) / bands))).alias("block_band"))
+    x = x.withColumns({"of": _blocks_across(F.col("block_band"), step), "n": cells_around(F.col("band"), step)})
+    ends = []
+    for d in (-1, 0, 1):
+        m = cells_around(F.col("band") + d, step)
+        ends.append([F.floor(k * F.col("of") / m) for k in _reach(F.col("across"), F.col("n"), m)])
+    x = x.withColumns({"west": F.least(*(w for w, _ in ends)), "east": F.greatest(*(e for _, e in ends))})
+    x = x.withColumn("k", F.explode(F.sequence(F.col("west"), F.least("east", F.col("west") + F.col("of") - 1))))
+    return x.select(F.xxhash64("body_id", "block_hour", "block_band", F.pmod("k", "of").cast("long")).alias("block"), "hour", "band", "across", "cell")
+
+
+def _links(cells: DataFrame, s: Settings) -> DataFrame:
+    """(cell, other) of different occupied cells, one of which may hold a report that repeats one of the other by time and place.
+
+    Cells meet in blocks of several hours, bands and cells: each lies in one and is sent to those around it, so what moves is some three rows a cell and not one for each cell beside it. A block's
+    cells are bounded, and so are the pairs compared there.
+    """
     step = s.duplicate_m / 111_000.0
-    cells = rows.select("body_id", "hour", "band", "across", "cell").distinct()
-    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    x = cells.select("body_id", "band", "across", "cell", around("hour").alias("h")).select("*", around("band").alias("b"))
+    hours, bands, _ = _BLOCK
+    band = F.floor(F.col("band") / bands)
+    of = _blocks_across(band, step)
+    own = F.xxhash64("body_id", F.floor(F.col("hour") / hours), band, F.floor(F.col("across") * of / cells_around(F.col("band"), step)).cast("long"))
+    held = cells.select(own.alias("block"), F.col("hour").alias("h"), F.col("band").alias("b"), F.col("across").alias("k"), F.col("cell").alias("other"))
     n, m = cells_around(F.col("band"), step), cells_around(F.col("b"), step)
-    west = F.floor(F.col("across") * m / n) - 1  # the cell's west end in the other band's cells
-    x = x.withColumns({"m": m, "k": F.explode(F.sequence(west, F.floor((F.col("across") + 1) * m / n) + 1))})
-    x = x.select("cell", _cell(F.col("h"), F.col("b"), F.pmod("k", "m").cast("long")).alias("other")).distinct()
-    return x.join(cells.select(F.col("cell").alias("other")).distinct(), "other", "left_semi")
+    west, east = _reach(F.col("across"), n, m)
+    beside = (F.col("cell") != F.col("other")) & (F.col("h") - F.col("hour")).between(0, 1) & (F.col("b") - F.col("band")).between(-1, 1) & (F.pmod(F.col("k") - west, m) <= east - west)
+    found = _sent(cells, step).join(held, "block").filter(beside).select("cell", "other")
+    return found.unionByName(found.select(F.col("other").alias("cell"), F.col("cell").alias("other"))).distinct()
 
 
 def _near(s: Settings) -> Column:
@@ -83,16 +123,19 @@ def _first_ones(rows: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
 
     Most reports are first in both, so few stay open. Of an image that a third of all reports bear, or of a crowded place, one row stands for all in each join.
     """
-    links = written(_links(rows, s), "links")
-    firsts = rows.groupBy("cell").agg(F.min("turn").alias("turn"))
-    around = links.join(firsts.withColumnRenamed("cell", "other"), "other").groupBy("cell").agg(F.min("turn").alias("around"))
+    cells = _cells(rows)
+    links = written(_links(cells, s), "links")
+    firsts = cells.select("cell", "turn")
+    around = links.join(firsts.withColumnRenamed("cell", "other"), "other").select("cell", "turn").unionByName(firsts).groupBy("cell").agg(F.min("turn").alias("around"))
     images = rows.groupBy("body_id", "image").agg(F.min("turn").alias("of_image"))
     x = rows.join(around, "cell").join(images, ["body_id", "image"]).withColumn("sure", (F.col("turn") == F.col("around")) & (F.col("turn") == F.col("of_image"))).drop("around", "of_image")
     x = written(x, "firsts")
     sure, rest = x.filter("sure"), x.filter("NOT sure")
     known = sure.select("body_id", "image").distinct().withColumn("same", F.lit(True))
     spots = sure.select(F.col("cell").alias("other"), F.col("body_id").alias("o_body"), F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat"), F.col("taken_at").alias("o_at"))
-    near = rest.join(links, "cell").join(spots, "other").filter((F.col("body_id") == F.col("o_body")) & _near(s)).select("report_id").distinct().withColumn("close", F.lit(True))
+    late = rest.select("report_id", "body_id", "lon", "lat", "taken_at", "cell")
+    late = late.join(links, "cell").unionByName(late.withColumn("other", F.col("cell")))
+    near = late.join(spots, "other").filter((F.col("body_id") == F.col("o_body")) & _near(s)).select("report_id").distinct().withColumn("close", F.lit(True))
     rest = rest.join(known, ["body_id", "image"], "left").join(near, "report_id", "left").withColumn("gone", F.coalesce("same", "close", F.lit(False))).drop("same", "close")
     rest = written(rest, "rest")
     decided = sure.withColumn("accepted", F.lit(True)).unionByName(rest.filter("gone").withColumn("accepted", F.lit(False)), allowMissingColumns=True)
@@ -125,7 +168,7 @@ def adjudicate(located: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     judged = decided.select(*columns, "accepted")
     if left.take(1):
         images = left.groupBy("body_id", "image").agg(F.min("cell").alias("b"))  # one cell of each image stands for it
-        edges = _links(left, s).select(F.col("cell").alias("a"), F.col("other").alias("b")).unionByName(left.join(images, ["body_id", "image"]).select(F.col("cell").alias("a"), "b").distinct())
+        edges = _links(_cells(left), s).select(F.col("cell").alias("a"), F.col("other").alias("b")).unionByName(left.join(images, ["body_id", "image"]).select(F.col("cell").alias("a"), "b").distinct())
         parts = components(edges).withColumnRenamed("node", "cell")
         some = left.join(parts, "cell").select(*columns, "image", "lon", "lat", "component").repartition("component").sortWithinPartitions("component", "taken_at", "report_id")
         judged = judged.unionByName(some.mapInPandas(judge, kinds))

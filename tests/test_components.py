@@ -62,3 +62,29 @@ def test_one_bodys_reports_spread_over_components(spark):
     links = reports._links(left, reports.DEFAULTS).select(F.col("cell").alias("a"), F.col("other").alias("b"))
     assert components(links).select("component").distinct().count() == 10
     assert {r.report_id: r.status == "accepted" for r in reports.adjudicate(located).collect()} == brute(rows)
+
+
+def test_cells_meet_in_blocks(spark):
+    """Every two near reports have linked cells, wherever on the globe, and what moves is a few rows a cell: it was one for each of some 36 cells around."""
+    r, start = random.Random(5), datetime.datetime(2024, 1, 1)
+    places = [(0.0, 0.0), (179.9999, 10.0), (-180.0, -45.0), (20.0, 89.9999), (-100.0, 89.998), (77.0, 61.0)]
+    rows = []
+    for i in range(400):
+        x, y = r.choice(places)
+        rows.append((i, "a", 0, start + datetime.timedelta(seconds=r.randint(-30_000, 30_000)), str(i), (x + r.uniform(-4, 4) * 1e-4 + 180) % 360 - 180, min(90.0, y + r.uniform(-4, 4) * 1e-4)))
+    placed = reports._placed(spark.createDataFrame(rows, REPORTS), reports.DEFAULTS).localCheckpoint()
+    cell = {x.report_id: x.cell for x in placed.collect()}
+    near = {(cell[p[0]], cell[q[0]]) for p in rows for q in rows if abs(p[3] - q[3]).total_seconds() <= 3600 and reports.metres_apart(p[5], p[6], q[5], q[6]) <= 25}
+    links = {(x.cell, x.other) for x in reports._links(placed, reports.DEFAULTS).collect()}
+    assert {(a, b) for a, b in near if a != b} <= links == {(b, a) for a, b in links} and len(links) > 100
+    far = [(i, "ab"[i % 2], 0, start + datetime.timedelta(minutes=i), str(i), r.uniform(-180, 180), r.uniform(-70, 70)) for i in range(5000)]
+    cells = reports._placed(spark.createDataFrame(far, REPORTS), reports.DEFAULTS)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = lambda: sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(i) for i in range(x.size())])(spark._jsc.sc().statusStore().executorList(False)))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        before = shuffled()
+        assert reports._links(cells, reports.DEFAULTS).count() == 0
+        assert 0 < shuffled() - before < 5000 * 250
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
