@@ -111,8 +111,9 @@ def c6(spark, d):
 def _whatif(spark, d):
     """A plume for every nation: wb-4 isn't known, 2030 has no scene, some lie outside, 1998 lacks a band of the red edge, wb-1 in July another one, and wb-3 has no baseline."""
     p = t.pixels(spark, d)
-    base = written(scoring.fit_baselines(scenes.zone_observations(p, LOOSE).filter("body_id <> 'wb-3'")), "baselines")
-    days = written(p.select("body_id", "date").distinct(), "days")
+    sums = written(scenes.zone_sums(p, LOOSE), "zone-sums")
+    base = written(scoring.fit_baselines(scenes.observations_of(sums, LOOSE).filter("body_id <> 'wb-3'")), "baselines")
+    days = written(sums.select("body_id", "date").distinct(), "days")
     at = {"a": 0.01, "e": -0.01, "c": 75.0, "f": 17.0, "height": 64, "width": 64}
     k, month = F.col("n_nationkey").cast("long"), F.col("n_nationkey") % 4 * 3 + 1
     asked = t.table(spark, d, "nation").select(

@@ -55,12 +55,13 @@ def _compute(pixels: DataFrame, todo: DataFrame, store: str, model: str | None,
     """Products of some scenes (with scene_hash and the red-edge bands they lack) into the store; a scene written again replaces itself only."""
     lacks = todo.filter(F.col("date").rlike(r"\A\d{8}\z")).select(*KEY, (F.size("no_red_edge") > 0).alias("no_red_edge"))  # a filter, for which Spark prunes partitions by this table
     p = pixels.join(small(lacks), SCENE).withColumns({b: F.when(~F.col("no_red_edge"), F.col(b)) for b in ("b05", "b06")}).drop("no_red_edge", "scene_hash")
-    gates = scenes.scene_gates(p, s).select(*SCENE, F.col("extent_m2").cast("double").alias("extent_m2"), F.col("status").alias("gate"), F.col("reason").alias("why"))
+    sums = written(scenes.zone_sums(p, s), "zone-sums")
+    gates = scenes.gates_of(sums, s).select(*SCENE, F.col("extent_m2").cast("double").alias("extent_m2"), F.col("status").alias("gate"), F.col("reason").alias("why"))
     agreed = scenes.agreement(p, model, s).select(*SCENE, "agreement") if model else gates.select(*SCENE, F.lit(None).cast("double").alias("agreement"))
     x = lacks.join(gates, SCENE).join(agreed, SCENE).withColumn("m", mask_confidence(F.lit(bool(model)), F.col("agreement"), s))
     why = F.concat("m.reasons", F.when(F.col("no_red_edge"), F.array(F.lit("missing_red_edge_bands"))).otherwise(F.array().cast("array<string>")))
     rows = x.select("extent_m2", "gate", "why", F.col("m.confidence").alias("mask_confidence"), why.alias("mask_reasons"), *KEY)
-    values = scenes.zone_observations(p, s).join(small(lacks.select(*KEY)), SCENE).select("zone_id", "indicator", F.col("value").cast("double").alias("value"), *KEY)
+    values = scenes.observations_of(sums, s).join(small(lacks.select(*KEY)), SCENE).select("zone_id", "indicator", F.col("value").cast("double").alias("value"), *KEY)
     for name, table in (("products", values), ("scenes", rows)):  # scenes last: a scene that is there has its products
         table.repartition(*SCENE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEY).parquet(f"{store}/{name}")
 

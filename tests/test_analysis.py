@@ -53,6 +53,24 @@ def test_a_second_run_reads_no_pixel(spark, world, tmp_path):
     assert run(trapped(p, F.lit(True)), files) == first  # the former products are kept by fingerprint
 
 
+def test_pixels_are_read_once(spark, world, tmp_path):
+    """Gates and observations come from the same sums; each of them used to read the pixels."""
+    _, p, base, days, bodies = world
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    some = p.filter("date = '19970101'").withColumn("zone_id", F.coalesce("zone_id", F.lit("")))  # Arrow's rows as they are
+    watched = some.mapInPandas(counted, some.schema).withColumn("zone_id", F.nullif("zone_id", F.lit("")))
+    dates, _ = analysis.analyze(spark, days.filter("date = '19970101'"), bodies, scene_files(days), watched, base, str(tmp_path / "store"), s=LOOSE)
+    assert dates.count() == 4 and read.value == some.count()
+    sums = scenes.zone_sums(some.withColumn("zone_id", F.nullif("zone_id", F.lit(""))))
+    assert sorted(map(str, scenes.gates_of(sums).collect())) == sorted(map(str, scenes.scene_gates(some).collect()))
+
+
 def test_only_wanted_partitions_are_read(spark, world):
     path, p, _, days, _ = world
     some = analysis.written(days.filter("date = '19970401'"), "wanted")
