@@ -47,13 +47,18 @@ def _cell(hour: Column, band: Column, across: Column) -> Column:
     return F.xxhash64("body_id", hour, band, across)
 
 
-def _placed(reports: DataFrame, s: Settings) -> DataFrame:
-    """Adds the report's cell (as high and long as the limits), its image key and its order."""
+def _gridded(rows: DataFrame, s: Settings) -> DataFrame:
+    """Adds where the report's cell lies (as high and long as the limits) and its order."""
     step = s.duplicate_m / 111_000.0
     hour, band = F.floor(F.unix_timestamp("taken_at") / s.duplicate_s), F.floor(F.col("lat") / step).cast("long")
-    x = reports.withColumns({"hour": hour, "band": band, "turn": F.struct("taken_at", "report_id")})
-    x = x.withColumn("across", _place(F.col("lon"), cells_around(F.col("band"), step)))
-    return x.withColumns({"cell": _cell(F.col("hour"), F.col("band"), F.col("across")), "image": F.coalesce(F.concat(F.lit("="), "image_hash"), F.lit("none"))})
+    x = rows.withColumns({"hour": hour, "band": band, "turn": F.struct("taken_at", "report_id")})
+    return x.withColumn("across", _place(F.col("lon"), cells_around(F.col("band"), step)))
+
+
+def _placed(reports: DataFrame, s: Settings) -> DataFrame:
+    """Adds the report's cell, where that lies, its image key (for its hash) and its order."""
+    image = F.coalesce(F.concat(F.lit("="), "image_hash"), F.lit("none"))
+    return _gridded(reports, s).withColumns({"cell": _cell(F.col("hour"), F.col("band"), F.col("across")), "image": image}).drop("image_hash")
 
 
 def _place(lon: Column, n: Column) -> Column:
@@ -121,25 +126,25 @@ def _near(s: Settings) -> Column:
 def _first_ones(rows: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(decided, open): a report that comes first both of its image and in all cells around it is accepted, whatever else is; what repeats such a one is rejected.
 
-    Most reports are first in both, so few stay open. Of an image that a third of all reports bear, or of a crowded place, one row stands for all in each join.
+    Most reports are first in both, so few stay open. Whether an image's first report comes first around its place is asked once an image, so reports move only to meet their image; those
+    of images that stay open move once more, to meet the places. Of an image that a third of all reports bear, or of a crowded place, one row stands for all in each join.
     """
     cells = _cells(rows)
     links = written(_links(cells, s), "links")
     firsts = cells.select("cell", "turn")
     around = links.join(firsts.withColumnRenamed("cell", "other"), "other").select("cell", "turn").unionByName(firsts).groupBy("cell").agg(F.min("turn").alias("around"))
-    images = rows.groupBy("body_id", "image").agg(F.min("turn").alias("of_image"))
-    x = rows.join(around, "cell").join(images, ["body_id", "image"]).withColumn("sure", (F.col("turn") == F.col("around")) & (F.col("turn") == F.col("of_image"))).drop("around", "of_image")
-    x = written(x, "firsts")
-    sure, rest = x.filter("sure"), x.filter("NOT sure")
-    known = sure.select("body_id", "image").distinct().withColumn("same", F.lit(True))
-    spots = sure.select(F.col("cell").alias("other"), F.col("body_id").alias("o_body"), F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat"), F.col("taken_at").alias("o_at"))
+    images = rows.groupBy("body_id", "image").agg(F.min(F.struct("turn", "cell")).alias("first")).select("body_id", "image", "first.turn", "first.cell").withColumnRenamed("turn", "of_image")
+    images = images.join(around, "cell").select("body_id", "image", "of_image", (F.col("of_image") == F.col("around")).alias("known"))
+    x = rows.drop("hour", "band", "across").join(images, ["body_id", "image"])
+    x = written(x.withColumn("accepted", F.when(F.col("known"), F.col("turn") == F.col("of_image"))).drop("known", "of_image", "turn"), "firsts")
+    spots = x.filter("accepted").select(F.col("cell").alias("other"), F.col("body_id").alias("o_body"), F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat"), F.col("taken_at").alias("o_at"))
+    rest = x.filter("accepted IS NULL").drop("accepted")
     late = rest.select("report_id", "body_id", "lon", "lat", "taken_at", "cell")
     late = late.join(links, "cell").unionByName(late.withColumn("other", F.col("cell")))
     near = late.join(spots, "other").filter((F.col("body_id") == F.col("o_body")) & _near(s)).select("report_id").distinct().withColumn("close", F.lit(True))
-    rest = rest.join(known, ["body_id", "image"], "left").join(near, "report_id", "left").withColumn("gone", F.coalesce("same", "close", F.lit(False))).drop("same", "close")
-    rest = written(rest, "rest")
-    decided = sure.withColumn("accepted", F.lit(True)).unionByName(rest.filter("gone").withColumn("accepted", F.lit(False)), allowMissingColumns=True)
-    return decided, rest.filter("NOT gone")
+    rest = written(rest.join(near, "report_id", "left"), "rest")
+    decided = x.filter("accepted IS NOT NULL").unionByName(rest.filter("close").drop("close").withColumn("accepted", F.lit(False)))
+    return decided, _gridded(rest.filter("close IS NULL").drop("close"), s)
 
 
 def adjudicate(located: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -148,6 +153,7 @@ def adjudicate(located: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     Outside the water is rejected first and stands in nobody's way. A report is rejected as duplicate if it repeats an accepted one of its body before it, by image or near in time
     and place, in order of time, then id; else it is accepted, with its place as the reason. First those are decided that nothing earlier can stand in the way of, and what
     repeats them. The others form components by equal images and neighbouring cells, and each is folded in order by itself, so one body's reports spread over tasks.
+    `located` is read several times, a few columns each, so it should be a written table.
     """
     columns = ["report_id", "body_id", "user_id", "zone_id", "taken_at", "where"]
     kinds = "report_id long, body_id string, user_id long, zone_id string, taken_at timestamp, `where` string, accepted boolean"
@@ -163,7 +169,7 @@ def adjudicate(located: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
             yield b[columns].assign(accepted=good)
 
     ship(located.sparkSession)
-    rows = written(_placed(located.filter("where <> 'outside_water_boundary'").select(*columns, "image_hash", "lon", "lat"), s), "reports")
+    rows = _placed(located.filter("where <> 'outside_water_boundary'").select(*columns, "image_hash", "lon", "lat"), s)
     decided, left = _first_ones(rows, s)
     judged = decided.select(*columns, "accepted")
     if left.take(1):
