@@ -23,7 +23,7 @@ def moved(spark, f):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
-@pytest.mark.parametrize("name", ["a14_leaderboard", "a13_zone_bumps", "c5_sampling_sites", "a15_user_totals"])
+@pytest.mark.parametrize("name", ["a14_leaderboard", "a13_zone_bumps", "c5_sampling_sites", "a15_user_totals", "w8_running_bumps"])
 def test_reports_move_once_to_meet_their_image(spark, name):
     """Reports went to their cell, to their image and back to their id, each time with hash, image and cell."""
     assert 0 < moved(spark, lambda: catalog.QUERIES[name](spark, SF).collect()) < EVENTS * 480
